@@ -7,6 +7,7 @@ its own. A null text is an empty text.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -21,8 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers on this machine look for this package where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in (paths := [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]):
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, text) and nothing else; a null text becomes the empty text."""
+    let_workers_import(docs.sparkSession)
     return docs.select(
         F.col(f"`{key}`").alias("doc_id"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karstflow.llm import bpe, quality, sharding
+from karstflow.llm import bpe, quality, sharding, simhash
 from karstflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash_near_dedup": lambda spark, d: simhash.query(table(spark, d, "documents")),
         "op4_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
         "op5_pair_index_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
         "op10_hash_tree_sharding": lambda spark, d: sharding.shard_rows(table(spark, d, "documents")),
