@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karstflow.llm import bpe, packing, quality, secret_scan, sharding, simhash
+from karstflow.llm import bpe, interleave, packing, quality, secret_scan, sharding, simhash
 from karstflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": lambda spark, d: simhash.query(table(spark, d, "documents")),
+        "op2_interleaved_media": lambda spark, d: interleave.query(table(spark, d, "documents")),
         "op3_randomness_battery": lambda spark, d: secret_scan.query(table(spark, d, "documents")),
         "op4_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
         "op5_pair_index_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
