@@ -30,7 +30,7 @@ from karstflow.llm.common import texts
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
 #: Entries of a cache's young half; a full one becomes the old half, so memory stays bounded and frequent words stay.
-CACHE = 200_000
+CACHE = 500_000
 #: Characters of text whose new words are merged together.
 TOGETHER = 4_000_000
 
@@ -86,33 +86,50 @@ class PairIndexBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(self.vocab[a] << 32 | self.vocab[b], (rank, self.vocab[a + b]))
         letters = _byte_letters()
-        self._letter = [self.vocab[x] for x in letters]
-        self._last_letter = [self.vocab[x + self.end] for x in letters]
+        #: ids of a byte inside and at the end of a word
+        self._letter = np.array([self.vocab[x] for x in letters], np.int64)
+        self._last_letter = np.array([self.vocab[x + self.end] for x in letters], np.int64)
+        #: (inside byte, any byte) -> rank of their pair, or -1; the second half is for last bytes
+        self._first_rank = np.full((256, 512), -1, np.int64)
+        for a, left in enumerate(self._letter.tolist()):
+            for b, right in enumerate([*self._letter.tolist(), *self._last_letter.tolist()]):
+                if m := self.merges.get(left << 32 | right):
+                    self._first_rank[a, b] = m[0]
         self._words, self._runs = Halves(), Halves()
 
-    def merge(self, pretokens: list[str]) -> list[list[int]]:
-        """The ids of each pretoken."""
-        merges, symbols, starts = self.merges, [], []
-        for word in pretokens:
-            starts.append(len(symbols))
-            raw = word.encode("utf-8", "surrogatepass")
-            symbols.extend([self._letter[b] for b in raw[:-1]])
-            symbols.append(self._last_letter[raw[-1]])
-            symbols.append(-1)
+    def merge(self, pretokens: list[str]) -> list[bytes]:
+        """The ids of each pretoken (none of them empty)."""
+        if not pretokens:
+            return []
+        merges = self.merges
+        raw = [w.encode("utf-8", "surrogatepass") for w in pretokens]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        # A zero byte closes each word; its place becomes -1.
+        text = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8).astype(np.int64)
+        close = np.cumsum(size + 1) - 1
+        laid = self._letter[text]
+        laid[close - 1] = self._last_letter[text[close - 1]]
+        laid[close] = -1
+        second = text.copy()
+        second[close - 1] += 256
+        rank_at = self._first_rank[text[:-1], second[1:]]
+        rank_at[close - 1] = -1
+        rank_at[close[:-1]] = -1
+        places = np.flatnonzero(rank_at >= 0)
+        places = places[np.argsort(rank_at[places], kind="stable")]
+        ranks = rank_at[places]
+        symbols = laid.tolist()
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         index: dict[int, list[int]] = {}
         pair_of: dict[int, tuple[int, int, int]] = {}
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            rank, at = int(ranks[a]), int(places[a])
+            index[rank] = places[a:b].tolist()
+            left, right = symbols[at], symbols[at + 1]
+            pair_of[rank] = (left, right, merges[left << 32 | right][1])
         get = merges.get
-        left = -1
-        for at, right in enumerate(symbols):
-            if left >= 0 and right >= 0 and (m := get(left << 32 | right)):
-                if m[0] in index:
-                    index[m[0]].append(at - 1)
-                else:
-                    index[m[0]] = [at - 1]
-                    pair_of[m[0]] = (left, right, m[1])
-            left = right
         active = list(index)
         heapq.heapify(active)
         while active:
@@ -151,23 +168,19 @@ class PairIndexBPE:
                             index[m[0]] = [prev]
                             pair_of[m[0]] = (left, made, m[1])
                             heapq.heappush(active, m[0])
-        out, ids = [], []
-        for s in symbols:
-            if s >= 0:
-                ids.append(s)
-            elif s == -1:
-                out.append(ids)
-                ids = []
-        return out
+        done = np.array(symbols, np.int64)
+        ids = done[done >= 0].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(done >= 0)[close]).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, runs: list[str]) -> None:
         """Put the ids of runs without white space into the cache."""
-        cut = [(run, self._pretokens(run)) for run in runs]
+        # A run of letters is one pretoken.
+        cut = [(run, (run,) if run.isalpha() else self._pretokens(run)) for run in runs]
         self._words.age()
         new = self._words.lacking({w for _, ws in cut for w in ws})
         words = self._words.young
-        for w, ids in zip(new, self.merge(new), strict=True):
-            words[w] = np.array(ids, "<u4").tobytes()
+        words.update(zip(new, self.merge(new), strict=True))
         known = self._runs.young
         for run, ws in cut:
             known[run] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
@@ -186,7 +199,12 @@ class PairIndexBPE:
         """
         cut = [[self._runs_of(p) if k % 2 == 0 else self.special[p] for k, p in enumerate(self._cut_special.split(t))] if self._cut_special and "<|" in t else [self._runs_of(t)] for t in batch]
         self._runs.age()
-        self._learn(self._runs.lacking({r for parts in cut for p in parts if type(p) is list for r in p}))
+        seen: set[str] = set()
+        for parts in cut:
+            for p in parts:
+                if type(p) is list:
+                    seen.update(p)
+        self._learn(self._runs.lacking(seen))
         known = self._runs.young.__getitem__
         return [b"".join(b"".join(map(known, p)) if type(p) is list else p.to_bytes(4, "little") for p in parts) for parts in cut]
 
