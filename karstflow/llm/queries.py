@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karstflow.llm import bpe, interleave, packing, quality, secret_scan, sharding, simhash
+from karstflow.llm import bpe, interleave, packing, pii, quality, secret_scan, sharding, simhash
 from karstflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op3_randomness_battery": lambda spark, d: secret_scan.query(table(spark, d, "documents")),
         "op4_quality_rules": lambda spark, d: quality.query(table(spark, d, "documents")),
         "op5_pair_index_bpe": lambda spark, d: bpe.query(table(spark, d, "documents")),
+        "op6_disclosing_terms": lambda spark, d: pii.query(table(spark, d, "documents")),
         "op7_minimum_bin_slack": lambda spark, d: packing.query(table(spark, d, "documents")),
         "op10_hash_tree_sharding": lambda spark, d: sharding.shard_rows(table(spark, d, "documents")),
     }
