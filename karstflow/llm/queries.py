@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karstflow.llm import bpe, interleave, packing, pii, quality, secret_scan, sharding, simhash, token_matrix
+from karstflow.llm import bpe, class_lm, interleave, packing, pii, quality, secret_scan, sharding, simhash, token_matrix
 from karstflow.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op6_disclosing_terms": lambda spark, d: pii.query(table(spark, d, "documents")),
         "op7_minimum_bin_slack": lambda spark, d: packing.query(table(spark, d, "documents")),
         "op8_packed_matrices": lambda spark, d: token_matrix.query(table(spark, d, "documents")),
+        "op9_class_bigrams": lambda spark, d: class_lm.query(table(spark, d, "documents")),
         "op10_hash_tree_sharding": lambda spark, d: sharding.shard_rows(table(spark, d, "documents")),
     }
 
