@@ -67,6 +67,16 @@ def drop_written(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df`, with its columns computed once.
+
+    The optimiser would put the expressions of columns into each filter over
+    them, again and again where columns build on each other. It doesn't do so
+    through a generator, here of one row for each row.
+    """
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import texts, words_of
+from karstflow.llm.common import settled, texts, words_of
 
 #: Words of the windows that count as repeated.
 WINDOW = 8
@@ -93,7 +93,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     )
     counted = placed.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_p")
     bits = sum((F.when(F.expr(r.fails), F.lit(1 << r.bit)).otherwise(F.lit(0)) for r in RULES[1:]), F.when(F.expr(RULES[0].fails), F.lit(1 << RULES[0].bit)).otherwise(F.lit(0)))
-    return counted.withColumn("fail_bits", bits.cast("long"))
+    return settled(counted.withColumn("fail_bits", bits.cast("long")))
 
 
 def verdicts(book: DataFrame, version: int = max(POLICIES)) -> DataFrame:
