@@ -248,8 +248,8 @@ def scored(docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(parallelism(spark), -(-size // BLOCK))
-    # By the row's number, so that copies, and rows without an id, spread like others.
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    # By what the row holds, so that both uses below agree wherever it is computed; copies spread by their ids.
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[bytes]] = {}
