@@ -249,7 +249,7 @@ def scored(docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(parallelism(spark), -(-size // BLOCK))
     # By what the row holds, so that both uses below agree wherever it is computed; copies spread by their ids.
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    dealt = docs.select("doc_id", "text", "held_out").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, set[bytes]] = {}
@@ -260,13 +260,14 @@ def scored(docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
             seen.clear()
 
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text, block in zip(batch.column(1), batch.column(3).to_pylist(), strict=True):
                 seen.setdefault(block, set()).update(words(text.as_py()))
             if sum(map(len, seen.values())) > 2 * HELD:
                 yield from flush()
         yield from flush()
 
-    wanted = dealt.select("block", "text").mapInArrow(distinct, "block int, word binary").distinct()
+    # All columns go in, so that both uses are one exchange.
+    wanted = dealt.mapInArrow(distinct, "block int, word binary").distinct()
     wanted = wanted.unionByName(spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(END).alias("word")))
     known = wanted.join(vocab, "word").select("block", "word", "c")
 
