@@ -5,15 +5,17 @@ in at most 4 bits differ in at most 4 bytes, so they share at least 4
 positional bytes: that is the minimum number of matches that a link
 guarantees. A posting list of one positional byte holds a 256th of all
 fingerprints, and tallying pairs over such lists is quadratic. So postings are
-kept for every choice of 4 positions: fingerprints that meet there have
-reached the minimum. Their shared bytes are tallied in full, and the pairs
-that pass the count are verified bit by bit.
-
-No list emits all of its pairs. Each member is first compared with the least
-of its list and the three before it, and the links give components. Only lists
-of three or more fingerprints in which more than one component is left are
-compared pair by pair, in blocks of bounded size, and only across components.
-The result is the same as from all pairs.
+kept for triples of positions: by Turan's construction 20 triples are enough
+for every choice of 4 positions to hold one of them, and a list has a
+16-millionth of unrelated fingerprints. Of fingerprints that meet in a list,
+the shared bytes are tallied in full, pairs that reach the minimum are kept,
+and those are verified bit by bit.
+
+No list emits all of its pairs: what leaves a list is a forest of its links,
+with fewer rows than the list has fingerprints. Lists beyond a bounded length
+are first linked near their sorted order and to their first member; what still
+lies in several components is compared in blocks of bounded size, and only
+across components. The result is the same as from all pairs.
 """
 
 from __future__ import annotations
@@ -25,14 +27,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import let_workers_import, parallelism, texts, written
+from karstflow.llm.common import let_workers_import, texts, written
 from karstflow.llm.components import components
 
-#: Fingerprints of one side of a block that is compared pair by pair.
-BLOCK = 2048
+#: Fingerprints of a list that is compared as a whole, and of one side of a block of a longer one.
+SHORT, BLOCK = 2048, 16384
+#: Places ahead, in sorted order, to which members of a longer list are compared before its blocks are.
+AHEAD = 16
 #: Hashes whose bits are counted at once.
 _AT_ONCE = 1 << 16
 
@@ -73,41 +76,55 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks(keep: int) -> list[int]:
-    """A mask for each choice of `keep` of the eight byte positions, as signed longs."""
-    masks = (sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(8), keep))
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+def position_lists(least: int) -> list[tuple[int, ...]]:
+    """Sets of byte positions such that any `least` of the eight hold one of them.
 
-
-def _differ(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
+    From 4 on, triples inside one of three groups of positions, or two of a
+    group with one of the next; below, all sets of that size.
+    """
+    if least < 4:
+        return list(combinations(range(8), least))
+    groups = [range(0, 3), range(3, 6), range(6, 8)]
+    inside = [c for g in groups for c in combinations(g, 3)]
+    return inside + [(*two, one) for k, g in enumerate(groups) for two in combinations(g, 2) for one in groups[(k + 1) % 3]]
 
 
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """The tally: positions at which two fingerprints have the same byte."""
-    x = a.bitwiseXOR(b)
-    return sum((x.bitwiseAND(F.lit(_masks(1)[p])) == 0).cast("int") for p in range(8))
+def _postings(nodes: DataFrame, bits: int) -> DataFrame:
+    """(list, fp): each fingerprint in the list of every position set; list holds the set's number and the bytes."""
 
+    def key(number: int, positions: tuple[int, ...]) -> Column:
+        out = F.lit(number << 8 * len(positions)).cast("long")
+        for at, p in enumerate(positions):
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)), 8 * at))
+        return out
 
-def _links(pairs: DataFrame, bits: int) -> DataFrame:
-    """Of (u, v), those that reach the minimum count and pass the bits."""
-    return pairs.filter("u <> v").filter(_shared_bytes(F.col("u"), F.col("v")) >= 8 - bits).filter(_differ(F.col("u"), F.col("v")) <= bits)
+    return nodes.select(F.explode(F.array(*[key(i, x) for i, x in enumerate(position_lists(8 - bits))])).alias("list"), "fp")
 
 
-def _postings(nodes: DataFrame, bits: int) -> DataFrame:
-    masks = _masks(8 - bits)
-    return nodes.select("*", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("positions", "bytes"))
+def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Of pairs of fingerprints, which reach the minimum of shared bytes and pass the bits."""
+    x = a ^ b
+    shared = sum((x >> np.uint64(8 * p) & np.uint64(255) == 0).astype(np.int8) for p in range(8)) if x.size < 4096 else None
+    near = np.bitwise_count(x) <= bits
+    # A pair within the bits shares the bytes anyway, so large blocks spare the tally.
+    return near if shared is None else near & (shared >= 8 - bits)
 
 
-def _across(bits: int):
-    """For mapInArrow: links across components in blocks that arrive sorted by block.
+class _Forest:
+    """Components of the places of one array of fingerprints, and the links that joined them."""
 
-    Gives a forest of each block's links: no more rows than it has fingerprints.
-    """
+    def __init__(self, labels: np.ndarray):
+        self.label = labels
+        self._map = np.arange(int(labels.max(initial=-1)) + 1)
+        self.left: list[np.ndarray] = []
+        self.right: list[np.ndarray] = []
 
-    def compare(rows: np.ndarray) -> list[tuple[int, int]]:
-        fp, label, left = rows[:, 0].view(np.uint64), rows[:, 1], rows[:, 2].astype(bool)
-        a, b = (left.nonzero()[0], (~left).nonzero()[0]) if not left.all() else (np.arange(len(fp)),) * 2
+    def join(self, i: np.ndarray, j: np.ndarray) -> None:
+        """Take links of places, of which only those that join two components are kept."""
+        a, b = self.label[i], self.label[j]
+        apart = a != b
+        if not apart.any():
+            return
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -115,42 +132,139 @@ def _across(bits: int):
                 parent[x] = x = parent.get(up, up)
             return x
 
-        out = []
-        for at in range(0, len(a), 512):
-            part = a[at : at + 512]
-            near = (np.bitwise_count(fp[part][:, None] ^ fp[b][None, :]) <= bits) & (label[part][:, None] != label[b][None, :])
-            for i, j in zip(*near.nonzero(), strict=True):
-                i, j = int(part[i]), int(b[j])
-                x, y = root(int(label[i])), root(int(label[j]))
-                if x != y:
-                    parent[x] = y
-                    out.append((int(rows[i, 0]), int(rows[j, 0])))
-        return out
+        kept = []
+        where = apart.nonzero()[0]
+        for k, x, y in zip(where.tolist(), a[where].tolist(), b[where].tolist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                kept.append(k)
+        changed = np.array(list(parent))
+        self._map[changed] = [root(x) for x in parent]
+        self.label = self._map[self.label]
+        self._map[changed] = changed
+        self.left.append(i[kept])
+        self.right.append(j[kept])
+
+    def links(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        return fp[np.concatenate([none, *self.left])], fp[np.concatenate([none, *self.right])]
+
+
+def _forest(lists: np.ndarray, fp: np.ndarray, bits: int, ahead: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the lists of sorted arrays, up to `ahead` places on: one comparison of arrays for each distance."""
+    forest, at, step = _Forest(np.arange(len(fp))), np.arange(len(fp)), 1
+    while ahead is None or step <= ahead:
+        at = at[at + step < len(fp)]
+        at = at[lists[at] == lists[at + step]]
+        if not len(at):
+            break
+        i = at[_linked(fp[at], fp[at + step], bits)]
+        forest.join(i, i + step)
+        step += 1
+    return forest.links(fp)
+
+
+_IN_LISTS = "u long, v long, list long, part int"
+
+
+def _inside(bits: int, short: int, block: int):
+    """For mapInArrow over (list, fp) in order: the links of lists up to `short`, and the members of longer ones.
+
+    A link is (u, v); a member of a longer list (u: itself, v: null, list, part).
+    """
+
+    def batch(u, v, lists=None, part=None) -> pa.RecordBatch:
+        n = len(u)
+        return pa.record_batch([pa.array(u.view(np.int64)), pa.nulls(n, pa.int64()) if v is None else pa.array(v.view(np.int64)), pa.nulls(n, pa.int64()) if lists is None else pa.array(lists), pa.nulls(n, pa.int32()) if part is None else pa.array(part.astype(np.int32))], ["u", "v", "list", "part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
+        long, first, seen = None, None, 0  # the longer list that is passing by
+
+        def passing(lists: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows of the longer list."""
+            nonlocal seen
+            hub = fp[_linked(fp, np.full_like(fp, first), bits) & (fp != first)]
+            yield batch(np.full_like(hub, first), hub)
+            yield batch(*_forest(lists, fp, bits, AHEAD))
+            yield batch(fp, None, lists, (seen + np.arange(len(fp))) // block)
+            seen += len(fp)
+
+        def done(last: bool) -> Iterator[pa.RecordBatch]:
+            """Work off what is complete; leave the rows of the list that may go on."""
+            nonlocal lists, fp, long, first, seen
+            if long is not None:
+                own = int(np.searchsorted(lists, long, side="right"))
+                if own:
+                    yield from passing(lists[:own], fp[:own])
+                    lists, fp = lists[own:], fp[own:]
+                if not len(fp):
+                    return
+            cuts = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1, [len(lists)])) if len(lists) else np.zeros(1, np.int64)
+            sizes = np.diff(cuts)
+            for k in np.flatnonzero(sizes > short).tolist():
+                a, b = int(cuts[k]), int(cuts[k + 1])
+                long, first, seen = int(lists[a]), fp[a], 0
+                yield from passing(lists[a:b], fp[a:b])
+            complete = len(sizes) if last else max(0, len(sizes) - 1)
+            small = np.repeat(sizes <= short, sizes)
+            small[cuts[complete] :] = False
+            yield batch(*_forest(lists[small], fp[small], bits))
+            rest = len(lists) if not last and len(sizes) and sizes[-1] > short else int(cuts[complete])
+            lists, fp = lists[rest:], fp[rest:]
+
+        for x in batches:
+            lists = np.concatenate([lists, x.column(0).to_numpy()])
+            fp = np.concatenate([fp, x.column(1).to_numpy().view(np.uint64)])
+            if len(fp) >= 1 << 16:
+                yield from done(False)
+        yield from done(True)
+
+    return run
+
+
+def _across(bits: int):
+    """For mapInArrow: links across components in blocks that arrive sorted by block.
+
+    Columns: list, i, j, fp, label, is_left. Gives a forest of each block's links.
+    """
+
+    def compare(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fp, left = rows[:, 0].view(np.uint64), rows[:, 2].astype(bool)
+        names, label = np.unique(rows[:, 1], return_inverse=True)
+        forest = _Forest(label)
+        a, b = (left.nonzero()[0], (~left).nonzero()[0]) if not left.all() else (np.arange(len(fp)),) * 2
+        # Most of a hot list is one component: its members need only be compared with the others.
+        most = np.bincount(label).argmax()
+        for some, others in ((a[label[a] != most], b), (a[label[a] == most], b[label[b] != most])):
+            for at in range(0, len(some) if len(others) else 0, 64):
+                part = some[at : at + 64]
+                i, j = (np.bitwise_count(fp[part][:, None] ^ fp[others][None, :]) <= bits).nonzero()
+                forest.join(part[i], others[j])
+        return forest.links(fp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key, found = [], None, []
+        held, key = [], None
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             if held:
-                found.extend(compare(np.concatenate(held)))
+                u, v = compare(np.concatenate(held))
                 held.clear()
+                yield pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
-            rows = np.stack([batch.column(i).to_numpy() for i in range(4, 7)], axis=1)
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            rows = np.stack([batch.column(i).to_numpy() for i in range(3, 6)], axis=1)
             cuts = [0, *((keys[1:] != keys[:-1]).any(axis=1).nonzero()[0] + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
                 if (k := tuple(keys[a].tolist())) != key:
-                    close()
+                    yield from close()
                     key = k
                 held.append(rows[a:b])
-            if found:
-                yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
-                found = []
-        close()
-        yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["u", "v"])
+        yield from close()
 
     return run
 
@@ -160,26 +274,22 @@ def linked(prints: DataFrame, bits: int = 4) -> DataFrame:
 
     `prints` holds distinct fingerprints in fp. bits: at most 7.
     """
-    lists = W.partitionBy("positions", "bytes").orderBy("fp")
-    sorted_ = _postings(prints.select("fp"), bits).select("fp", F.first("fp").over(lists.rowsBetween(W.unboundedPreceding, 0)).alias("l0"), *[F.lag("fp", k).over(lists).alias(f"l{k}") for k in (1, 2, 3)])
-    near = sorted_.filter("l1 IS NOT NULL").select(F.col("fp").alias("u"), F.explode(F.array("l0", "l1", "l2", "l3")).alias("v")).filter("v IS NOT NULL")
-    links = written(_links(near, bits).distinct(), "links")
-    first = written(components(links), "components")
-
-    let_workers_import(prints.sparkSession)
-    labelled = prints.select("fp").join(first, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    # A list of three whose members all met is settled; in larger ones only what the first pass left apart matters.
-    mixed = _postings(labelled, bits).groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).filter("n > 4 AND least <> most").select("positions", "bytes", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mixed = written(mixed, "mixed")
-    if mixed.isEmpty():
-        return first.select(F.col("node").alias("fp"), "root")
-    members = _postings(labelled, bits).join(mixed, ["positions", "bytes"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    spark = prints.sparkSession
+    let_workers_import(spark)
+    met = written(_postings(prints.select("fp"), bits).repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_inside(bits, SHORT, BLOCK), _IN_LISTS), "lists")
+    first = written(components(met.filter("v IS NOT NULL").select("u", "v")), "components")
+    found = first.select(F.col("node").alias("fp"), "root")
+    members = met.filter("list IS NOT NULL").select("list", "part", F.col("u").alias("fp"))
+    if members.isEmpty():
+        return found
+    labelled = members.join(found, "fp", "left").select("list", "part", "fp", F.coalesce("root", "fp").alias("label"))
+    mixed = labelled.groupBy("list").agg((F.max("part") + 1).alias("parts"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("list", "parts")
     # Block (i, j) gets the members of i and those of j; block (i, i) those of i.
-    dealt = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        F.col("positions").cast("long").alias("positions"), "bytes", F.least("own", "other").cast("long").alias("i"), F.greatest("own", "other").cast("long").alias("j"), "fp", "label", (F.col("own") <= F.col("other")).cast("long").alias("is_left")
+    dealt = labelled.join(mixed, "list").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
+        "list", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), "fp", "label", (F.col("part") <= F.col("other")).cast("long").alias("is_left")
     )
-    key = ["positions", "bytes", "i", "j"]
-    more = dealt.repartition(max(parallelism(prints.sparkSession), 12), *key).sortWithinPartitions(*key).mapInArrow(_across(bits), "u long, v long")
+    key = ["list", "i", "j"]
+    more = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_across(bits), "u long, v long")
     tree = first.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     return components(tree.unionByName(more)).select(F.col("node").alias("fp"), "root")
 
