@@ -32,7 +32,7 @@ _SEPARATORS = re.compile("[\\x1c-\\x1f]")
 #: Entries of a cache's young half; a full one becomes the old half, so memory stays bounded and frequent words stay.
 CACHE = 500_000
 #: Characters of text whose new words are merged together.
-TOGETHER = 4_000_000
+TOGETHER = 8_000_000
 
 
 class Halves:
@@ -95,7 +95,7 @@ class PairIndexBPE:
             for b, right in enumerate([*self._letter.tolist(), *self._last_letter.tolist()]):
                 if m := self.merges.get(left << 32 | right):
                     self._first_rank[a, b] = m[0]
-        self._words, self._runs = Halves(), Halves()
+        self._known = Halves()
 
     def merge(self, pretokens: list[str]) -> list[bytes]:
         """The ids of each pretoken (none of them empty)."""
@@ -174,16 +174,20 @@ class PairIndexBPE:
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _learn(self, runs: list[str]) -> None:
-        """Put the ids of runs without white space into the cache."""
-        # A run of letters is one pretoken.
-        cut = [(run, (run,) if run.isalpha() else self._pretokens(run)) for run in runs]
-        self._words.age()
-        new = self._words.lacking({w for _, ws in cut for w in ws})
-        words = self._words.young
-        words.update(zip(new, self.merge(new), strict=True))
-        known = self._runs.young
-        for run, ws in cut:
-            known[run] = words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])
+        """Put the ids of runs without white space into the cache.
+
+        A run of letters is one pretoken. A pretoken by itself is cut as it is
+        in a run, so runs and pretokens share the cache.
+        """
+        letters = [r for r in runs if r.isalpha()]
+        mixed = [r for r in runs if not r.isalpha()]
+        cut = list(map(self._pretokens, mixed))
+        new = list({*self._known.lacking(set().union(*cut)), *letters})
+        known = self._known.young
+        known.update(zip(new, self.merge(new), strict=True))
+        for run, words in zip(mixed, cut, strict=True):
+            if words != [run]:
+                known[run] = b"".join([known[w] for w in words])
 
     def _runs_of(self, text: str) -> list[str]:
         if not text.isascii():
@@ -198,14 +202,14 @@ class PairIndexBPE:
         Special tokens in a text are recognised as the library does.
         """
         cut = [[self._runs_of(p) if k % 2 == 0 else self.special[p] for k, p in enumerate(self._cut_special.split(t))] if self._cut_special and "<|" in t else [self._runs_of(t)] for t in batch]
-        self._runs.age()
+        self._known.age()
         seen: set[str] = set()
         for parts in cut:
             for p in parts:
                 if type(p) is list:
                     seen.update(p)
-        self._learn(self._runs.lacking(seen))
-        known = self._runs.young.__getitem__
+        self._learn(self._known.lacking(seen))
+        known = self._known.young.__getitem__
         return [b"".join(b"".join(map(known, p)) if type(p) is list else p.to_bytes(4, "little") for p in parts) for parts in cut]
 
     def decode(self, ids: bytes) -> bytes:
