@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-LABELS = ("REPO", "COMMAND", "EVENT", "HANDLER", "SAGA", "ENTITY", "TABLE", "TOPIC", "API", "FEATURE_FLAG", "BUSINESS_RULE", "STATUS_CODE", "TARGET_FRAMEWORK")
-LOCAL_LABELS = ("HANDLER", "SAGA", "ENTITY", "BUSINESS_RULE", "STATUS_CODE")
+# The graph's vocabulary.
+LABELS = ("REPO", "FRAMEWORK", "NUGET_PACKAGE", "HANDLER", "COMMAND", "EVENT", "BUSINESS_RULE", "STATUS_CODE", "SAGA", "FEATURE_FLAG", "TABLE", "KAFKA_TOPIC", "API")
+LOCAL_LABELS = ("HANDLER", "COMMAND", "EVENT", "SAGA", "FEATURE_FLAG", "TABLE", "BUSINESS_RULE")
+LOCAL_PREDICATES = ("OWNS_HANDLER", "OWNS_COMMAND", "OWNS_EVENT", "OWNS_SAGA", "HANDLES_COMMAND", "HANDLES_EVENT", "EMITS_EVENT", "SAGA_ORCHESTRATES_COMMAND", "SAGA_AWAITS_EVENT", "READS_TABLE", "WRITES_TABLE", "ENFORCES_RULE", "USES_FEATURE_FLAG", "TRANSITIONS_STATUS")
+GLOBAL_PREDICATES = ("CONTAINS_PACKAGE", "TARGETS_FRAMEWORK", "CONSUMES_TOPIC", "PRODUCES_TOPIC", "CALLS_API", "EXPOSES_API")
+#: The predicates that a walk of an intent follows; an intent that isn't listed follows all.
+PREDICATES = {"TOPOLOGY": GLOBAL_PREDICATES, "LOCAL_LOGIC": LOCAL_PREDICATES}
 KIND_PRIORITY = ("asyncapi", "configmap", "appsettings_prod", "appsettings_base", "contract", "ingress", "ast")
 
 
@@ -141,6 +146,7 @@ def traverse(edges: DataFrame, seeds: list[str], intent: str = "GENERAL", predic
     is one query whose result the budget bounds (at most 320 rows).
     """
     budget = BUDGETS[intent]
+    predicates = predicates or list(PREDICATES.get(intent, ()))
     if predicates:
         edges = edges.filter(F.col("predicate").isin(predicates))
     visited, frontier, found, sizes = set(seeds), sorted(set(seeds)), {}, []
