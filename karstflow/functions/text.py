@@ -46,16 +46,21 @@ def query_terms(text: Column, most: int = 20) -> Column:
     return F.slice(F.array_distinct(telling), 1, most)
 
 
+def _stripped(x: Column) -> Column:
+    """Without white space at either end; trim() alone takes blanks only."""
+    return F.regexp_replace(x, r"\A\s+|\s+\z", "")
+
+
 def summary_body(text: Column) -> Column:
     """A summary without its reasoning section, its references and its line citations."""
     x = F.regexp_replace(text, r"(?ms)^##\s+Source References\s*$.*\z", "")
     x = F.regexp_replace(x, r"(?ms)^##\s+Reasoning\s*$.*?(?=^##\s|\z)", "")
-    return F.trim(F.regexp_replace(x, r"\s*\([^()\s]*:?L\d+(?:-L?\d+)?\)", ""))
+    return _stripped(F.regexp_replace(x, r"\s*\([^()\s]*:?L\d+(?:-L?\d+)?\)", ""))
 
 
 def summary_references(text: Column) -> Column:
     """The references at the end of a summary, or nothing."""
-    return F.trim(F.regexp_extract(text, r"(?ms)^##\s+Source References\s*$(.*)\z", 1))
+    return _stripped(F.regexp_extract(text, r"(?ms)^##\s+Source References\s*$(.*)\z", 1))
 
 
 def valid_summary(text: Column) -> Column:
@@ -66,7 +71,7 @@ def valid_summary(text: Column) -> Column:
 def without_reasoning(text: Column) -> Column:
     """A summary without headed or bold reasoning blocks."""
     x = F.regexp_replace(text, r"(?ims)^#{1,6}\s*reasoning\b.*?(?=^#{1,6}\s|\z)", "")
-    return F.trim(F.regexp_replace(x, r"(?ims)^\*\*reasoning:?\*\*.*?(?=^#{1,6}\s|^\*\*|\z)", ""))
+    return _stripped(F.regexp_replace(x, r"(?ims)^\*\*reasoning:?\*\*.*?(?=^#{1,6}\s|^\*\*|\z)", ""))
 
 
 def numbered_lines(text: Column) -> Column:
