@@ -40,24 +40,30 @@ AHEAD = 16
 _AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str, shingle: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included, with A-Z lower-cased.
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included, with A-Z lower-cased.
 
-    Fewer words than a shingle: the whole sequence is one; no word: zero.
+    Fewer words than a shingle: the whole sequence is one; no word: none.
     """
     # On bytes, lower() and split() know ASCII only, which is what is asked for.
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     n = len(words)
     if n <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], "<u8")
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
+
+
+def fingerprint(text: str, shingle: int = 4) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; zero if there are none."""
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _AT_ONCE):
         bits = np.unpackbits(hashes[at : at + _AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -312,15 +318,5 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """The rows of `docs`, all columns, whose doc_id is its component's least; of repeated rows one.
-
-    A row without an id stays unless it is linked to one with an id.
-    """
-    stay = near_duplicates(docs, shingle, bits).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
-
-
 def query(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs)
