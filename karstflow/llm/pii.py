@@ -1,13 +1,13 @@
 """Personal data: fixed patterns, and terms that give away whom they stand beside.
 
-What the patterns find are protected entities. The words within reach of an
-entity are its context. Over the whole corpus, the documents in which a term
-stands in an entity's context are counted, as are all documents of the term
-and of the entity. The posterior n(t, e) / (n(t) + 1) says how surely a reader
+What the patterns find are protected entities. All other words of the
+documents in which an entity stands are its context. Over the whole corpus,
+the documents that a term shares with an entity are counted, as are all
+documents of the term and of the entity. The posterior n(t, e) / (n(t) + 1) says how surely a reader
 of the term thinks of the entity, and its ratio to the entity's share of all
 documents, in bits, how much the term tells. A term beyond both thresholds is
-removed if the posterior is near certainty and else generalised; one document
-alone never brings a term there. DataFrame functions only.
+removed if the posterior is near certainty and else generalised, wherever it
+stands in any document; one document alone never brings a term there. DataFrame functions only.
 
 The patterns are those of the contract in forms that scan a text once:
 possessive where nothing after could need less, and starting only where an
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm.common import texts, written
-from karstflow.llm.spans import add_spans, joined
+from karstflow.llm.spans import add_spans, joined, replaced, union_of
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -33,8 +33,6 @@ PATTERNS = {
 }
 BASE = tuple(PATTERNS)
 KINDS = (*BASE, "term")
-#: Characters on each side of an entity in which its context lies.
-REACH = 80
 TERM = "[\\p{L}\\p{M}\\p{N}]+"
 #: Disclosure thresholds: posterior and bits beyond which a term is generalised, posterior from which it is removed.
 POSTERIOR, BITS, REMOVE = 0.5, 5.0, 0.9
@@ -77,47 +75,34 @@ def found(docs: DataFrame, *keep: str) -> DataFrame:
     return t
 
 
-def _contexts(text: Column) -> Column:
-    """Of each entity, its name and two windows of text with their offsets."""
+def _entities(kind: str) -> Column:
+    """The distinct names of a kind's finds."""
+    return F.array_distinct(F.transform(kind, lambda x: F.concat(F.lit(f"{kind}:"), F.lower(x["match"]) if kind in ("email", "ip") else _digits(x["match"]))))
 
-    def windows(kind: str) -> Column:
-        def one(x: Column) -> Column:
-            at = F.greatest(x["start"] - REACH, F.lit(0))
-            name = F.concat(F.lit(f"{kind}:"), F.lower(x["match"]) if kind in ("email", "ip") else _digits(x["match"]))
-            before = F.struct(at.alias("at"), F.substring(text, at + 1, x["start"] - at).alias("window"), (at > 0).alias("cut_left"), F.lit(False).alias("cut_right"))
-            after = F.struct(x["end"].alias("at"), F.substring(text, x["end"] + 1, F.lit(REACH)).alias("window"), F.lit(False).alias("cut_left"), F.lit(True).alias("cut_right"))
-            return F.struct(name.alias("entity"), F.array(before, after).alias("sides"))
 
-        return F.transform(kind, one)
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.filter(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{M}\\p{N}]+")), lambda t: (F.length(t) > 2) & ~t.rlike("[0-9]"))
 
-    return F.concat(*[windows(k) for k in BASE])
 
-
-def _terms(rows: DataFrame) -> DataFrame:
-    """(uid, entity, term, start, end) of the whole words in the entities' windows."""
-    sides = rows.select("uid", F.explode("contexts").alias("c")).select("uid", "c.entity", F.explode("c.sides").alias("s")).select("uid", "entity", "s.*")
-    words = add_spans(sides, "window", "_t", TERM)
-    # A word at a cut may be part of a longer one.
-    whole = F.filter("_t", lambda x: ~((F.col("cut_left") & (x["start"] == 0)) | (F.col("cut_right") & (x["end"] == REACH))))
-    words = words.select("uid", "entity", "at", F.explode(whole).alias("t"))
-    return words.select("uid", "entity", F.lower("t.match").alias("term"), (F.col("at") + F.col("t.start")).alias("start"), (F.col("at") + F.col("t.end")).alias("end")).filter(F.length("term") > 2).filter(~F.col("term").rlike("[0-9]"))
-
-
-def disclosures(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def disclosures(rows: DataFrame) -> DataFrame:
     """(entity, term, posterior, bits) of the terms beyond the thresholds.
 
-    Every count is over all documents. Each is combined in the task that makes
-    it before anything is exchanged.
+    Every count is over all documents, whole. Each is combined in the task that
+    makes it before anything is exchanged. Pairs that can't pass are left out
+    before they are made: n_te is at most n_e, and neither may be one.
     """
-    near = _terms(rows)
-    together = near.select("uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te"))
-    entities = near.select("uid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    every = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{M}\\p{N}]+"))).alias("term"))
-    term_docs = every.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = rows.count()
-    known = together.filter("n_te > 1").join(term_docs, "term").join(entities, "entity")
+    own = rows.select("uid", F.explode("entities").alias("entity"))
+    entities = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter("n_e > 1")
+    term_docs = rows.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = F.lit(float(rows.count()))
+    # An entity's own characters are no terms beside it.
+    beside = rows.filter(F.size("entities") > 0).select("uid", F.explode(_terms(replaced(F.col("_text"), union_of([F.col(k) for k in BASE]), " "))).alias("term"))
+    beside = beside.join(term_docs.filter((F.col("n_t") > 1) & (F.log2(total / F.col("n_t")) >= BITS)), "term")
+    pairs = beside.join(own.join(entities, "entity"), "uid").filter(F.col("n_e") > POSTERIOR * (F.col("n_t") + 1))
+    known = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te")).filter("n_te > 1")
     posterior = F.col("n_te") / (F.col("n_t") + 1)
-    bits = F.log2(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e")))
+    bits = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
     return known.select("entity", "term", posterior.alias("posterior"), bits.alias("bits")).filter((F.col("posterior") > POSTERIOR) & (F.col("bits") >= BITS))
 
 
@@ -128,15 +113,18 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     when the patterns' finds are written, so ids may be null or repeated;
     repeated rows count each as a document.
     """
-    first = found(docs, *keep).withColumn("uid", F.monotonically_increasing_id())
+    first = found(docs.withColumn("_text", F.col("text")), "_text", *keep).withColumn("uid", F.monotonically_increasing_id())
     plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE]
-    rows = written(first.select("uid", "doc_id", *keep, *plain, _contexts(F.col("text")).alias("contexts")), "entities")
-    strong = disclosures(docs, rows)
-    told = _terms(rows).join(strong, ["entity", "term"])
-    spans = told.groupBy("uid", "start", "end").agg(F.max(F.col("posterior") >= REMOVE).alias("remove")).groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "remove"))).alias("term"))
-    joined_ = rows.drop("contexts").join(spans, "uid", "left")
-    clear = F.filter("term", lambda x: ~F.exists(F.concat(*BASE), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return joined_.withColumn("term", F.coalesce(clear, F.array().cast("array<struct<start:int,end:int,remove:boolean>>"))).drop("uid")
+    rows = written(first.select("uid", "doc_id", "_text", *keep, *plain, F.concat(*[_entities(k) for k in BASE]).alias("entities")), "entities")
+    strong = written(disclosures(rows).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("remove")), "terms")
+    told = rows.select("uid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term")
+    marks = written(told.groupBy("uid").agg(F.collect_list(F.struct("term", "remove")).alias("told")), "marks")
+    marked = rows.drop("entities").join(marks, "uid", "left").withColumn("told", F.map_from_entries("told"))
+    marked = add_spans(marked, "_text", "_t", TERM, F.col("told").isNotNull())
+    spans = F.filter(F.transform("_t", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at("told", F.lower(x["match"])).alias("remove"))), lambda x: x["remove"].isNotNull())
+    clear = F.filter(spans, lambda x: ~F.exists(F.concat(*BASE), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
+    return marked.withColumn("term", F.when(F.size("_t") > 0, clear).otherwise(empty)).drop("uid", "_text", "told", "_t")
 
 
 def query(docs: DataFrame) -> DataFrame:
