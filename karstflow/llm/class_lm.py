@@ -1,41 +1,51 @@
 """Language-model scores by Brown's class-based bigrams.
 
-Every word belongs to a unit: the most frequent words are units of their own,
-and all others share units by their shape (length, digits, characters beyond
-ASCII, a closing mark). Exchange clustering moves one unit at a time to the
-class in which the class bigrams of the whole training corpus become most
-likely, until no move helps or the sweeps end. A token's probability is that of
-its class after the class before, times that of the word in its class; both
+Every word of the training texts belongs to a class. Words with at least a
+stated share of all training tokens are units: exchange clustering moves one
+unit at a time to the class in which the class bigrams become most likely,
+until no move helps; all tokens that aren't units stand there as one class
+more, which doesn't move. Every other word, however rare, is then placed by
+the same likelihood: in the class that makes its own neighbours, counted over
+the whole corpus, likeliest. A word never seen in training goes with the class
+that holds most words seen once. Class transitions are counted anew over all
+training tokens with all words in their classes. A token's probability is that
+of its class after the class before, times that of the word in its class; both
 are smoothed.
 
-Word counts and unit bigrams come from all training documents, combined in
-each task before the exchange. What reaches the driver is bounded by the
-number of units, a parameter of the model: their bigrams and their totals. The
-vocabulary itself stays distributed. For scoring, documents are dealt into
-blocks of bounded size, each block's distinct words fetch their counts in a
-join, and a block is scored with its own words alone.
+What reaches the driver is bounded by the share and the number of classes: at
+most 1 / share units, the bigrams among them that occur, and tables of classes.
+Words, their neighbours and their classes stay distributed and grow with the
+corpus. Documents are cut into blocks of bounded size as they are read. Each
+block names its words with their neighbours there; sorted by word, these rows
+stream through the task that places a word, whatever their number; sorted by
+block, the placed words meet their block's texts again.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import parallelism, texts, written
+from karstflow.llm.common import texts, written
 
 #: The token that closes each text; words are never empty.
 END = b""
 #: Distinct words a task counts before it hands them on.
 HELD = 400_000
-#: Bytes of text in a block that is scored together.
+#: Bytes of text in a block; one longer text is a block of its own.
 BLOCK = 12_000_000
+#: Rows of words handed on at once.
+ROWS = 20_000
+#: Partitions that blocks are dealt to at most; beyond that a partition has several, one after the other.
+PARTS = 20_000
 
 
 def words(text: str) -> list[bytes]:
@@ -43,33 +53,6 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def shape(word: bytes) -> int:
-    """A number below SHAPES for a word without a unit of its own."""
-    size = 0 if len(word) < 4 else 1 if len(word) < 7 else 2 if len(word) < 10 else 3
-    return size + 4 * (not word.isascii()) + 8 * bool(_DIGIT(word)) + 16 * (not (word[-1:].isalnum() or word[-1:] > b"\x7f"))
-
-
-SHAPES = 32
-_DIGIT = re.compile(rb"[0-9]").search
-
-
-class Units:
-    """The unit of a word: its place among the frequent words, or after them by shape."""
-
-    def __init__(self, frequent: list[bytes]):
-        self.own = {w: i for i, w in enumerate(frequent)}
-        self.size = len(frequent) + SHAPES
-        self._seen: dict[bytes, int] = {}
-
-    def of(self, tokens: list[bytes]) -> list[int]:
-        if len(self._seen) > HELD:
-            self._seen.clear()
-        seen = self._seen
-        for w in set(tokens).difference(seen):
-            seen[w] = self.own[w] if w in self.own else len(self.own) + shape(w)
-        return list(map(seen.__getitem__, tokens))
-
-
 def split(docs: DataFrame) -> DataFrame:
     """(doc_id, text, held_out): a document is held out if crc32 of its id as text is a multiple of 10.
 
@@ -101,46 +84,96 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def unit_bigrams(train: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """(pair, n): pair is the unit before times the number of units plus the unit. An end goes before each text."""
+def units_of(vocab: DataFrame, share: float) -> tuple[list[bytes], np.ndarray, int, int]:
+    """(units, their counts, all tokens, all words): units have at least `share` of the tokens, the most frequent first."""
+    total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    top = vocab.filter(F.col("c") >= share * total).orderBy(F.col("c").desc(), "word").collect()
+    return [bytes(r.word) for r in top], np.array([r.c for r in top], np.int64), total, distinct
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(frequent)
-        size = units.size
-        total = np.zeros(size * size, np.int64)
-        held: list[int] = []
 
-        def add() -> None:
-            total[:] += np.bincount(held, minlength=len(total))
-            held.clear()
+_BLOCKS = "kind int, block long, word binary, before array<int>, after array<int>, n long, doc_id long, held_out boolean, text string"
+_KINDS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("word", pa.binary()), ("before", pa.list_(pa.int32())), ("after", pa.list_(pa.int32())), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+_WORD, _DOC, _PAIR = 0, 1, 2
 
-        for batch in batches:
-            for text in batch.column(0):
-                row = np.array(units.of([END, *words(text.as_py()), END]))
-                held.extend((row[:-1] * size + row[1:]).tolist())
-                if len(held) > 1 << 20:
-                    add()
-        add()
-        pairs = total.nonzero()[0]
-        yield pa.record_batch([pa.array(pairs, pa.int64()), pa.array(total[pairs])], ["pair", "n"])
 
-    return train.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+def _batch(rows: int, /, **columns) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(columns[f.name], f.type) if isinstance(columns.get(f.name), (list, np.ndarray)) else columns.get(f.name, pa.nulls(rows, f.type)) for f in _KINDS], schema=_KINDS)
 
 
-def unit_totals(vocab: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """(unit, tokens, types) over the vocabulary."""
+def blocks(docs: DataFrame, units: list[bytes]) -> DataFrame:
+    """Documents (doc_id, text, held_out) in blocks, in rows of three kinds.
+
+    _WORD: a word of the block that is no unit, with the units before and after
+    each time that training texts of the block have it (their number where
+    there is none); a word of held-out texts alone has none. _DOC: a document.
+    _PAIR: a pair of units in `block` (before * (units + 1) + after) and its
+    count `n` in training texts, an end before each text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(frequent)
-        tokens, types = np.zeros(units.size, np.int64), np.zeros(units.size, np.int64)
-        for batch in batches:
-            unit = np.array(units.of(batch.column(0).to_pylist()), np.int64)
-            tokens += np.bincount(unit, batch.column(1).to_numpy(), units.size).astype(np.int64)
-            types += np.bincount(unit, minlength=units.size)
-        some = types.nonzero()[0]
-        yield pa.record_batch([pa.array(some, pa.int64()), pa.array(tokens[some]), pa.array(types[some])], ["unit", "tokens", "types"])
+        from pyspark import TaskContext
+
+        own, rest = {w: i for i, w in enumerate(units)}, len(units)
+        block = TaskContext.get().partitionId() << 32
+        flat: list[bytes] = [END]
+        held: set[bytes] = set()
+        codes, counts, size = [], [], 0
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            if not codes:
+                return
+            code, at = np.unique(np.concatenate(codes), return_inverse=True)
+            n = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+            codes[:], counts[:] = [code], [n]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal block, size
+            ids = np.fromiter(map(own.get, flat, repeat(rest)), np.int32, len(flat))
+            code, n = np.unique(ids[:-1].astype(np.int64) * (rest + 1) + ids[1:], return_counts=True)
+            codes.append(code)
+            counts.append(n)
+            if sum(map(len, codes)) > 1 << 22:
+                pairs()
+            at = np.flatnonzero(ids == rest)
+            rare = [flat[i] for i in at.tolist()]
+            names = list(dict.fromkeys(rare))
+            place = dict(zip(names, range(len(names))))
+            which = np.fromiter(map(place.__getitem__, rare), np.int32, len(rare))
+            order = np.argsort(which, kind="stable")
+            names += [w for w in held if w not in place and w not in own]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(names))))).astype(np.int32)
+            before, after = ids[at - 1][order], ids[(at + 1) % len(ids)][order]
+            for a in range(0, len(names), ROWS):
+                some = names[a : a + ROWS]
+                cut = ends[a : a + len(some) + 1]
+                lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(x[cut[0] : cut[-1]])) for x in (before, after)]
+                yield _batch(len(some), kind=pa.array(np.full(len(some), _WORD, np.int32)), block=np.full(len(some), block), word=some, before=lists[0], after=lists[1])
+            flat[:] = [END]
+            held.clear()
+            block, size = block + 1, 0
 
-    return vocab.select("word", "c").mapInArrow(run, "unit long, tokens long, types long").groupBy("unit").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+        for batch in batches:
+            first, is_held = 0, batch.column(2).to_pylist()
+            for i, text in enumerate(batch.column(1)):
+                own_words = words(text := text.as_py())
+                if size and size + len(text) > BLOCK:
+                    yield _batch(i - first, kind=np.full(i - first, _DOC, np.int32), block=np.full(i - first, block), doc_id=batch.column(0)[first:i], text=batch.column(1)[first:i], held_out=batch.column(2)[first:i])
+                    first = i
+                    yield from close()
+                size += len(text) + 64
+                if is_held[i]:
+                    held.update(own_words)
+                else:
+                    flat += own_words
+                    flat.append(END)
+            n = batch.num_rows - first
+            yield _batch(n, kind=np.full(n, _DOC, np.int32), block=np.full(n, block), doc_id=batch.column(0)[first:], text=batch.column(1)[first:], held_out=batch.column(2)[first:])
+        yield from close()
+        pairs()
+        for code, n in zip(codes, counts, strict=True):
+            yield _batch(len(code), kind=np.full(len(code), _PAIR, np.int32), block=code, n=n)
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, _BLOCKS)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -154,41 +187,79 @@ def likelihood(pairs: np.ndarray, cls: np.ndarray, classes: int) -> float:
     return float(_f(n).sum() - _f(n.sum(0)).sum() - _f(n.sum(1)).sum())
 
 
-def exchange(pairs: np.ndarray, classes: int, sweeps: int = 6, starts: int = 4) -> np.ndarray:
-    """A class for each unit from the matrix of unit bigrams: the likeliest of several starts.
+class Pairs:
+    """A sparse square matrix of counts by rows and by columns."""
 
-    An exchange ends where no one move helps, which need not be the best
-    place. The first start deals units to the classes by frequency, the others
-    in a fixed shuffled order; of equals the first is taken.
-    """
-    order = np.argsort(-(pairs.sum(0) + pairs.sum(1)), kind="stable")
-    dealt = [order, *(np.random.default_rng(k).permutation(len(pairs)) for k in range(1, starts))]
-    ends = [_exchange(pairs, classes, sweeps, x) for x in dealt]
-    return max(ends, key=lambda cls: likelihood(pairs, cls, classes))
+    def __init__(self, code: np.ndarray, n: np.ndarray, size: int):
+        self.size, self.n = size, n.astype(np.float64)
+        self.row, self.column = code // size, code % size
+        self._by = []
+        for own, other in ((self.row, self.column), (self.column, self.row)):
+            order = np.argsort(own, kind="stable")
+            self._by.append((np.searchsorted(own[order], np.arange(size + 1)), other[order], self.n[order]))
+        self.weight = np.bincount(self.row, self.n, size) + np.bincount(self.column, self.n, size)
+
+    @classmethod
+    def of(cls, dense: np.ndarray) -> Pairs:
+        code = np.flatnonzero(dense.ravel())
+        return cls(code, dense.ravel()[code], len(dense))
 
+    def after(self, unit: int) -> tuple[np.ndarray, np.ndarray]:
+        """What follows a unit, and how often."""
+        cut, other, n = self._by[0]
+        return other[cut[unit] : cut[unit + 1]], n[cut[unit] : cut[unit + 1]]
 
-def _exchange(pairs: np.ndarray, classes: int, sweeps: int, dealt: np.ndarray) -> np.ndarray:
-    """One start.
+    def before(self, unit: int) -> tuple[np.ndarray, np.ndarray]:
+        cut, other, n = self._by[1]
+        return other[cut[unit] : cut[unit + 1]], n[cut[unit] : cut[unit + 1]]
 
-    Units begin dealt to the classes in an order. In each sweep every unit,
-    the most frequent first, is taken from its class and put where the log
-    likelihood of the class bigrams is greatest; of equals the least class.
+    def to_classes(self, cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+        """(unit -> class, class -> unit) counts, both by unit and then class."""
+        after = np.bincount(self.row * classes + cls[self.column], self.n, self.size * classes)
+        before = np.bincount(self.column * classes + cls[self.row], self.n, self.size * classes)
+        return after.reshape(self.size, classes), before.reshape(self.size, classes)
+
+
+def exchange(pairs: Pairs, classes: int, starts: int = 2, fixed: int = 0) -> np.ndarray:
+    """A class for each unit: the likeliest of several starts, each run until no move helps.
+
+    fixed: so many units at the end have a class of their own after `classes`
+    and don't move. The first start deals units to the classes by frequency,
+    the others in a fixed shuffled order; of equals the first is taken.
     """
-    m = pairs.astype(np.float64)
-    weight = m.sum(0) + m.sum(1)
-    order = np.argsort(-weight, kind="stable")
-    cls = np.empty(len(m), np.int64)
-    cls[dealt] = np.arange(len(m)) % classes
-    member = np.eye(classes)[cls]
-    after, before = m @ member, m.T @ member  # unit -> class, class -> unit
-    n = member.T @ after
-    off = ~np.eye(classes, dtype=bool)
-    for _ in range(sweeps):
-        moved = 0
-        for u in order:
-            if not weight[u]:
+    free = pairs.size - fixed
+    order = np.argsort(-pairs.weight[:free], kind="stable")
+    best, most = None, -math.inf
+    for k in range(starts):
+        cls = np.arange(pairs.size) - free + classes
+        cls[order if k == 0 else np.random.default_rng(k).permutation(free)] = np.arange(free) % classes
+        n = _exchange(pairs, classes, cls, order)
+        own = float(_f(n).sum() - _f(n.sum(0)).sum() - _f(n.sum(1)).sum())
+        if best is None or own > most + 1e-9:
+            best, most = cls, own
+    return best
+
+
+def _exchange(pairs: Pairs, classes: int, cls: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """One start: `cls` is changed in place; the matrix of class bigrams is returned.
+
+    In each sweep every unit, the most frequent first, is taken from its class
+    and put where the log likelihood of the class bigrams is greatest; of
+    equals where it was, then the least class. Each move raises the likelihood,
+    so the sweeps end.
+    """
+    size = int(cls.max(initial=classes - 1)) + 1
+    after, before = pairs.to_classes(cls, size)
+    n = np.stack([after[cls == c].sum(0) for c in range(size)])
+    off = ~np.eye(size, dtype=bool)
+    moved = True
+    while moved:
+        moved = False
+        for u in order.tolist():
+            if not pairs.weight[u]:
                 continue
-            a, s = cls[u], m[u, u]
+            follow, times = pairs.after(u)
+            a, s = int(cls[u]), float(times[follow == u].sum())
             r, l = after[u].copy(), before[u].copy()
             r[a] -= s
             l[a] -= s
@@ -203,109 +274,238 @@ def _exchange(pairs: np.ndarray, classes: int, sweeps: int, dealt: np.ndarray) -
             # Wherever the unit goes, what stands before it keeps its total and so does what follows it.
             left, right = left + l, right + r
             gain = rows + cols + _f(own + r + l + s) - _f(own) - (_f(left + r.sum() + s) - _f(left)) - (_f(right + l.sum() + s) - _f(right))
-            b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9:
-                b = int(a)
+            b = int(gain[:classes].argmax())
+            if gain[b] <= gain[a] + 1e-9 * max(1.0, abs(gain[a])):
+                b = a
             n[b] += r
             n[:, b] += l
             n[b, b] += s
             if b != a:
-                moved += 1
+                moved = True
                 cls[u] = b
-                after[:, a] -= m[:, u]
-                after[:, b] += m[:, u]
-                before[:, a] -= m[u]
-                before[:, b] += m[u]
-        if not moved:
-            break
-    return cls
-
-
-class Model:
-    """What scoring needs beside the counts of words: bounded by the number of units."""
-
-    def __init__(self, frequent: list[bytes], pairs: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int, classes: int):
-        self.frequent, self.total, self.distinct = frequent, total, distinct
-        self.cls = exchange(pairs, classes)
-        member = np.eye(classes)[self.cls]
-        n = member.T @ pairs @ member
-        share = (n.sum(0) + 0.1) / (n.sum() + 0.1 * classes)
-        self.transition = np.log10((n + share[None, :]) / (n.sum(1, keepdims=True) + 1))
-        size = member.T @ tokens
-        #: Every class keeps room for one word that it never saw.
-        self.class_size = np.log10(size + 0.1 * (member.T @ types + 1))
-
-    def score(self, tokens: list[bytes], counts: dict[bytes, int], units: Units) -> tuple[int, int, float, float]:
-        """(tokens, known tokens, base score, score) of a text, its end included."""
-        tokens = [*tokens, END]
-        c = np.fromiter((counts.get(w, 0) for w in tokens), np.float64, len(tokens))
-        cls = self.cls[np.array(units.of([END, *tokens]))]
-        logs = np.log10(c + 0.1)
-        emitted = logs.sum()
-        base = emitted - len(tokens) * math.log10(self.total + 0.1 * (self.distinct + 1))
-        score = emitted - self.class_size[cls[1:]].sum() + self.transition[cls[:-1], cls[1:]].sum()
-        return len(tokens), int((c > 0).sum()), float(base), float(score)
-
-
-def fit(train: DataFrame, vocab: DataFrame, frequent: int = 1000, classes: int = 32) -> Model:
-    """A model of the training texts; `vocab` is theirs.
-
-    frequent: words that are units of their own. Every count is over all
-    training texts; the driver gets at most (frequent + 32) ** 2 of them.
+                lead, often = pairs.before(u)
+                after[lead, a] -= often
+                after[lead, b] += often
+                before[follow, a] -= times
+                before[follow, b] += times
+    return n
+
+
+def transitions(n: np.ndarray) -> np.ndarray:
+    """log10 of the probability of a class after a class: counts beside one pseudo-count dealt by the classes' shares."""
+    share = (n.sum(0) + 0.1) / (n.sum() + 0.1 * n.shape[1])
+    return np.log10((n + share[None, :]) / (n.sum(1, keepdims=True) + 1))
+
+
+class Classes:
+    """The units' classes, and the rule that places every other word."""
+
+    def __init__(self, units: list[bytes], counts: np.ndarray, pairs: Pairs, classes: int):
+        self.units, self.counts, self.classes = units, counts, classes
+        found = exchange(pairs, classes, fixed=1)
+        #: The class of each unit; after them, that of all other tokens.
+        self.unit = found
+        after, _ = pairs.to_classes(found, classes + 1)
+        n = np.stack([after[found == c].sum(0) for c in range(classes + 1)])
+        logs = transitions(n)
+        self._from, self._to = logs[:, :classes], logs[:classes].T
+        self._size = np.bincount(found[:-1], counts, classes)
+
+    def place(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """The classes of words by their counts of the classes (rows: words) before and after them.
+
+        Where transitions and the word's share of the class are likeliest; of
+        equals the least class. Rounded, so that sums in another order agree.
+        """
+        c = before.sum(1, keepdims=True)
+        logs = before @ self._from + after @ self._to - c * np.log10(np.maximum(self._size[None, :] + c, 1))
+        return np.round(logs, 6).argmax(1)
+
+
+def placed(rows: DataFrame, classes: Classes) -> DataFrame:
+    """(block, word, c, cls, is_first) of the words of `blocks` that training texts have, a row for each block that names one.
+
+    c: the count over all blocks. is_first: one of a word's rows. A word's rows
+    stream by in sorted order; what is kept of it is counts of classes and the
+    blocks that named it.
     """
-    top = vocab.orderBy(F.col("c").desc(), "word").limit(frequent).collect()
-    names = [bytes(r.word) for r in top]
-    size = len(names) + SHAPES
-    pairs = np.zeros(size * size, np.int64)
-    found = unit_bigrams(train, names).toArrow()
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    tokens, types = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    for r in unit_totals(vocab, names).collect():
-        tokens[r.unit], types[r.unit] = r.tokens, r.types
-    return Model(names, pairs.reshape(size, size), tokens, types, int(tokens.sum()), int(types.sum()), classes)
-
-
-def scored(docs: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
-    """The score columns of (doc_id, text, held_out), one row for each row of `docs`."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(parallelism(spark), -(-size // BLOCK))
-    # By what the row holds, so that both uses below agree wherever it is computed; copies spread by their ids.
-    dealt = docs.select("doc_id", "text", "held_out").withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[bytes]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, own in seen.items():
-                yield pa.record_batch([pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.binary())], ["block", "word"])
-            seen.clear()
+    wide = classes.classes + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, in_blocks, counts = None, [], np.zeros((2, wide), np.int64)  # the word that may go on
+
+        def out(block, word, c, cls, is_first) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(block, pa.int64()), word, pa.array(c, pa.int64()), pa.array(cls, pa.int32()), pa.array(is_first, pa.bool_())], ["block", "word", "c", "cls", "is_first"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if last is not None and (c := int(counts[0].sum())):
+                block = np.concatenate(in_blocks)
+                cls = int(classes.place(counts[:1], counts[1:])[0])
+                for a in range(0, len(block), ROWS):
+                    n = len(block[a : a + ROWS])
+                    yield out(block[a : a + n], pa.array([last] * n, pa.binary()), np.full(n, c), np.full(n, cls), np.arange(a, a + n) == 0)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word, block = batch.column(0), batch.column(1).to_numpy()
+            lists = [batch.column(i) for i in (2, 3)]
+            fresh = np.concatenate(([True], pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)))
+            group = np.cumsum(fresh) - 1
+            starts = np.flatnonzero(fresh)
+            of = np.repeat(group, pc.list_value_length(lists[0]).to_numpy())
+            both = np.stack([np.bincount(of * wide + classes.unit[x.flatten().to_numpy()], minlength=len(starts) * wide).reshape(-1, wide) for x in lists])
+            begin = word[0].as_py()
+            if begin == last:
+                both[:, 0] += counts
+                if len(starts) == 1:
+                    counts = both[:, 0].copy()
+                    in_blocks.append(block)
+                    continue
+                # The word that went on ends in this batch.
+                counts = both[:, 0].copy()
+                in_blocks.append(block[: starts[1]])
+                yield from close()
+                begun = 1
+            else:
+                yield from close()
+                begun = 0
+            end = len(starts) - 1
+            if end > begun:
+                c = both[0].sum(1)
+                cls = classes.place(both[0], both[1])
+                rows_ = np.arange(starts[begun], starts[end])
+                rows_ = rows_[c[group[rows_]] > 0]
+                yield out(block[rows_], word.take(pa.array(rows_)), c[group[rows_]], cls[group[rows_]], fresh[rows_])
+            last, in_blocks, counts = word[starts[end]].as_py(), [block[starts[end] :]], both[:, end].copy()
+        yield from close()
+
+    named = rows.filter(F.col("kind") == _WORD).select("word", "block", "before", "after")
+    return named.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, word binary, c long, cls int, is_first boolean")
+
+
+def _class_counts(rows: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(tokens, words) of each class, and the class that holds most words of count 1."""
+    tokens = np.bincount(classes.unit[:-1], classes.counts, classes.classes).astype(np.int64)
+    types = np.bincount(classes.unit[:-1], minlength=classes.classes)
+    once = np.bincount(classes.unit[:-1], classes.counts == 1, classes.classes).astype(np.int64)
+    for r in rows.filter("is_first").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        tokens[r.cls] += r.c
+        types[r.cls] += r.n
+        once[r.cls] += r.once
+    return tokens, types, int(once.argmax())
+
+
+_COUNTED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, pairs array<int>, times array<int>"
+
+
+def counted(rows: DataFrame, known: DataFrame, classes: Classes, unseen: int) -> DataFrame:
+    """For each document its tokens, known tokens, sum of log10(c + 0.1), and its class bigrams (before * classes + after) with their counts."""
+    most = rows.filter(F.col("kind") == _DOC).agg(F.max(F.shiftright("block", 32)), F.max(F.col("block").bitwiseAND(F.lit((1 << 32) - 1)))).first()
+    tasks, each = ((x or 0) + 1 for x in most)
+    place = F.shiftright("block", 32) * each + F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    width = classes.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = {w: i for i, w in enumerate(classes.units)}
+        block, index, new, c, cls, unit_count = None, own, [], None, None, len(own)
+
+        for batch in batches:
+            kind, at = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if at[a] != block:
+                    block, index, new, c = int(at[a]), dict(own), [], None
+                if kind[a] == _WORD:
+                    n = len(index)
+                    index.update(zip(batch.column(2)[a:b].to_pylist(), range(n, n + b - a)))
+                    new.append((batch.column(3)[a:b].to_numpy(), batch.column(4)[a:b].to_numpy()))
+                    continue
+                if c is None:
+                    # One place more, for what training texts don't have.
+                    c = np.concatenate([classes.counts, *[x for x, _ in new], [0]])
+                    cls = np.concatenate([classes.unit[:unit_count], *[x for _, x in new], [unseen]]).astype(np.int64)
+                    logs = np.log10(c + 0.1)
+                flat, ends = [END], []
+                for text in batch.column(7)[a:b]:
+                    flat += words(text.as_py())
+                    flat.append(END)
+                    ends.append(len(flat))
+                ids = np.fromiter(map(index.get, flat, repeat(len(c) - 1)), np.int64, len(flat))
+                n_tokens = np.diff(np.concatenate(([1], ends)))
+                of = np.repeat(np.arange(b - a), n_tokens)
+                known_ = np.bincount(of, c[ids[1:]] > 0, b - a).astype(np.int64)
+                own_cls = cls[ids]
+                # The end of a text stands before the next one, as an end before each text should.
+                code, times = np.unique(of * width * width + own_cls[:-1] * width + own_cls[1:], return_counts=True)
+                cut = np.searchsorted(code, np.arange(b - a + 1) * width * width).astype(np.int32)
+                yield pa.record_batch([batch.column(5)[a:b], batch.column(6)[a:b], pa.array(n_tokens, pa.int64()), pa.array(known_), pa.array(np.bincount(of, logs[ids[1:]], b - a)),
+                    pa.ListArray.from_arrays(pa.array(cut), pa.array((code % (width * width)).astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "logs", "pairs", "times"])
+
+    null = F.lit(None)
+    both = known.select(place.alias("at"), F.lit(_WORD).alias("kind"), "word", "c", "cls", null.cast("long").alias("doc_id"), null.cast("boolean").alias("held_out"), null.cast("string").alias("text")).unionByName(
+        rows.filter(F.col("kind") == _DOC).select(place.alias("at"), F.lit(_DOC).alias("kind"), null.cast("binary").alias("word"), null.cast("long").alias("c"), null.cast("int").alias("cls"), "doc_id", "held_out", "text")
+    )
+    parts = min(PARTS, tasks * each)
+    return both.repartitionById(parts, (F.col("at") % parts).cast("int")).sortWithinPartitions("at", "kind").mapInArrow(run, _COUNTED)
+
+
+def class_bigrams(docs: DataFrame, classes: int) -> np.ndarray:
+    """The matrix of class bigrams of the training documents of `counted`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), len(total)).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], ["code", "n"])
+
+    out = np.zeros(classes * classes, np.int64)
+    for r in docs.filter("NOT held_out").select("pairs", "times").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(classes, classes)
+
+
+def scored(docs: DataFrame, n: np.ndarray, tokens: np.ndarray, types: np.ndarray, total: int, distinct: int) -> DataFrame:
+    """The score columns of the documents of `counted`, under class bigrams and the classes' tokens and words."""
+    # Every class keeps room for one word that it never saw.
+    logs = (transitions(n) - np.log10(tokens + 0.1 * (types + 1))[None, :]).ravel()
+    base = math.log10(total + 0.1 * (distinct + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, block in zip(batch.column(1), batch.column(3).to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(words(text.as_py()))
-            if sum(map(len, seen.values())) > 2 * HELD:
-                yield from flush()
-        yield from flush()
-
-    # All columns go in, so that both uses are one exchange.
-    wanted = dealt.mapInArrow(distinct, "block int, word binary").distinct()
-    wanted = wanted.unionByName(spark.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(END).alias("word")))
-    known = wanted.join(vocab, "word").select("block", "word", "c")
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right["word"].to_pylist(), right["c"].to_pylist(), strict=True))
-        units = Units(model.frequent)
-        out = [model.score(words(t.as_py()), counts, units) for t in left["text"]]
-        n = len(out)
-        columns = list(zip(*out)) if out else [()] * 4
-        return pa.table({
-            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(columns[0], pa.int64()), "n_known": pa.array(columns[1], pa.int64()),
-            "train_tokens": pa.array([model.total] * n, pa.int64()), "base_score": pa.array(columns[2], pa.float64()), "score": pa.array(columns[3], pa.float64()),
-        })
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
+            x = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(x["pairs"]).to_numpy())
+            own = np.bincount(of, logs[x["pairs"].flatten().to_numpy()] * x["times"].flatten().to_numpy(), batch.num_rows)
+            emitted, n_tokens = x["logs"].to_numpy(), x["n_tokens"].to_numpy()
+            yield pa.record_batch([x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], pa.array(np.full(batch.num_rows, total, np.int64)), pa.array(emitted - n_tokens * base), pa.array(emitted + own)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def score(docs: DataFrame, share: float = 1e-4, classes: int = 32) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, text): one row for each row.
+
+    share: least share of the training tokens of a word that exchange moves
+    alone (the end always is one). classes: at least 1.
+    """
+    rows = split(docs)
+    vocab = written(vocabulary(rows.filter(~F.col("held_out"))), "vocabulary")
+    units, counts, total, distinct = units_of(vocab, share)
+    if END not in units:
+        units, counts = [*units, END], np.append(counts, vocab.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    dealt = written(blocks(rows, units), "blocks")
+    found = dealt.filter(F.col("kind") == _PAIR).groupBy(F.col("block").alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    size = len(units) + 1
+    model = Classes(units, counts, Pairs(found["code"].to_numpy(), found["n"].to_numpy(), size), classes)
+    known = written(placed(dealt, model), "placed")
+    tokens, types, unseen = _class_counts(known, model)
+    done = written(counted(dealt, known, model, unseen), "counted")
+    return scored(done, class_bigrams(done, classes), tokens, types, total, distinct)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -315,8 +515,4 @@ def query(docs: DataFrame) -> DataFrame:
     each. Without training texts every count is 0 and the smoothing alone
     gives the scores. An empty table gives no rows.
     """
-    rows = split(docs)
-    train = rows.filter(~F.col("held_out"))
-    vocab = written(vocabulary(train), "vocabulary")
-    model = fit(train, vocab)
-    return scored(rows, vocab, model).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    return score(docs).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -423,16 +423,6 @@ def test_op9(docs, none):
     assert class_lm.query(none).collect() == []
 
 
-def test_op9_exchange():
-    """Units of two kinds that follow each other in turn end in two classes."""
-    rng = np.random.default_rng(0)
-    m = np.zeros((12, 12), np.int64)
-    m[:6, 6:] = rng.integers(20, 60, (6, 6))
-    m[6:, :6] = rng.integers(20, 60, (6, 6))
-    cls = class_lm.exchange(m, 2)
-    assert len(set(cls[:6])) == len(set(cls[6:])) == 1 and cls[0] != cls[6]
-
-
 def test_op9_better_than_words(spark):
     rng = random.Random(4)
     first, second = [f"aa{i}" for i in range(40)], [f"bb{i}" for i in range(40)]
@@ -462,17 +452,3 @@ def test_op10_growth_and_weights(spark):
     assert all(r.w in (r.n8, 3) for r in placed)
     share = collections.Counter(r.w for r in placed)
     assert abs(share[3] / 20_000 - 2 / 9) < 0.02 and all(abs(share[s] / 20_000 - 1 / 9) < 0.02 for s in range(8) if s != 3)
-
-
-def test_op9_no_move_helps():
-    """After an exchange no unit has a better class, by the likelihood computed anew."""
-    rng = np.random.default_rng(1)
-    for _ in range(20):
-        m = rng.integers(0, 9, (9, 9)) * (rng.random((9, 9)) < 0.6)
-        cls = class_lm.exchange(m, 3, 50)
-        best = class_lm.likelihood(m, cls, 3)
-        for unit in range(9):
-            for other in range(3):
-                moved = cls.copy()
-                moved[unit] = other
-                assert not m[unit].sum() + m[:, unit].sum() or class_lm.likelihood(m, moved, 3) <= best + 1e-6
