@@ -7,15 +7,18 @@ guarantees. A posting list of one positional byte holds a 256th of all
 fingerprints, and tallying pairs over such lists is quadratic. So postings are
 kept for triples of positions: by Turan's construction 20 triples are enough
 for every choice of 4 positions to hold one of them, and a list has a
-16-millionth of unrelated fingerprints. Of fingerprints that meet in a list,
-the shared bytes are tallied in full, pairs that reach the minimum are kept,
-and those are verified bit by bit.
+16-millionth of unrelated fingerprints. A list that is long all the same is
+parted by a fourth position: a pair with the minimum of matches shares one of
+the quadruples too. Of fingerprints that meet in a list, the shared bytes are
+tallied; only pairs that reach the minimum are kept, and only those are
+verified bit by bit.
 
 No list emits all of its pairs: what leaves a list is a forest of its links,
-with fewer rows than the list has fingerprints. Lists beyond a bounded length
-are first linked near their sorted order and to their first member; what still
-lies in several components is compared in blocks of bounded size, and only
-across components. The result is the same as from all pairs.
+with fewer rows than the list has fingerprints. A list beyond a bounded length
+is dealt to slices in several tasks, each compared as a whole and with the
+list's least member; slices are then compared with each other in blocks of
+bounded size, and only across components. The result is the same as from all
+pairs.
 """
 
 from __future__ import annotations
@@ -32,10 +35,10 @@ from pyspark.sql import functions as F
 from karstflow.llm.common import let_workers_import, texts, written
 from karstflow.llm.components import components
 
-#: Fingerprints of a list that is compared as a whole, and of one side of a block of a longer one.
-SHORT, BLOCK = 2048, 16384
-#: Places ahead, in sorted order, to which members of a longer list are compared before its blocks are.
-AHEAD = 16
+#: Fingerprints of a list, or of a slice of a longer one, that are compared as a whole.
+SHORT = 2048
+#: Parts that the rows of a component with many fingerprints are dealt to.
+SALTS = 16
 #: Hashes whose bits are counted at once.
 _AT_ONCE = 1 << 16
 
@@ -95,25 +98,66 @@ def position_lists(least: int) -> list[tuple[int, ...]]:
     return inside + [(*two, one) for k, g in enumerate(groups) for two in combinations(g, 2) for one in groups[(k + 1) % 3]]
 
 
-def _postings(nodes: DataFrame, bits: int) -> DataFrame:
-    """(list, fp): each fingerprint in the list of every position set; list holds the set's number and the bytes."""
+def _lists(fp: Column, sets: list[tuple[int, ...]]) -> list[Column]:
+    """A fingerprint's list for each set of positions: the set's number above the bytes at its positions."""
 
     def key(number: int, positions: tuple[int, ...]) -> Column:
         out = F.lit(number << 8 * len(positions)).cast("long")
         for at, p in enumerate(positions):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)), 8 * at))
+            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255)), 8 * at))
         return out
 
-    return nodes.select(F.explode(F.array(*[key(i, x) for i, x in enumerate(position_lists(8 - bits))])).alias("list"), "fp")
+    return [key(i, x) for i, x in enumerate(sets)]
 
 
-def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    """Of pairs of fingerprints, which reach the minimum of shared bytes and pass the bits."""
+def _postings(nodes: DataFrame, bits: int) -> DataFrame:
+    """(list, fp, slice, slices, hub): each fingerprint in the list of every position set.
+
+    slices: how many a list is dealt to; hub: the least fingerprint of a list
+    that has several. Lists of triples that are longer than SHORT give way to
+    lists of the quadruples that hold them.
+    """
+    sets = position_lists(8 - bits)
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("list").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("hub")).filter(F.col("size") > SHORT)
+
+    rows = nodes.select(F.explode(F.array(*_lists(F.col("fp"), sets))).alias("list"), "fp")
+    if bits <= 4:
+        long = sized(rows).select("list")
+        wider = list(combinations(range(8), 4))
+        holding = F.array(*[F.array(*[F.lit(i) for i, w in enumerate(wider) if set(x) <= set(w)]) for x in sets])
+        # A set's number stands above its three bytes.
+        numbers = F.get(holding, F.shiftright("list", 24).cast("int"))
+        every = F.array(*_lists(F.col("fp"), wider))
+        parted = rows.join(long, "list", "left_semi").select("fp", F.explode(F.transform(numbers, lambda i: F.get(every, i))).alias("list")).distinct()
+        # Lists of quadruples are told from those of triples by their sign.
+        rows = rows.join(long, "list", "left_anti").unionByName(parted.select((-1 - F.col("list")).alias("list"), "fp"))
+    slices = F.coalesce(F.ceil(F.col("size") / SHORT), F.lit(1)).cast("int")
+    both = rows.join(sized(rows), "list", "left").select("list", "fp", slices.alias("slices"), "hub")
+    return both.withColumn("slice", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("slices")).cast("int"))
+
+
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+
+
+def tallied(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    """Of pairs of fingerprints, the places of those that share at least so many positional bytes."""
     x = a ^ b
-    shared = sum((x >> np.uint64(8 * p) & np.uint64(255) == 0).astype(np.int8) for p in range(8)) if x.size < 4096 else None
-    near = np.bitwise_count(x) <= bits
-    # A pair within the bits shares the bytes anyway, so large blocks spare the tally.
-    return near if shared is None else near & (shared >= 8 - bits)
+    # The high bit of a byte is left unset where any bit of the byte is set.
+    equal = ~(((x & _LOW) + _LOW) | x | _LOW)
+    return np.flatnonzero(np.bitwise_count(equal) >= least)
+
+
+def verified(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """Of pairs of fingerprints, which differ in at most so many bits."""
+    return np.bitwise_count(a ^ b) <= bits
+
+
+def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    """The places of the pairs that pass the tally and then the bits."""
+    at = tallied(a, b, 8 - bits)
+    return at[verified(a[at], b[at], bits)]
 
 
 class _Forest:
@@ -157,72 +201,47 @@ class _Forest:
         return fp[np.concatenate([none, *self.left])], fp[np.concatenate([none, *self.right])]
 
 
-def _forest(lists: np.ndarray, fp: np.ndarray, bits: int, ahead: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the lists of sorted arrays, up to `ahead` places on: one comparison of arrays for each distance."""
+def _forest(lists: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the lists of sorted arrays: one comparison of arrays for each distance in them."""
     forest, at, step = _Forest(np.arange(len(fp))), np.arange(len(fp)), 1
-    while ahead is None or step <= ahead:
+    while True:
         at = at[at + step < len(fp)]
         at = at[lists[at] == lists[at + step]]
         if not len(at):
-            break
+            return forest.links(fp)
         i = at[_linked(fp[at], fp[at + step], bits)]
         forest.join(i, i + step)
         step += 1
-    return forest.links(fp)
-
-
-_IN_LISTS = "u long, v long, list long, part int"
 
 
-def _inside(bits: int, short: int, block: int):
-    """For mapInArrow over (list, fp) in order: the links of lists up to `short`, and the members of longer ones.
-
-    A link is (u, v); a member of a longer list (u: itself, v: null, list, part).
-    """
-
-    def batch(u, v, lists=None, part=None) -> pa.RecordBatch:
-        n = len(u)
-        return pa.record_batch([pa.array(u.view(np.int64)), pa.nulls(n, pa.int64()) if v is None else pa.array(v.view(np.int64)), pa.nulls(n, pa.int64()) if lists is None else pa.array(lists), pa.nulls(n, pa.int32()) if part is None else pa.array(part.astype(np.int32))], ["u", "v", "list", "part"])
+def _inside(bits: int):
+    """For mapInArrow over (list, slice, fp, hub) in order: the links inside slices and of their members to the hub, as (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, fp = np.empty(0, np.int64), np.empty(0, np.uint64)
-        long, first, seen = None, None, 0  # the longer list that is passing by
-
-        def passing(lists: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Rows of the longer list."""
-            nonlocal seen
-            hub = fp[_linked(fp, np.full_like(fp, first), bits) & (fp != first)]
-            yield batch(np.full_like(hub, first), hub)
-            yield batch(*_forest(lists, fp, bits, AHEAD))
-            yield batch(fp, None, lists, (seen + np.arange(len(fp))) // block)
-            seen += len(fp)
+        lists, fp = np.empty((0, 2), np.int64), np.empty(0, np.uint64)
+
+        def links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         def done(last: bool) -> Iterator[pa.RecordBatch]:
-            """Work off what is complete; leave the rows of the list that may go on."""
-            nonlocal lists, fp, long, first, seen
-            if long is not None:
-                own = int(np.searchsorted(lists, long, side="right"))
-                if own:
-                    yield from passing(lists[:own], fp[:own])
-                    lists, fp = lists[own:], fp[own:]
-                if not len(fp):
-                    return
-            cuts = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1, [len(lists)])) if len(lists) else np.zeros(1, np.int64)
-            sizes = np.diff(cuts)
-            for k in np.flatnonzero(sizes > short).tolist():
-                a, b = int(cuts[k]), int(cuts[k + 1])
-                long, first, seen = int(lists[a]), fp[a], 0
-                yield from passing(lists[a:b], fp[a:b])
-            complete = len(sizes) if last else max(0, len(sizes) - 1)
-            small = np.repeat(sizes <= short, sizes)
-            small[cuts[complete] :] = False
-            yield batch(*_forest(lists[small], fp[small], bits))
-            rest = len(lists) if not last and len(sizes) and sizes[-1] > short else int(cuts[complete])
-            lists, fp = lists[rest:], fp[rest:]
+            """Work off what is complete; leave the rows of the slice that may go on."""
+            nonlocal lists, fp
+            number = np.cumsum(np.concatenate(([0], (lists[1:] != lists[:-1]).any(axis=1)))) if len(lists) else np.empty(0, np.int64)
+            cut = len(lists) if last else int(np.searchsorted(number, number[-1]))
+            yield links(*_forest(number[:cut], fp[:cut], bits))
+            lists, fp = lists[cut:], fp[cut:]
 
         for x in batches:
-            lists = np.concatenate([lists, x.column(0).to_numpy()])
-            fp = np.concatenate([fp, x.column(1).to_numpy().view(np.uint64)])
+            if not x.num_rows:
+                continue
+            own = x.column(2).to_numpy().view(np.uint64)
+            lists = np.concatenate([lists, np.stack([x.column(0).to_numpy(), x.column(1).to_numpy().astype(np.int64)], axis=1)])
+            fp = np.concatenate([fp, own])
+            some = np.flatnonzero(x.column(3).is_valid().to_numpy(zero_copy_only=False))
+            hub = x.column(3).fill_null(0).to_numpy().view(np.uint64)
+            some = some[own[some] != hub[some]]
+            some = some[_linked(own[some], hub[some], bits)]
+            yield links(hub[some], own[some])
             if len(fp) >= 1 << 16:
                 yield from done(False)
         yield from done(True)
@@ -231,7 +250,7 @@ def _inside(bits: int, short: int, block: int):
 
 
 def _across(bits: int):
-    """For mapInArrow: links across components in blocks that arrive sorted by block.
+    """For mapInArrow: links across components between two slices, in blocks that arrive sorted by block.
 
     Columns: list, i, j, fp, label, is_left. Gives a forest of each block's links.
     """
@@ -240,14 +259,15 @@ def _across(bits: int):
         fp, left = rows[:, 0].view(np.uint64), rows[:, 2].astype(bool)
         names, label = np.unique(rows[:, 1], return_inverse=True)
         forest = _Forest(label)
-        a, b = (left.nonzero()[0], (~left).nonzero()[0]) if not left.all() else (np.arange(len(fp)),) * 2
+        a, b = left.nonzero()[0], (~left).nonzero()[0]
         # Most of a hot list is one component: its members need only be compared with the others.
         most = np.bincount(label).argmax()
         for some, others in ((a[label[a] != most], b), (a[label[a] == most], b[label[b] != most])):
             for at in range(0, len(some) if len(others) else 0, 64):
                 part = some[at : at + 64]
-                i, j = (np.bitwise_count(fp[part][:, None] ^ fp[others][None, :]) <= bits).nonzero()
-                forest.join(part[i], others[j])
+                i, j = np.repeat(part, len(others)), np.tile(others, len(part))
+                near = _linked(fp[i], fp[j], bits)
+                forest.join(i[near], j[near])
         return forest.links(fp)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,17 +302,19 @@ def linked(prints: DataFrame, bits: int = 4) -> DataFrame:
     """
     spark = prints.sparkSession
     let_workers_import(spark)
-    met = written(_postings(prints.select("fp"), bits).repartition("list").sortWithinPartitions("list", "fp").mapInArrow(_inside(bits, SHORT, BLOCK), _IN_LISTS), "lists")
-    first = written(components(met.filter("v IS NOT NULL").select("u", "v")), "components")
+    postings = _postings(prints.select("fp"), bits)
+    dealt = postings.repartition("list", "slice").sortWithinPartitions("list", "slice", "fp")
+    met = written(dealt.select("list", "slice", "fp", "hub").mapInArrow(_inside(bits), "u long, v long"), "lists")
+    first = written(components(met), "components")
     found = first.select(F.col("node").alias("fp"), "root")
-    members = met.filter("list IS NOT NULL").select("list", "part", F.col("u").alias("fp"))
+    members = written(postings.filter("slices > 1").select("list", "slice", "slices", "fp"), "members")
     if members.isEmpty():
         return found
-    labelled = members.join(found, "fp", "left").select("list", "part", "fp", F.coalesce("root", "fp").alias("label"))
-    mixed = labelled.groupBy("list").agg((F.max("part") + 1).alias("parts"), F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("list", "parts")
-    # Block (i, j) gets the members of i and those of j; block (i, i) those of i.
-    dealt = labelled.join(mixed, "list").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "list", F.least("part", "other").cast("long").alias("i"), F.greatest("part", "other").cast("long").alias("j"), "fp", "label", (F.col("part") <= F.col("other")).cast("long").alias("is_left")
+    labelled = members.join(found, "fp", "left").withColumn("label", F.coalesce("root", "fp")).drop("root")
+    mixed = labelled.groupBy("list").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("list")
+    # Block (i, j) gets the members of two slices; those of one have been compared.
+    dealt = labelled.join(mixed, "list").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")).filter("other <> slice").select(
+        "list", F.least("slice", "other").cast("long").alias("i"), F.greatest("slice", "other").cast("long").alias("j"), "fp", "label", (F.col("slice") < F.col("other")).cast("long").alias("is_left")
     )
     key = ["list", "i", "j"]
     more = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_across(bits), "u long, v long")
@@ -300,6 +322,20 @@ def linked(prints: DataFrame, bits: int = 4) -> DataFrame:
     return components(tree.unionByName(more)).select(F.col("node").alias("fp"), "root")
 
 
+def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, component_id) of (fp, least): the least of a linked fingerprint's component, its own if it has no link.
+
+    Linked fingerprints are dealt over salts, so that one component of most of
+    them isn't one task.
+    """
+    both = nodes.join(found, "fp", "left")
+    alone = both.filter("root IS NULL").select("fp", F.col("least").alias("component_id"))
+    some = both.filter("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    ids = some.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return alone.unionByName(some.join(ids, ["root", "salt"]).select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of `docs`.
 
@@ -311,12 +347,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     """
     rows = written(fingerprints(docs, shingle), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = linked(nodes, bits)
-    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(_named(nodes, written(linked(nodes, bits), "linked")), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """`near_duplicates` with the contract's four-word shingles and 4 bits."""
     return near_duplicates(docs)

@@ -100,7 +100,6 @@ def test_op1_dense_lists(spark, monkeypatch):
     from itertools import combinations
 
     assert all(any(set(x) <= set(four) for x in simhash.position_lists(4)) for four in combinations(range(8), 4)) and len(simhash.position_lists(4)) == 20
-    monkeypatch.setattr(simhash, "BLOCK", 50)
     monkeypatch.setattr(simhash, "SHORT", 20)
     rng = random.Random(3)
     prints = set()
