@@ -19,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import texts, written
-from karstflow.llm.spans import add_spans, joined, replaced, union_of
+from karstflow.llm.common import settled, texts, written
+from karstflow.llm.spans import add_spans, add_union, joined, replaced
 
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -97,7 +97,7 @@ def disclosures(rows: DataFrame) -> DataFrame:
     term_docs = rows.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = F.lit(float(rows.count()))
     # An entity's own characters are no terms beside it.
-    beside = rows.filter(F.size("entities") > 0).select("uid", F.explode(_terms(replaced(F.col("_text"), union_of([F.col(k) for k in BASE]), " "))).alias("term"))
+    beside = rows.filter(F.size("entities") > 0).select("uid", F.explode(_terms(F.coalesce("_clear", "_text"))).alias("term"))
     beside = beside.join(term_docs.filter((F.col("n_t") > 1) & (F.log2(total / F.col("n_t")) >= BITS)), "term")
     pairs = beside.join(own.join(entities, "entity"), "uid").filter(F.col("n_e") > POSTERIOR * (F.col("n_t") + 1))
     known = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te")).filter("n_te > 1")
@@ -113,21 +113,28 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     when the patterns' finds are written, so ids may be null or repeated;
     repeated rows count each as a document.
     """
-    first = found(docs.withColumn("_text", F.col("text")), "_text", *keep).withColumn("uid", F.monotonically_increasing_id())
+    first = found(docs.withColumn("_text", F.col("text")), "_text", *keep)
     plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE]
-    rows = written(first.select("uid", "doc_id", "_text", *keep, *plain, F.concat(*[_entities(k) for k in BASE]).alias("entities")), "entities")
+    first = settled(first.select("doc_id", "_text", *keep, *plain, F.concat(*[_entities(k) for k in BASE]).alias("entities")))
+    # The text without its entities, every other character in its place.
+    first = add_union(first, [(F.col(k), "") for k in BASE], "_u").withColumn("_clear", F.when(F.size("_u") > 0, replaced(F.col("_text"), "_u", like=True))).drop("_u")
+    rows = written(first.withColumn("uid", F.monotonically_increasing_id()), "entities")
     strong = written(disclosures(rows).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("remove")), "terms")
-    told = rows.select("uid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term")
+    told = rows.select("uid", F.explode(_terms(F.coalesce("_clear", "_text"))).alias("term")).join(strong, "term")
     marks = written(told.groupBy("uid").agg(F.collect_list(F.struct("term", "remove")).alias("told")), "marks")
-    marked = rows.drop("entities").join(marks, "uid", "left").withColumn("told", F.map_from_entries("told"))
+    marked = rows.drop("entities").join(marks, "uid", "left").withColumn("told", F.map_from_entries("told")).withColumn("_text", F.coalesce("_clear", "_text")).drop("_clear")
     marked = add_spans(marked, "_text", "_t", TERM, F.col("told").isNotNull())
     spans = F.filter(F.transform("_t", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at("told", F.lower(x["match"])).alias("remove"))), lambda x: x["remove"].isNotNull())
-    clear = F.filter(spans, lambda x: ~F.exists(F.concat(*BASE), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
-    return marked.withColumn("term", F.when(F.size("_t") > 0, clear).otherwise(empty)).drop("uid", "_text", "told", "_t")
+    return marked.withColumn("term", F.when(F.size("_t") > 0, spans).otherwise(empty)).drop("uid", "_text", "told", "_t")
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term: one row for each row of `docs`.
+
+    spans: those of the patterns and of disclosing terms, by kind and then
+    start. Null and empty texts have none; an empty table gives no rows.
+    """
     kinds = [(k, F.col(k)) for k in KINDS]
     return scan(texts(docs)).select(
         "doc_id",
@@ -141,22 +148,10 @@ def query(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """(doc_id, text): entities become <kind>, disclosing terms <term> or nothing.
 
-    Of spans that overlap, the one that begins first, then the kind listed
-    first, is replaced; the rest of the others stays.
+    Spans that overlap are replaced as one, by the mask of the one that begins
+    first, then of the kind listed first. A null text is an empty one.
     """
-    clean = texts(docs)
-    marked = scan(clean, "text")
-
-    def masks(kind: str) -> Column:
-        mask = (lambda x: F.when(x["remove"], F.lit("")).otherwise(F.lit("<term>"))) if kind == "term" else (lambda x: F.lit(f"<{kind}>"))
-        order = KINDS.index(kind)
-        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("k"), x["end"].alias("end"), mask(x).alias("mask")))
-
-    every = F.sort_array(F.concat(*[masks(k) for k in KINDS]))
-    walked = F.aggregate(
-        every,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["parts"], F.array(F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), x["mask"])).alias("parts"))).otherwise(a),
-        lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(F.col("text"), a["at"] + 1, F.lit(2147483647))),
-    )
-    return marked.select("doc_id", walked.alias("text"))
+    marked = scan(texts(docs), "text")
+    masks = [(F.col(k), f"<{k}>") for k in BASE]
+    masks.append((F.col("term"), lambda x: F.when(x["remove"], F.lit("")).otherwise(F.lit("<term>"))))
+    return add_union(marked, masks, "_spans").select("doc_id", replaced(F.col("text"), "_spans").alias("text"))

@@ -1,18 +1,25 @@
 """Secret scans: fixed patterns and a battery of randomness tests.
 
-Beside the patterns, every long token of a text that mixes letters and digits
-is a candidate. Its encoding is inferred from its characters (hexadecimal,
-base 32, base 36 or base 64) and its characters become positions in that
-alphabet. Three tests ask whether they could be drawn at random: chi-squared
-for uniform use of the alphabet, runs about the alphabet's middle, and
-lag-one serial correlation. Fisher's method combines them to one p-value, small
-where the token has structure.
-
-Length-aware control of false discoveries: candidates of one encoding and
-length band are judged together. Benjamini and Hochberg's procedure names
-those with structure at a rate that is the more liberal the shorter the band,
-since short tokens give the tests little power; the rest are secrets. The
-procedure runs on counts of p-values in fixed steps, a table whose size
+Beside the patterns, every token of 20 or more characters of base 64 that the
+patterns leave is a candidate. What is tested is its longest part between
+separators if that has 20 characters, else all of it without separators; so a
+prefix such as `sk-` is no part of the test. The encoding is inferred from the
+alphabet alone: hexadecimal, base 26, 32, 36 or 62. Digits alone are a number.
+
+Three tests ask whether the characters could be drawn at random: chi-squared
+for uniform use of the alphabet, in cells of characters that ordinary text
+uses about alike; runs about the alphabet's middle; and lag-one serial
+correlation. Fisher's method combines them to one p-value, small where the
+token has structure. The share of random tokens that the battery calls
+structured is LOST, whatever their length.
+
+Length-aware control of false discoveries: a token's evidence against being
+ordinary is the likelihood ratio of uniform use to that of ordinary text and
+identifiers over the cells, an e-value, which grows with length; it counts as
+0 where the battery finds structure. Candidates of one encoding and length
+band are judged together by Benjamini and Hochberg's procedure for e-values:
+of what a band reports, at most the share FALSE is expected to be ordinary.
+The procedure runs on counts of e-values in fixed steps, a table whose size
 doesn't depend on the corpus, over all documents. DataFrame functions only.
 """
 
@@ -23,146 +30,190 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import texts, written
-from karstflow.llm.spans import add_spans, joined, replaced, union_of
+from karstflow.llm.common import settled, texts, written
+from karstflow.llm.spans import add_spans, add_union, joined, replaced
 
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
-CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+SEPARATORS = "[+/_=-]+"
+#: Characters that a part, or a token without separators, must have for a test.
+PART, LEAST = 20, 16
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "random")
 
-#: name -> characters in order of their values
-ALPHABETS = {
-    "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+# Letters by how common they are in text of Latin script, and the
+# shares of ordinary text and identifiers. Cells of an alphabet in the order of
+# their values: (characters, share).
+COMMON, MIDDLE, RARE, DIGITS = "eainrstol", "duhcmgpfb", "ywvkxjqz", "0123456789"
+CELLS = {
+    "hex": (("01234", 0.5), ("56789", 0.4), ("abcdef", 0.1)),
+    "base26": ((COMMON, 0.68), (MIDDLE, 0.25), (RARE, 0.07)),
+    "base32": ((COMMON, 0.62), (MIDDLE, 0.20), (RARE, 0.07), ("234567", 0.11)),
+    "base36": ((COMMON, 0.62), (MIDDLE, 0.20), (RARE, 0.07), (DIGITS, 0.11)),
+    "base62": ((COMMON, 0.60), (MIDDLE, 0.20), (RARE, 0.06), (DIGITS, 0.06), ((COMMON + MIDDLE + RARE).upper(), 0.08)),
 }
-#: p-values are counted in steps of -log10, up to the last.
+ALPHABETS = {name: "".join(x for x, _ in cells) for name, cells in CELLS.items()}
+
+#: Share of random tokens that the battery may lose; share of ordinary ones among what a band reports.
+LOST, FALSE = 0.01, 0.05
+#: e-values are counted in steps of log10, up to the last.
 STEP, STEPS = 0.05, 400
 BAND, BANDS = 8, 16
-RATE = 0.05
 
 
-def _normal_tail(z: Column) -> Column:
-    """1 - Phi(z) by a logistic curve, within 0.0002 of it."""
-    z = F.greatest(F.least(z, F.lit(12.0)), F.lit(-12.0))
-    return 1 / (1 + F.exp(1.5976 * z + 0.070565992 * z * z * z))
+def _erfc(x: Column) -> Column:
+    """The complementary error function for x >= 0, by a Chebyshev fit with a relative error under 1.2e-7."""
+    t = 1 / (1 + 0.5 * x)
+    out = F.lit(0.17087277)
+    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+        out = out * t + c
+    return t * F.exp(out - x * x)
 
 
-def _battery(v: Column, size: int) -> Column:
-    """The combined p-value of an array of values 0 .. size-1 (at least 20 of them)."""
-    n = F.size(v).cast("double")
-    # Values in order: the lengths of equal stretches are their counts.
-    squares = F.aggregate(
-        F.sort_array(v),
-        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum")),
-        # A stretch of c adds 1 + 3 + ... + (2c - 1) = c * c.
-        lambda a, x: F.when(a["last"] == x, F.struct(x.alias("last"), (a["run"] + 1).alias("run"), (a["sum"] + 2 * a["run"] + 1).alias("sum"))).otherwise(F.struct(x.alias("last"), F.lit(1.0).alias("run"), (a["sum"] + 1).alias("sum"))),
-        lambda a: a["sum"],
-    )
-    df = float(size - 1)
-    chi = squares * size / n - n
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    walk = F.aggregate(
-        v,
-        F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("sl")),
-        lambda a, x: F.struct(
-            x.alias("last"),
-            (a["runs"] + F.when((a["last"] >= 0) & ((a["last"] >= size // 2) == (x >= size // 2)), 0.0).otherwise(1.0)).alias("runs"),
-            (a["high"] + F.when(x >= size // 2, 1.0).otherwise(0.0)).alias("high"),
-            (a["s"] + x).alias("s"),
-            (a["ss"] + x.cast("double") * x).alias("ss"),
-            (a["sl"] + F.when(a["last"] >= 0, a["last"].cast("double") * x).otherwise(0.0)).alias("sl"),
-        ),
-    )
-    ends = F.element_at(v, 1).cast("double"), F.element_at(v, -1).cast("double")
+def _chi_tail(x: Column, df: int) -> Column:
+    """The upper tail of chi-squared with 2, 3 or 4 degrees of freedom."""
+    if df == 2:
+        return F.exp(-x / 2)
+    if df == 4:
+        return F.exp(-x / 2) * (1 + x / 2)
+    return _erfc(F.sqrt(x / 2)) + F.sqrt(2 * x / math.pi) * F.exp(-x / 2)
+
+
+def _two_sided(z: Column) -> Column:
+    return _erfc(F.least(F.abs(z), F.lit(30.0)) / math.sqrt(2))
+
+
+def _counts(text: Column, encoding: str) -> list[Column]:
+    """How many characters of a text lie in each cell."""
+    return [(F.length(text) - F.length(F.translate(text, x, ""))).cast("double") for x, _ in CELLS[encoding]]
+
+
+def _battery(text: Column, encoding: str) -> Column:
+    """The combined p-value of a text in the characters of an alphabet (at least 16 of them)."""
+    letters = ALPHABETS[encoding]
+    size, half, cells = len(letters), len(letters) // 2, CELLS[encoding]
+    n = F.length(text).cast("double")
+    chi = sum((c * c * (size / len(x)) for c, (x, _) in zip(_counts(text, encoding), cells, strict=True)), F.lit(0.0)) / n - n
+    values = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(letters), c) - 1)
+
+    def walk(v: Column) -> Column:
+        return F.aggregate(
+            v,
+            F.struct(F.lit(-1).alias("last"), F.lit(-1).alias("first"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("sl")),
+            lambda a, x: F.struct(
+                x.alias("last"),
+                F.when(a["first"] < 0, x).otherwise(a["first"]).alias("first"),
+                (a["runs"] + F.when((a["last"] >= 0) & ((a["last"] >= half) == (x >= half)), 0.0).otherwise(1.0)).alias("runs"),
+                (a["high"] + F.when(x >= half, 1.0).otherwise(0.0)).alias("high"),
+                (a["s"] + x).alias("s"),
+                (a["ss"] + x.cast("double") * x).alias("ss"),
+                (a["sl"] + F.when(a["last"] >= 0, a["last"].cast("double") * x).otherwise(0.0)).alias("sl"),
+            ),
+        )
 
     def rest(w: Column) -> Column:
-        low = n - w["high"]
-        both = 2 * w["high"] * low
+        both = 2 * w["high"] * (n - w["high"])
         mean, var = both / n + 1, both * (both - n) / (n * n * (n - 1))
-        z_runs = F.when(var > 0, F.abs(w["runs"] - mean) / F.sqrt(var)).otherwise(12.0)
+        runs = F.when(var > 0, (w["runs"] - mean) / F.sqrt(var)).otherwise(30.0)
         m = w["s"] / n
         spread = w["ss"] - n * m * m
-        lagged = w["sl"] - m * (2 * w["s"] - ends[0] - ends[1]) + (n - 1) * m * m
-        z_serial = F.when(spread > 0, F.abs(lagged / spread + 1 / n) * F.sqrt(n)).otherwise(12.0)
-        logs = F.log(_normal_tail(z_chi)) + F.log(F.least(F.lit(1.0), 2 * _normal_tail(z_runs))) + F.log(F.least(F.lit(1.0), 2 * _normal_tail(z_serial)))
-        x = -logs  # half of Fisher's statistic; chi-squared with six degrees of freedom
+        lagged = w["sl"] - m * (2 * w["s"] - w["first"] - w["last"]) + (n - 1) * m * m
+        serial = F.when(spread > 0, (lagged / spread + 1 / n) * F.sqrt(n)).otherwise(30.0)
+        least = F.lit(1e-300)
+        x = -sum((F.log(F.greatest(p, least)) for p in (_chi_tail(F.greatest(chi, F.lit(0.0)), len(cells) - 1), _two_sided(runs), _two_sided(serial))), F.lit(0.0))
+        # x is half of Fisher's statistic: chi-squared with six degrees of freedom.
         return F.exp(-x) * (1 + x + x * x / 2)
 
-    return F.element_at(F.transform(F.array(walk), rest), 1)
+    return F.element_at(F.transform(F.transform(F.array(values), walk), rest), 1)
 
 
-def _encoding(t: Column) -> Column:
-    """The smallest alphabet that the characters allow; null unless letters and digits mix."""
+def _evidence(text: Column, encoding: str) -> Column:
+    """log10 of the likelihood ratio of uniform use to ordinary use."""
+    cells, size = CELLS[encoding], len(ALPHABETS[encoding])
+    return sum((c * math.log10(len(x) / size / share) for c, (x, share) in zip(_counts(text, encoding), cells, strict=True)), F.lit(0.0))
+
+
+def tested_part(token: Column) -> Column:
+    """What of a token is tested; null where that is too short."""
+    parts = F.split(token, SEPARATORS)
+    longest = F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))
+    whole = F.array_join(parts, "")
+    return F.when(longest["n"] >= PART, longest["p"]).when(F.length(whole) >= LEAST, whole)
+
+
+def encoding_of(part: Column) -> Column:
+    """The smallest alphabet that has all characters; null for digits alone."""
     return (
-        F.when(~(t.rlike("[0-9].*[0-9]") & t.rlike("[A-Za-z].*[A-Za-z]")), F.lit(None))
-        .when(t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
-        .when(t.rlike("^[A-Z2-7]+$"), F.lit("base32"))
-        .when(t.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), F.lit("base36"))
-        .when(t.rlike("[A-Z]") & t.rlike("[a-z]"), F.lit("base64"))
+        F.when(part.rlike("^[0-9]+$"), F.lit(None))
+        .when(part.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex"))
+        .when(part.rlike("^(?:[a-z]+|[A-Z]+)$"), F.lit("base26"))
+        .when(part.rlike("^[A-Z2-7]+$"), F.lit("base32"))
+        .when(part.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), F.lit("base36"))
+        .when(part.isNotNull(), F.lit("base62"))
     )
 
 
-def _level(t: Column, encoding: str) -> Column:
-    """The step of -log10 p of a token."""
-    letters = ALPHABETS[encoding]
-    if encoding in ("hex", "base36"):
-        t = F.lower(t)
-    if encoding == "base64":
-        t = F.translate(t, "-_", "+/")
-    values = F.transform(F.filter(F.split(t, ""), lambda c: c != ""), lambda c: F.instr(F.lit(letters), c) - 1)
-    p = F.element_at(F.transform(F.array(values), lambda v: _battery(v, len(letters))), 1)
-    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) / STEP), F.lit(STEPS)).cast("int")
+def _level(part: Column, encoding: str) -> Column:
+    """The step of log10 of the e-value; -1 where it is less than 1 or the battery finds structure."""
+    text = part if encoding == "base62" else F.lower(part)
+    log = _evidence(text, encoding)
+    # Weak evidence needs no battery.
+    return F.when(log < 0, -1).when(_battery(text, encoding) < LOST, -1).otherwise(F.least(F.floor(log / STEP), F.lit(STEPS))).cast("int")
 
 
 def found(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, the base spans by kind and the candidates with encoding, band and level."""
+    """doc_id, the base spans by kind and the candidates with band and level.
+
+    Candidates are sought in what the base spans leave.
+    """
     t = docs.select("doc_id", "text", *keep)
     t = add_spans(t, "text", "assign", ASSIGN, F.col("text").rlike("[:=]"))
     # The pattern's own second group, for its length.
     t = t.withColumn("assign", F.when(F.size("assign") > 0, F.filter("assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 12)).otherwise(F.col("assign")))
     t = add_spans(t, "text", "access", ACCESS, F.contains("text", F.lit("AKIA")))
     t = add_spans(t, "text", "hex", HEX)
+    t = add_union(t, [(F.col(k), "") for k in BASE], "_u")
+    t = settled(t.withColumn("text", replaced(F.col("text"), "_u", like=True)).drop("_u"))
     t = add_spans(t, "text", "_c", CANDIDATE)
-    t = t.withColumn("_c", F.filter(F.transform("_c", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), _encoding(x["match"]).alias("encoding"))), lambda x: x["encoding"].isNotNull()))
-    t = t.withColumn("_c", F.when(F.size("_c") > 0, F.filter("_c", lambda x: ~F.exists(F.concat("assign", "access", "hex"), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))).otherwise(F.col("_c")))
 
-    def judged(x: Column) -> Column:
+    def judged(x: Column, part: Column, encoding: Column) -> Column:
         level = F.lit(None).cast("int")
-        for name in ALPHABETS:
-            level = F.when(x["encoding"] == name, _level(x["match"], name)).otherwise(level)
-        band = F.least(F.floor(F.length(x["match"]) / BAND), F.lit(BANDS)).cast("int")
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", x["encoding"], band.cast("string")).alias("band"), level.alias("level"))
+        for name in CELLS:
+            level = F.when(encoding == name, _level(part, name)).otherwise(level)
+        band = F.least(F.floor(F.length(part) / BAND), F.lit(BANDS)).cast("int")
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.concat_ws("/", encoding, band.cast("string")).alias("band"), level.alias("level"))
+
+    def with_part(x: Column) -> Column:
+        part = tested_part(x["match"])
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), part.alias("part"), encoding_of(part).alias("encoding"))
 
     plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE]
-    return t.select("doc_id", *keep, *plain, F.transform("_c", judged).alias("candidates"))
+    t = settled(t.select("doc_id", *keep, *plain, F.when(F.size("_c") > 0, F.filter(F.transform("_c", with_part), lambda x: x["encoding"].isNotNull())).alias("_c")))
+    none = F.array().cast("array<struct<start:int,end:int,band:string,level:int>>")
+    return t.select("doc_id", *keep, *BASE, F.when(F.size("_c") > 0, F.transform("_c", lambda x: judged(x, x["part"], x["encoding"]))).otherwise(none).alias("candidates"))
 
 
 def thresholds(rows: DataFrame) -> dict[str, int]:
-    """For each band the least level that counts as structure.
+    """For each band the least level that is reported.
 
-    Benjamini and Hochberg on counts: the level is the least at which p is at
-    most the rate times the share of the band's candidates at or above it. At
-    most bands times encodings times steps counts reach the driver.
+    Benjamini and Hochberg's procedure for e-values, on counts: the level is
+    the least whose e-value reaches the band's candidates over FALSE times
+    those at or above it. At most bands times encodings times steps counts
+    reach the driver.
     """
     counts: dict[str, dict[int, int]] = {}
     for r in rows.select(F.explode("candidates").alias("c")).groupBy("c.band", "c.level").count().collect():
         counts.setdefault(r[0], {})[r[1]] = r[2]
     out = {}
     for band, n in counts.items():
-        length = BAND * int(band.split("/")[1])
-        rate = min(0.5, RATE * max(1.0, 128 / max(length, 1)))
-        total, above, least = sum(n.values()), 0, STEPS + 1
+        total, above, out[band] = sum(n.values()), 0, STEPS + 1
         for level in sorted(n, reverse=True):
             above += n[level]
-            if 10 ** (-level * STEP) <= rate * above / total:
-                least = level
-        out[band] = least
+            if level >= 0 and 10 ** (level * STEP) >= total / (FALSE * above):
+                out[band] = level
     return out
 
 
@@ -176,11 +227,16 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     rows = written(found(docs, *keep), "secrets")
     limits = thresholds(rows)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.lit(None).cast("map<string,int>")
-    secret = F.transform(F.filter("candidates", lambda x: x["level"] < F.element_at(limit, x["band"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    secret = F.transform(F.filter("candidates", lambda x: x["level"] >= F.element_at(limit, x["band"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return rows.withColumn("random", secret).drop("candidates")
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random: one row for each row of `docs`.
+
+    spans: those of the patterns and of the battery, by start and then kind.
+    Null and empty texts have none; an empty table gives no rows.
+    """
     kinds = [(k, F.col(k)) for k in KINDS]
     return scan(texts(docs)).select(
         "doc_id",
@@ -198,6 +254,6 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     """
     names = docs.columns
     boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    clean = scan(boxed).select("doc_id", union_of([F.col(k) for k in KINDS]).alias("_spans"))
-    clean = clean.select("doc_id", F.when(F.col("doc_id.text").isNotNull(), replaced(F.col("doc_id.text"), F.col("_spans"), mask)).alias("_text"))
+    clean = add_union(scan(boxed).select("doc_id", *KINDS), [(F.col(k), mask) for k in KINDS], "_spans")
+    clean = clean.select("doc_id", F.when(F.col("doc_id.text").isNotNull(), replaced(F.col("doc_id.text"), "_spans")).alias("_text"))
     return clean.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc_id.`{c}`").alias(c) for c in names])
