@@ -110,3 +110,14 @@ def dense_rank_in_groups(rows: DataFrame, group: list[str], order: list[Column],
     for s in same:
         on = on & s
     return placed.join(starts, on, "left").withColumn(name, (F.col("_first") + F.col("_r")).cast("long")).drop(*[f"_g{i}" for i in range(len(group))], "_sb", "_b", "_r", "_first")
+
+
+def beside_least(rows: DataFrame, group: str, value: str, name: str, salt: Column, salts: int = 16) -> DataFrame:
+    """`rows` with `name`: the least `value` of the row's group, though one group may hold most rows.
+
+    Rows are dealt over `salts` by `salt`; each group's least is computed by
+    salt first and then meets every salt. Rows with a null group go.
+    """
+    dealt = rows.filter(F.col(group).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(salt, F.lit(31)), F.lit(salts)).cast("int"))
+    least = dealt.groupBy(group, "_salt").agg(F.min(value).alias(name)).groupBy(group).agg(F.min(name).alias(name))
+    return dealt.join(least.select(group, name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")), [group, "_salt"]).drop("_salt")

@@ -32,13 +32,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import let_workers_import, texts, written
+from karstflow.llm.common import beside_least, let_workers_import, texts, written
 from karstflow.llm.components import components
 
 #: Fingerprints of a list, or of a slice of a longer one, that are compared as a whole.
 SHORT = 2048
-#: Parts that the rows of a component with many fingerprints are dealt to.
-SALTS = 16
 #: Hashes whose bits are counted at once.
 _AT_ONCE = 1 << 16
 
@@ -330,10 +328,8 @@ def _named(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """
     both = nodes.join(found, "fp", "left")
     alone = both.filter("root IS NULL").select("fp", F.col("least").alias("component_id"))
-    some = both.filter("root IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
-    ids = some.groupBy("root", "salt").agg(F.min("least").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = ids.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return alone.unionByName(some.join(ids, ["root", "salt"]).select("fp", "component_id"))
+    some = beside_least(both, "root", "least", "component_id", F.col("fp"))
+    return alone.unionByName(some.select("fp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
