@@ -4,7 +4,7 @@ Beside the patterns, every token of 20 or more characters of base 64 that the
 patterns leave is a candidate. What is tested is its longest part between
 separators if that has 20 characters, else all of it without separators; so a
 prefix such as `sk-` is no part of the test. The encoding is inferred from the
-alphabet alone: hexadecimal, base 26, 32, 36 or 62. Digits alone are a number.
+alphabet alone: hexadecimal, base 26, 32, 36 or 64 (62 characters without the separators). Digits alone are a number.
 
 Three tests ask whether the characters could be drawn at random: chi-squared
 for uniform use of the alphabet, in cells of characters that ordinary text
@@ -53,7 +53,7 @@ CELLS = {
     "base26": ((COMMON, 0.68), (MIDDLE, 0.25), (RARE, 0.07)),
     "base32": ((COMMON, 0.62), (MIDDLE, 0.20), (RARE, 0.07), ("234567", 0.11)),
     "base36": ((COMMON, 0.62), (MIDDLE, 0.20), (RARE, 0.07), (DIGITS, 0.11)),
-    "base62": ((COMMON, 0.60), (MIDDLE, 0.20), (RARE, 0.06), (DIGITS, 0.06), ((COMMON + MIDDLE + RARE).upper(), 0.08)),
+    "base64": ((COMMON, 0.60), (MIDDLE, 0.20), (RARE, 0.06), (DIGITS, 0.06), ((COMMON + MIDDLE + RARE).upper(), 0.08)),
 }
 ALPHABETS = {name: "".join(x for x, _ in cells) for name, cells in CELLS.items()}
 
@@ -152,13 +152,13 @@ def encoding_of(part: Column) -> Column:
         .when(part.rlike("^(?:[a-z]+|[A-Z]+)$"), F.lit("base26"))
         .when(part.rlike("^[A-Z2-7]+$"), F.lit("base32"))
         .when(part.rlike("^(?:[0-9a-z]+|[0-9A-Z]+)$"), F.lit("base36"))
-        .when(part.isNotNull(), F.lit("base62"))
+        .when(part.isNotNull(), F.lit("base64"))
     )
 
 
 def _level(part: Column, encoding: str) -> Column:
     """The step of log10 of the e-value; -1 where it is less than 1 or the battery finds structure."""
-    text = part if encoding == "base62" else F.lower(part)
+    text = part if encoding == "base64" else F.lower(part)
     log = _evidence(text, encoding)
     # Weak evidence needs no battery.
     return F.when(log < 0, -1).when(_battery(text, encoding) < LOST, -1).otherwise(F.least(F.floor(log / STEP), F.lit(STEPS))).cast("int")

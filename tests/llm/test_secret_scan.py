@@ -37,7 +37,7 @@ def encoding_of(p):
     for pattern, name in (("[0-9]+", None), ("[0-9a-f]+|[0-9A-F]+", "hex"), ("[a-z]+|[A-Z]+", "base26"), ("[A-Z2-7]+", "base32"), ("[0-9a-z]+|[0-9A-Z]+", "base36")):
         if re.fullmatch(pattern, p):
             return name
-    return "base62"
+    return "base64"
 
 
 def random_spans(rows):
@@ -55,7 +55,7 @@ def random_spans(rows):
             name = encoding_of(part) if len(part) >= 16 else None
             if not name:
                 continue
-            low = part if name == "base62" else part.lower()
+            low = part if name == "base64" else part.lower()
             log = sum(sum(c in x for c in low) * math.log10(len(x) / len(S.ALPHABETS[name]) / s) for x, s in S.CELLS[name])
             level = -1 if log < 0 or battery(low, name) < 0.01 else min(math.floor(log / 0.05), 400)
             judged.append((name, min(len(part) // 8, 16), level, k, m.start(), m.end()))
