@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 #: A term: word characters of any script, with inner hyphens.
 TERM = r"(?U)\w+(?:-\w+)*"
 
-STOPWORDS = ("the", "and", "for", "with", "from", "that", "this", "what", "which", "how", "does", "are", "is", "in", "of", "to", "a", "an", "on", "by", "it", "be", "as", "at", "or")
+# Words that tell nothing in a query.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "by", "can", "do", "does", "for", "from", "how", "in", "is", "of", "on", "or", "that", "the", "to", "what",
+    "which", "with", "many", "each", "service", "services", "implement", "implements", "declare", "declares", "declared",
+)
 
 
 def terms(text: Column) -> Column:
@@ -30,7 +34,7 @@ def token_key(text: Column) -> Column:
 
 def has_phrase(text: Column, phrase: Column) -> Column:
     """Whether a phrase stands in a text with no letter or digit directly beside it."""
-    return F.lower(text).rlike(F.concat(F.lit("(?<![a-z0-9])\\Q"), F.lower(phrase), F.lit("\\E(?![a-z0-9])")))
+    return F.regexp_like(F.lower(text), F.concat(F.lit("(?<![a-z0-9])\\Q"), F.lower(phrase), F.lit("\\E(?![a-z0-9])")))
 
 
 def clean_label(text: Column) -> Column:
@@ -147,11 +151,11 @@ def language_of(path: Column) -> Column:
 
 
 def service_bucket(path: Column) -> Column:
-    """The part of a system that a path belongs to: src:<folder>, k8s, path:<first folder> or unknown."""
-    folder = F.lower(F.regexp_extract(path, r"(?:^|/)src/([^/]+)/", 1))
+    """The part of a system that a title belongs to: src:<folder>, k8s, path:<title> or unknown."""
+    title = F.lower(F.trim(path))
+    folder = F.array_join(F.filter(F.split(F.regexp_extract(title, "^src/([^/]*)", 1), r"\."), lambda x: x != ""), ".")
     short = F.regexp_replace(folder, r"(?<=[^.])(?:\.(?:api|core|di|messages|service|svc|webapi|worker))+$", "")
-    first = F.lower(F.regexp_extract(path, "^([^/]+)/", 1))
-    return F.when(folder != "", F.concat(F.lit("src:"), short)).when(F.lower(path).rlike("(?:^|/)k8s/"), F.lit("k8s")).when(first != "", F.concat(F.lit("path:"), first)).otherwise(F.lit("unknown"))
+    return F.when(F.coalesce(title, F.lit("")) == "", F.lit("unknown")).when(title.startswith("src/"), F.concat(F.lit("src:"), short)).when(F.split_part(title, F.lit("/"), F.lit(1)) == "k8s", F.lit("k8s")).otherwise(F.concat(F.lit("path:"), title))
 
 
 def natural_key(path: Column) -> Column:

@@ -46,16 +46,68 @@ def canonical(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     keyed = good.withColumn("subject_key", node_key(F.col("subject_label"), F.col("subject"), F.col("repo"))).withColumn("object_key", node_key(F.col("object_label"), F.col("object"), F.col("repo")))
     keyed = keyed.withColumn("edge_key", edge_key(F.col("subject_key"), F.col("predicate"), F.col("object_key")))
     ends = keyed.select(F.explode(F.array(F.struct(F.col("subject_key").alias("node_key"), F.col("subject_label").alias("label"), F.col("subject").alias("name")), F.struct(F.col("object_key").alias("node_key"), F.col("object_label").alias("label"), F.col("object").alias("name")))).alias("n")).select("n.*")
-    nodes = ends.dropDuplicates(["node_key"])
+    # Local labels hold the repository in their key, others may be spelt differently: the least name is kept.
+    nodes = ends.groupBy("node_key").agg(F.min("label").alias("label"), F.min("name").alias("name"))
     edges = keyed.select("edge_key", "subject_key", "predicate", "object_key").dropDuplicates(["edge_key"])
     evidence = keyed.withColumn("evidence_hash", evidence_hash("edge_key", "repo", "path", "kind", "confidence")).dropDuplicates(["edge_key", "evidence_hash"])
     return nodes, edges, evidence
 
 
+def with_repositories(nodes: DataFrame, repos: DataFrame) -> DataFrame:
+    """The nodes and a REPO node for every repository (repo), also one without a triple."""
+    own = repos.select(F.trim("repo").alias("name")).filter("name <> ''").distinct()
+    rows = own.select(node_key(F.lit("REPO"), F.col("name"), F.col("name")).alias("node_key"), F.lit("REPO").alias("label"), "name")
+    return nodes.select("node_key", "label", "name").unionByName(rows.join(nodes.select("node_key"), "node_key", "left_anti"))
+
+
+def node_evidence(evidence: DataFrame) -> DataFrame:
+    """Evidence of nodes from that of edges: both ends of each, the last written of equals.
+
+    evidence: the third table of `canonical`, with observed_at.
+    """
+    ends = [F.struct(F.col(f"{e}_key").alias("node_key"), F.col(f"{e}_label").alias("node_label"), F.col(e).alias("node_name")) for e in ("subject", "object")]
+    rows = evidence.select(F.explode(F.array(*ends)).alias("n"), "repo", "path", "kind", "confidence", "observed_at").select("n.*", "repo", "path", "kind", "confidence", "observed_at")
+    rows = rows.withColumn("evidence_hash", evidence_hash("node_key", "repo", "path", "kind"))
+    best = rows.groupBy("node_key", "evidence_hash").agg(F.max_by(F.struct("node_label", "node_name", "repo", "path", "kind", "confidence", "observed_at"), F.struct("observed_at", "confidence", "node_name")).alias("x"))
+    return best.select("node_key", "evidence_hash", "x.*")
+
+
 def edge_stats(evidence: DataFrame, *ties: str) -> DataFrame:
-    """For each edge its greatest confidence and the kind of the evidence that has it; `ties` order equals."""
+    """For each edge its greatest confidence and the other columns of the evidence that has it; `ties` order equals.
+
+    Of tier, source_kind, line_start and line_end those are given that the evidence has.
+    """
     top = F.struct("confidence", *ties)
-    return evidence.groupBy("edge_key").agg(F.max("confidence").alias("confidence"), F.max_by("source_kind", top).alias("source_kind"), F.count(F.lit(1)).alias("evidence_count"))
+    best = [F.max_by(c, top).alias(c) for c in ("tier", "source_kind", "line_start", "line_end") if c in evidence.columns]
+    return evidence.groupBy("edge_key").agg(F.max("confidence").alias("confidence"), *best, F.count(F.lit(1)).alias("evidence_count"))
+
+
+def with_stats(edges: DataFrame, evidence: DataFrame, *ties: str) -> DataFrame:
+    """Every edge with confidence, tier, source_kind, line_start and line_end; one without evidence has 1.0 and defaults."""
+    both = edges.join(edge_stats(evidence, *ties), "edge_key", "left")
+    return both.select(*edges.columns, F.coalesce("confidence", F.lit(1.0)).alias("confidence"), F.coalesce("tier", F.lit("CONTRACT_GLOBAL")).alias("tier"), F.coalesce("source_kind", F.lit("unknown")).alias("source_kind"), "line_start", "line_end")
+
+
+def representative_chunks(chunks: DataFrame, *by: str) -> DataFrame:
+    """The first chunk_id of each document, or of each group of `by`."""
+    by = by or ("document_id",)
+    return chunks.groupBy(*by).agg(F.min("chunk_id").alias("chunk_id"))
+
+
+def best_of_each(rows: DataFrame, key: str, order: list[str], *columns: str) -> DataFrame:
+    """Of each key the columns of its least row by `order`; one aggregate that combines before its exchange."""
+    best = rows.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_x"))
+    return best.select(key, "_x.*")
+
+
+def nodes_of(nodes: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """All nodes, or those of the labels."""
+    return nodes.filter(F.col("label").isin(list(labels))) if labels else nodes
+
+
+def label_counts(rows: DataFrame, label: str = "label") -> DataFrame:
+    """How many rows each label has."""
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def node_stats(nodes: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -119,81 +171,45 @@ class Budget:
 BUDGETS = {"TOPOLOGY": Budget(2, 60, 8, 320, 320), "LOCAL_LOGIC": Budget(3, 34, 5, 220, 220), "GENERAL": Budget(2, 48, 6, 240, 240)}
 
 
-def prune(paths: list[dict], budget: Budget) -> list[dict]:
-    """The paths that fit a budget, taken greedily by hop, confidence and keys.
+def within_budget(paths: list[tuple], seeds, budget: Budget) -> list[int]:
+    """Places of the paths that fit a budget, taken greedily.
 
-    At most budget.paths come in, so this is a walk over a few hundred rows.
+    paths: (hop, confidence, subject, object, edge), at most budget.paths of
+    them. Order: hop, confidence downwards, keys. A subject has a cap of paths,
+    a hop a cap of nodes (whether or not they are known from before), and once
+    there are as many nodes as the budget allows, the seeds among them, no path
+    may bring another.
     """
-    kept, nodes, by_subject, by_hop = [], set(), {}, {}
-    for p in sorted(paths, key=lambda p: (p["hop"], -p["confidence"], p["subject_key"], p["object_key"])):
-        fresh = {p["subject_key"], p["object_key"]} - nodes
-        at = by_hop.setdefault(p["hop"], set())
-        if len(kept) >= budget.paths or p["hop"] > budget.hops or by_subject.get(p["subject_key"], 0) >= budget.edges_per_node:
-            continue
-        if len(nodes | fresh) > budget.nodes or len(at | fresh) > budget.nodes_per_hop:
-            continue
-        kept.append(p)
-        nodes |= fresh
-        at |= fresh
-        by_subject[p["subject_key"]] = by_subject.get(p["subject_key"], 0) + 1
-    return kept
-
-
-def traverse(edges: DataFrame, seeds: list[str], intent: str = "GENERAL", predicates: list[str] | None = None) -> tuple[list[dict], dict]:
-    """Paths from the seeds within the intent's budget, and what the walk did.
-
-    edges: edge_key, subject_key, predicate, object_key, confidence. Each hop
-    is one query whose result the budget bounds (at most 320 rows).
-    """
-    budget = BUDGETS[intent]
-    predicates = predicates or list(PREDICATES.get(intent, ()))
-    if predicates:
-        edges = edges.filter(F.col("predicate").isin(predicates))
-    visited, frontier, found, sizes = set(seeds), sorted(set(seeds)), {}, []
-    for hop in range(1, budget.hops + 1):
-        room = budget.paths - len(found)
-        if not frontier or room <= 0:
-            break
-        sizes.append(len(frontier))
-        most = max(10, min(room, len(frontier) * budget.edges_per_node))
-        near = edges.filter(F.col("subject_key").isin(frontier) | F.col("object_key").isin(frontier))
-        rows = near.orderBy(F.col("confidence").desc(), "subject_key", "object_key", "edge_key").limit(most).collect()
-        reached = set()
-        for r in rows:
-            if r.edge_key not in found:
-                found[r.edge_key] = {**r.asDict(), "hop": hop}
-                reached |= {r.subject_key, r.object_key}
-        frontier = sorted(reached - visited)[: budget.nodes_per_hop]
-        visited |= set(frontier)
-    kept = prune(list(found.values()), budget)
-    reason = "no_paths_found" if not found else "path_budget_reached" if len(found) >= budget.paths else "hop_limit_reached" if frontier else "budget_complete"
-    return kept, {"hops": len(sizes), "frontier_sizes": sizes, "paths": len(kept), "nodes": len({k for p in kept for k in (p["subject_key"], p["object_key"])}), "stop_reason": reason}
+    order = sorted(range(len(paths)), key=lambda i: (paths[i][0], -paths[i][1], *paths[i][2:]))
+    nodes, taken = set(seeds), []
+    of_subject: dict[str, int] = {}
+    of_hop: dict[int, set[str]] = {}
+    for i in order:
+        hop, _, subject, object_ = paths[i][:4]
+        ends, at = {subject, object_}, of_hop.setdefault(hop, set())
+        fits = (
+            len(taken) < budget.paths and 0 < hop <= budget.hops and subject and object_ and of_subject.get(subject, 0) < budget.edges_per_node
+            and (ends <= nodes or len(nodes) < budget.nodes) and (ends <= at or len(at) + len(ends - at) + (subject == object_ and subject not in at) <= budget.nodes_per_hop)
+        )
+        if fits:
+            taken.append(i)
+            nodes |= ends
+            at |= ends
+            of_subject[subject] = of_subject.get(subject, 0) + 1
+    return taken
 
 
 def path_score(confidence: Column, hop: Column, evidence: Column, has_lines: Column, weight: float = 1.0) -> Column:
     """Confidence, less for each hop beyond the first, more for evidence and known lines."""
-    penalty = F.exp(-0.35 * (hop - 1))
-    bonus = F.least(F.lit(1.3), 1 + F.least(evidence, F.lit(5)) / 20 + F.when(has_lines, 0.05).otherwise(0.0))
-    return confidence * weight * penalty * bonus
+    return confidence * weight * F.exp(-0.35 * (F.greatest(hop, F.lit(1)) - 1)) * provenance_bonus(evidence, has_lines)
+
+
+def provenance_bonus(evidence: Column, has_lines: Column) -> Column:
+    """Up to 1.3: a twentieth for each of the first five pieces of evidence, and another for known lines."""
+    return F.least(F.lit(1.3), 1 + F.least(evidence, F.lit(5)) / 20 + F.when(has_lines, 0.05).otherwise(0.0))
 
 
 def relevance(blob: Column, name: Column, terms: Column) -> Column:
     """1 plus 0.3 times the share of terms found in a text, plus 0.2 if a node's name is one of them."""
     share = F.size(F.filter(terms, lambda t: F.contains(blob, t))) / F.greatest(F.size(terms), F.lit(1))
-    return 1 + 0.3 * share + F.when(F.array_contains(terms, F.lower(name)), 0.2).otherwise(0.0)
-
-
-def seeds(nodes: DataFrame, mentions: DataFrame, most: int = 15) -> DataFrame:
-    """(mention, node_key, score) of nodes whose name equals or holds a mention, under `_` as `-` and without dots.
-
-    mentions: mention, label (null: any), confidence: what a query mentions, a
-    dozen rows. At most `most` nodes for each, by confidence and key.
-    """
-
-    def flat(x: Column) -> Column:
-        return F.regexp_replace(F.translate(F.lower(x), "_", "-"), r"\.", "")
-
-    m = mentions.select("mention", F.col("label").alias("_l"), F.col("confidence").alias("_mc"))
-    hit = nodes.join(F.broadcast(m), F.contains(flat(F.col("name")), flat(F.col("mention"))) & (F.col("_l").isNull() | (F.col("label") == F.col("_l"))))
-    w = W.partitionBy("mention", "_l").orderBy(F.col("confidence").desc(), F.col("evidence_count").desc(), "node_key")
-    return hit.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).select("mention", "label", "node_key", "name", (F.col("confidence") * F.col("_mc")).alias("score"))
+    return 1 + 0.3 * share + F.when(F.size(terms) == 0, 0.0).when(F.array_contains(terms, F.lower(name)), 0.2).otherwise(0.0)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
 from karstflow.operators import chunking, evaluation, fusion, graph, keyword, upsert, vector
+from karstflow.plans import graph_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -358,8 +359,8 @@ def frontier_2hop(spark, d):
 h AS (SELECT mention, node_key, "name", round(1.0e0 * mc, 6) score, row_number() OVER (PARTITION BY mention ORDER BY node_key) r FROM n JOIN m ON contains(replace(replace(lower("name"), '_', '-'), '.', ''), mention)) SELECT mention, node_key, "name", score FROM h WHERE r <= 15""")
 def seed_lookup(spark, d):
     nodes = _table(spark, d, "part").select(F.concat(F.lit("PART::"), F.col("p_partkey").cast("string")).alias("node_key"), F.lit("PART").alias("label"), F.col("p_name").alias("name"), F.lit(1.0).alias("confidence"), F.lit(0).alias("evidence_count"))
-    mentions = spark.createDataFrame([("red", None, 0.86), ("bolt", None, 0.58), ("small_ring", None, 0.58)], "mention string, label string, confidence double")
-    return graph.seeds(nodes, mentions).select("mention", "node_key", "name", F.round("score", 6).alias("score"))
+    mentions = spark.createDataFrame([("q", m, m, None, c) for m, c in (("red", 0.86), ("bolt", 0.58), ("small_ring", 0.58))], "query_id string, text string, normalized string, label string, confidence double")
+    return graph_search.seed_matches(nodes, mentions).select(F.col("text").alias("mention"), "node_key", "name", F.round("score", 6).alias("score"))
 
 
 @registered("seed_round_robin", """WITH r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) rnd, max(c_acctbal) OVER (PARTITION BY c_mktsegment) b, count(*) OVER (PARTITION BY c_mktsegment) n FROM customer)
@@ -381,13 +382,6 @@ def candidate_scores(spark, d):
     return t.select("doc_id", F.round(graph.relevance(F.lower("text"), F.col("source"), F.array(*map(F.lit, ("the", "src1", "ley")))), 6).alias("relevance"))
 
 
-@registered("frontier_budget_prune")
-def frontier_budget_prune(spark, d):
-    edges = _edges(spark, d).withColumn("confidence", F.lit(1.0))
-    kept, _ = graph.traverse(edges, ["REGION::1"], "GENERAL")
-    return spark.createDataFrame([(p["edge_key"], p["hop"]) for p in kept], "edge_key string, hop int")
-
-
 # Data management
 
 

@@ -1,8 +1,11 @@
-"""Session defaults."""
+"""Session defaults, and tables that cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -19,3 +22,37 @@ def session(name: str = "karstflow", **conf: str) -> SparkSession:
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, as spark.checkpoint.dir names it.
+
+    Without the setting a local folder is made, but only where the driver is
+    the only machine; elsewhere each executor would write to its own disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='karstflow-')}"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write `df` to the shared folder and read it again.
+
+    Cuts the lineage at a place that outlives any executor: a later loss
+    rereads files and doesn't recompute what made them.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/karstflow/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete everything `written` has left in the shared folder; call it when no result is read any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/karstflow")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

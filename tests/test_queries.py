@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from karstflow.plans import catalog
+from karstflow.plans import catalog, graph_catalog  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
