@@ -26,6 +26,7 @@ doesn't depend on the corpus, over all documents. DataFrame functions only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +65,21 @@ STEP, STEPS = 0.05, 400
 BAND, BANDS = 8, 16
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once and named once in the plan."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _erfc(x: Column) -> Column:
     """The complementary error function for x >= 0, by a Chebyshev fit with a relative error under 1.2e-7."""
-    t = 1 / (1 + 0.5 * x)
-    out = F.lit(0.17087277)
-    for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        out = out * t + c
-    return t * F.exp(out - x * x)
+
+    def fit(v: Column) -> Column:
+        out = F.lit(0.17087277)
+        for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
+            out = out * v["t"] + c
+        return v["t"] * F.exp(out - v["x"] * v["x"])
+
+    return _let(x, lambda y: _let(F.struct((1 / (1 + 0.5 * y)).alias("t"), y.alias("x")), fit))
 
 
 def _chi_tail(x: Column, df: int) -> Column:
@@ -91,43 +100,57 @@ def _counts(text: Column, encoding: str) -> list[Column]:
     return [(F.length(text) - F.length(F.translate(text, x, ""))).cast("double") for x, _ in CELLS[encoding]]
 
 
+def _walk(v: Column, half: int) -> Column:
+    """Sums over an array of values: ends, runs about the middle, values above it, sum, squares and lagged products."""
+    return F.aggregate(
+        v,
+        F.struct(F.lit(-1).alias("last"), F.lit(-1).alias("first"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("sl")),
+        lambda a, x: F.struct(
+            x.alias("last"),
+            F.when(a["first"] < 0, x).otherwise(a["first"]).alias("first"),
+            (a["runs"] + F.when((a["last"] >= 0) & ((a["last"] >= half) == (x >= half)), 0.0).otherwise(1.0)).alias("runs"),
+            (a["high"] + F.when(x >= half, 1.0).otherwise(0.0)).alias("high"),
+            (a["s"] + x).alias("s"),
+            (a["ss"] + x.cast("double") * x).alias("ss"),
+            (a["sl"] + F.when(a["last"] >= 0, a["last"].cast("double") * x).otherwise(0.0)).alias("sl"),
+        ),
+    )
+
+
+def _scores(w: Column) -> Column:
+    """struct(chi, runs, serial) of a walk with n and chi: a statistic and two normal scores."""
+    n = w["n"]
+    both = 2 * w["w"]["high"] * (n - w["w"]["high"])
+    moments = F.struct(w.alias("w"), both.alias("both"), (w["w"]["s"] / n).alias("m"))
+
+    def scored(x: Column) -> Column:
+        n, w = x["w"]["n"], x["w"]["w"]
+        both, m = x["both"], x["m"]
+        var, spread = both * (both - n) / (n * n * (n - 1)), w["ss"] - n * m * m
+        runs = F.when(both > n, (w["runs"] - both / n - 1) / F.sqrt(var)).otherwise(30.0)
+        lagged = w["sl"] - m * (2 * w["s"] - w["first"] - w["last"]) + (n - 1) * m * m
+        serial = F.when(spread > 1e-9, (lagged / spread + 1 / n) * F.sqrt(n)).otherwise(30.0)
+        return F.struct(x["w"]["chi"].alias("chi"), runs.alias("runs"), serial.alias("serial"))
+
+    return _let(moments, scored)
+
+
 def _battery(text: Column, encoding: str) -> Column:
     """The combined p-value of a text in the characters of an alphabet (at least 16 of them)."""
     letters = ALPHABETS[encoding]
-    size, half, cells = len(letters), len(letters) // 2, CELLS[encoding]
+    size, cells = len(letters), CELLS[encoding]
     n = F.length(text).cast("double")
-    chi = sum((c * c * (size / len(x)) for c, (x, _) in zip(_counts(text, encoding), cells, strict=True)), F.lit(0.0)) / n - n
+    chi = sum((_let(c, lambda y: y * y) * (size / len(x)) for c, (x, _) in zip(_counts(text, encoding), cells, strict=True)), F.lit(0.0)) / n - n
     values = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.instr(F.lit(letters), c) - 1)
+    scores = _let(F.struct(n.alias("n"), F.greatest(chi, F.lit(0.0)).alias("chi"), _walk(values, size // 2).alias("w")), _scores)
 
-    def walk(v: Column) -> Column:
-        return F.aggregate(
-            v,
-            F.struct(F.lit(-1).alias("last"), F.lit(-1).alias("first"), F.lit(0.0).alias("runs"), F.lit(0.0).alias("high"), F.lit(0.0).alias("s"), F.lit(0.0).alias("ss"), F.lit(0.0).alias("sl")),
-            lambda a, x: F.struct(
-                x.alias("last"),
-                F.when(a["first"] < 0, x).otherwise(a["first"]).alias("first"),
-                (a["runs"] + F.when((a["last"] >= 0) & ((a["last"] >= half) == (x >= half)), 0.0).otherwise(1.0)).alias("runs"),
-                (a["high"] + F.when(x >= half, 1.0).otherwise(0.0)).alias("high"),
-                (a["s"] + x).alias("s"),
-                (a["ss"] + x.cast("double") * x).alias("ss"),
-                (a["sl"] + F.when(a["last"] >= 0, a["last"].cast("double") * x).otherwise(0.0)).alias("sl"),
-            ),
-        )
-
-    def rest(w: Column) -> Column:
-        both = 2 * w["high"] * (n - w["high"])
-        mean, var = both / n + 1, both * (both - n) / (n * n * (n - 1))
-        runs = F.when(var > 0, (w["runs"] - mean) / F.sqrt(var)).otherwise(30.0)
-        m = w["s"] / n
-        spread = w["ss"] - n * m * m
-        lagged = w["sl"] - m * (2 * w["s"] - w["first"] - w["last"]) + (n - 1) * m * m
-        serial = F.when(spread > 0, (lagged / spread + 1 / n) * F.sqrt(n)).otherwise(30.0)
-        least = F.lit(1e-300)
-        x = -sum((F.log(F.greatest(p, least)) for p in (_chi_tail(F.greatest(chi, F.lit(0.0)), len(cells) - 1), _two_sided(runs), _two_sided(serial))), F.lit(0.0))
-        # x is half of Fisher's statistic: chi-squared with six degrees of freedom.
-        return F.exp(-x) * (1 + x + x * x / 2)
+    def fisher(z: Column) -> Column:
+        tails = (_chi_tail(z["chi"], len(cells) - 1), _two_sided(z["runs"]), _two_sided(z["serial"]))
+        half = -sum((F.log(F.greatest(p, F.lit(1e-300))) for p in tails), F.lit(0.0))
+        # Half of Fisher's statistic, which is chi-squared with six degrees of freedom.
+        return _let(half, lambda x: F.exp(-x) * (1 + x + x * x / 2))
 
-    return F.element_at(F.transform(F.transform(F.array(values), walk), rest), 1)
+    return _let(scores, fisher)
 
 
 def _evidence(text: Column, encoding: str) -> Column:
@@ -158,10 +181,13 @@ def encoding_of(part: Column) -> Column:
 
 def _level(part: Column, encoding: str) -> Column:
     """The step of log10 of the e-value; -1 where it is less than 1 or the battery finds structure."""
-    text = part if encoding == "base64" else F.lower(part)
-    log = _evidence(text, encoding)
-    # Weak evidence needs no battery.
-    return F.when(log < 0, -1).when(_battery(text, encoding) < LOST, -1).otherwise(F.least(F.floor(log / STEP), F.lit(STEPS))).cast("int")
+
+    def judged(x: Column) -> Column:
+        # Weak evidence needs no battery.
+        weak = F.when(x["log"] < 0, True).otherwise(_battery(x["text"], encoding) < LOST)
+        return F.when(weak, -1).otherwise(F.least(F.floor(x["log"] / STEP), F.lit(STEPS))).cast("int")
+
+    return _let(part if encoding == "base64" else F.lower(part), lambda t: _let(F.struct(t.alias("text"), _evidence(t, encoding).alias("log")), judged))
 
 
 def found(docs: DataFrame, *keep: str) -> DataFrame:
