@@ -498,11 +498,11 @@ def score(docs: DataFrame, share: float = 1e-4, classes: int = 32) -> DataFrame:
     units, counts, total, distinct = units_of(vocab, share)
     if END not in units:
         units, counts = [*units, END], np.append(counts, vocab.filter(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
-    dealt = written(blocks(rows, units), "blocks")
+    dealt = written(blocks(rows, units), "blocks", "zstd")
     found = dealt.filter(F.col("kind") == _PAIR).groupBy(F.col("block").alias("code")).agg(F.sum("n").alias("n")).toArrow()
     size = len(units) + 1
     model = Classes(units, counts, Pairs(found["code"].to_numpy(), found["n"].to_numpy(), size), classes)
-    known = written(placed(dealt, model), "placed")
+    known = written(placed(dealt, model), "placed", "zstd")
     tokens, types, unseen = _class_counts(known, model)
     done = written(counted(dealt, known, model, unseen), "counted")
     return scored(done, class_bigrams(done, classes), tokens, types, total, distinct)

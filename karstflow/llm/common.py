@@ -8,12 +8,14 @@ its own. A null text is an empty text.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from karstflow.session import drop_written, shared_dir, written
+
+__all__ = ["drop_written", "shared_dir", "written"]  # tables in the shared folder, for the operators
+
 #: A word is a run without ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 
@@ -39,34 +41,6 @@ def texts(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='karstflow-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again.
-
-    Cuts the lineage at a place that outlives any executor: a later loss
-    rereads files and doesn't recompute what made them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/karstflow/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(spark: SparkSession) -> None:
-    """Delete everything `written` has left in the shared folder; call it when no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/karstflow")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def settled(df: DataFrame) -> DataFrame:
     """`df`, with its columns computed once.
 
