@@ -13,7 +13,8 @@ K = 60
 
 
 def reciprocal_rank(rank: Column) -> Column:
-    return 1.0 / (K + rank)
+    """1 / (60 + rank); a rank below 1 is an error."""
+    return F.when(rank < 1, F.raise_error(F.lit("ranks begin at 1"))).otherwise(1.0 / (K + rank))
 
 
 def rrf(lists: list[DataFrame], k: int | None = None, titles: DataFrame | None = None, places: int = 10) -> DataFrame:
@@ -36,9 +37,10 @@ def rrf(lists: list[DataFrame], k: int | None = None, titles: DataFrame | None =
 def service_boost(ranked: DataFrame, services: list[str], k: int | None = None, places: int = 10) -> DataFrame:
     """Rank anew by the reciprocal rank over all plus, for items of `services`, that among them.
 
-    ranked: query_id, item_id, source, score, rank. Ties go to the higher old score.
+    ranked: query_id, item_id, source, score, rank. Sources are compared in lower
+    case. Ties go to the higher old score.
     """
-    boosted = F.col("source").isin(services)
+    boosted = F.lower("source").isin([s.lower() for s in services])
     among = F.row_number().over(W.partitionBy("query_id", boosted).orderBy("rank"))
     both = ranked.withColumn("boost_score", F.round(reciprocal_rank(F.col("rank")) + F.when(boosted, reciprocal_rank(among)).otherwise(0.0), places))
     w = W.partitionBy("query_id").orderBy(F.col("boost_score").desc(), F.col("score").desc(), F.col("rank"))

@@ -1,53 +1,175 @@
-"""Keyword search: postings, BM25 and weighted any-term or all-terms matching.
+"""Keyword search: a stored index, BM25 and weighted any-term or all-terms matching.
 
 Chunks have chunk_id, document_id, title, text, source and retrieval_corpus.
-Statistics are those of the scope that a search names: scope first, then
-count. Queries are tables (query_id, query), so a batch is one plan; a single
-query is a batch of one. The query side is small by its nature (what users
-ask), and only it is ever broadcast, under the session's own threshold.
+`build` tokenises them once and, given a folder, stores the postings by bucket
+and term, so that a search reads the buckets of its own terms; given chunks in
+place of an index, a search tokenises them. Statistics are those of the scope
+that a search names: scope first, then count. Queries are tables (query_id,
+query), so a batch is one plan; a single query is a batch of one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
+from karstflow.functions.stemming import lexeme
+
+#: Weights of an occurrence in the text and in the title.
+IN_TEXT, IN_TITLE = 1.0, 0.4
+#: Terms of a batch of queries up to which the postings are read for them alone.
+FEW = 2_000
+
+
+@dataclass(frozen=True)
+class Index:
+    """postings: term, chunk_id, document_id, source, retrieval_corpus, tf, w, dl (and bucket, if stored); lengths: a row for each chunk."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    english: bool = False
+    buckets: int = 0
 
 
 def in_scope(chunks: DataFrame, sources: list[str] | None = None, corpus: str | None = None) -> DataFrame:
-    """Chunks of the sources and the corpus; None or `all` is no restriction."""
+    """Rows of the sources and the corpus; None or `all` is no restriction."""
     if sources:
-        chunks = chunks.filter(F.col("source").isin(sources))
+        chunks = chunks.filter(F.col("source").isin(list(sources)))
     if corpus and corpus != "all":
         chunks = chunks.filter(F.col("retrieval_corpus") == corpus)
     return chunks
 
 
+def in_any_scope(chunks: DataFrame, sources: list[str]) -> DataFrame:
+    """The graph's source filter: sources in any case; none is no restriction."""
+    return chunks.filter(F.lower("source").isin([s.lower() for s in sources])) if sources else chunks
+
+
 def entity_filter(chunks: DataFrame, entity: str) -> DataFrame:
     """Chunks whose title holds the entity or whose text has all of its terms."""
     wanted = T.terms(F.lit(entity))
     return chunks.filter(F.contains(F.lower("title"), F.lit(entity.lower())) | (F.size(F.array_except(wanted, T.terms(F.col("text")))) == 0))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, document_id, term, tf, doc_len): the inverted index of the chunks.
+def with_titles(chunks: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Chunks with the title they carry, else their document's name, else nothing.
+
+    metadata: document_id, retrieval_corpus, name.
+    """
+    names = metadata.select("document_id", "retrieval_corpus", F.col("name").alias("_name"))
+    both = chunks.join(names, ["document_id", "retrieval_corpus"], "left")
+    return both.withColumn("title", F.coalesce("title", "_name", F.lit(""))).drop("_name").select(*chunks.columns)
+
+
+_KEYS = ("chunk_id", "document_id", "source", "retrieval_corpus")
+
 
-    Store it clustered by term for reuse; searches then read their terms only.
+def _counted(chunks: DataFrame) -> DataFrame:
+    """A row for each chunk with dl and its terms as an array of struct(term, tf, in_title).
+
+    Counted inside the row: the sorted terms are cut where they change, so
+    nothing is exchanged and no token becomes a row.
     """
-    toks = chunks.select("chunk_id", "document_id", T.terms(F.concat_ws("\n", "text", "title")).alias("_t"))
-    return toks.select("chunk_id", "document_id", F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy("chunk_id", "document_id", "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    toks = chunks.select(*_KEYS, F.coalesce(T.terms(F.col("text")), F.array().cast("array<string>")).alias("_a"), F.coalesce(T.terms(F.col("title")), F.array().cast("array<string>")).alias("_b"))
+    toks = _once(toks.select(*_KEYS, "_b", F.sort_array(F.concat("_a", "_b")).alias("_t")))
+    n = F.size("_t")
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | (F.get(F.col("_t"), i) != F.get(F.col("_t"), i - 1))))
+    cut = _once(toks.withColumn("_i", starts))
+
+    def term(i: Column, k: Column) -> Column:
+        t = F.get(F.col("_t"), i)
+        return F.struct(t.alias("term"), (F.coalesce(F.get(F.col("_i"), k + 1), n) - i).alias("tf"), F.size(F.filter("_b", lambda b: b == t)).alias("in_title"))
+
+    return cut.select(*_KEYS, n.alias("dl"), F.transform("_i", term).alias("terms"))
+
+
+def _once(df: DataFrame) -> DataFrame:
+    """`df` with its columns computed once: the optimiser doesn't copy expressions through a generator."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
 
+def _lexemes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column(0), pa.array([lexeme(x) for x in batch.column(0).to_pylist()], pa.string())], ["term", "lexeme"])
 
-def query_terms(queries: DataFrame) -> DataFrame:
+
+def english(rows: DataFrame) -> DataFrame:
+    """(term, lexeme) of the distinct terms of `rows`; stop words have none.
+
+    Stems aren't expressible in built-in functions, so each distinct term meets
+    Python once.
+    """
+    found = rows.select("term").distinct().mapInArrow(_lexemes, "term string, lexeme string")
+    return found.filter("lexeme <> ''")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build(chunks: DataFrame, folder: str | None = None, in_english: bool = False, buckets: int = 64) -> Index:
+    """The index of chunks; stored in `folder` if one is given, to be opened again with `open_index`.
+
+    in_english: terms become stems and stop words go. An existing folder is an
+    error: a new state of the chunks gets a new folder.
+    """
+    counted = _counted(chunks)
+    lengths = counted.select(*_KEYS, "dl")
+    w = (F.col("tf") - F.col("in_title")) * IN_TEXT + F.col("in_title") * IN_TITLE
+    rows = counted.select(*_KEYS, "dl", F.explode("terms").alias("x")).select("x.term", *_KEYS, F.col("x.tf").alias("tf"), F.col("x.in_title").alias("in_title"), "dl").withColumn("w", w).drop("in_title")
+    if in_english:
+        stems = rows.join(english(rows), "term").groupBy(F.col("lexeme").alias("term"), *_KEYS, "dl").agg(F.sum("tf").alias("tf"), F.sum("w").alias("w"))
+        rows = stems
+    if folder is None:
+        return Index(rows, lengths, in_english)
+    dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
+    dealt.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    lengths.write.parquet(f"{folder}/lengths")
+    return open_index(chunks.sparkSession, folder, in_english, buckets)
+
+
+def open_index(spark: SparkSession, folder: str, in_english: bool = False, buckets: int = 64) -> Index:
+    """An index that `build` stored, with the same settings."""
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), in_english, buckets)
+
+
+def _index(chunks: DataFrame | Index, in_english: bool = False) -> Index:
+    return chunks if isinstance(chunks, Index) else build(chunks, in_english=in_english)
+
+
+def query_terms(queries: DataFrame, in_english: bool = False) -> DataFrame:
     """(query_id, term, qtf): terms with the number of times the query has them."""
-    return queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    rows = queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term"))
+    if in_english:
+        rows = rows.join(english(rows), "term").select("query_id", F.col("lexeme").alias("term"))
+    return rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def phrase(text: Column, words: Column) -> Column:
+    """Whether a text has the terms of a phrase one after the other."""
+    own, asked = T.terms(text), T.terms(words)
+    at = F.sequence(F.lit(1), F.greatest(F.size(own) - F.size(asked) + 1, F.lit(1)))
+    return (F.size(asked) > 0) & F.exists(at, lambda i: F.slice(own, i, F.size(asked)) == asked)
 
 
-def statistics(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks and avgdl, their mean number of terms."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(T.terms(F.concat_ws("\n", "text", "title")))).alias("avgdl"))
+def _postings_of(index: Index, wanted: DataFrame, sources: list[str] | None, corpus: str | None) -> DataFrame:
+    """The postings of the queries' terms inside the scope."""
+    scoped = in_scope(index.postings, sources, corpus)
+    terms = wanted.select("term").distinct()
+    if index.buckets:
+        # Few terms: read their buckets alone, and in those the row groups that have them.
+        few = [r.term for r in terms.limit(FEW + 1).collect()]
+        if len(few) <= FEW:
+            spark = terms.sparkSession
+            named = spark.createDataFrame([(x,) for x in few], "term string").select(_bucket(F.col("term"), index.buckets).alias("b")).distinct()
+            return scoped.filter(F.col("bucket").isin([r.b for r in named.collect()])).filter(F.col("term").isin(few)).drop("bucket")
+    return scoped.join(terms, "term", "left_semi")
 
 
 def capped(ranked: DataFrame, most: int | None, *order: Column) -> DataFrame:
@@ -63,53 +185,56 @@ def top(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def covering(matched: DataFrame, wanted: DataFrame) -> DataFrame:
+def covering(postings: DataFrame, wanted: DataFrame) -> DataFrame:
     """(query_id, document_id) of documents whose chunks together have every term of the query."""
     need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
-    have = matched.select("query_id", "document_id", "term").distinct().groupBy("query_id", "document_id").agg(F.count(F.lit(1)).alias("_have"))
+    have = postings.select("document_id", "term").distinct().join(wanted, "term").groupBy("query_id", "document_id").agg(F.count(F.lit(1)).alias("_have"))
     return have.join(need, "query_id").filter("_have = _need").select("query_id", "document_id")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, sources: list[str] | None = None, corpus: str | None = None, match_all: bool = False, per_document: int | None = None, k1: float = 1.2, b: float = 0.75, places: int = 10) -> DataFrame:
+def bm25(chunks: DataFrame | Index, queries: DataFrame, k: int = 10, sources: list[str] | None = None, corpus: str | None = None, match_all: bool = False, per_document: int | None = None, k1: float = 1.2, b: float = 0.75, places: int = 10) -> DataFrame:
     """(query_id, chunk_id, document_id, score, rank) by Okapi BM25 inside the scope.
 
     A repeated query term counts as often as it is repeated. Ties go to the
-    greater chunk_id. Only positive scores are kept. Texts meet the few terms
-    of the queries before anything is exchanged, so what is shuffled is
-    matches, not postings. Scores are rounded to `places` so that order
-    doesn't hang on the order of sums.
+    greater chunk_id. Only positive scores are kept. A posting's weight is
+    computed once for all queries, and postings are dealt by chunk before they
+    meet the queries, so what a batch multiplies is never exchanged. Scores are
+    rounded to `places` so that order doesn't hang on the order of sums.
     """
-    scope = in_scope(chunks, sources, corpus)
+    index = _index(chunks)
     wanted = query_terms(queries)
-    toks = scope.select("chunk_id", "document_id", T.terms(F.concat_ws("\n", "text", "title")).alias("_t"))
-    words = toks.select("chunk_id", "document_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    matched = words.join(wanted, "term").groupBy("query_id", "term", "qtf", "chunk_id", "document_id", "dl").agg(F.count(F.lit(1)).alias("f"))
-    df = matched.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    kept = matched.join(covering(matched, wanted), ["query_id", "document_id"], "left_semi") if match_all else matched
-    all_ = kept.join(df, ["query_id", "term"]).crossJoin(F.broadcast(statistics(scope)))  # one row
+    found = _postings_of(index, wanted, sources, corpus)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = in_scope(index.lengths, sources, corpus).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = all_.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum(F.col("qtf") * idf * weight), places).alias("score")).filter("score > 0")
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weighed = found.join(df, "term").crossJoin(F.broadcast(stats))  # one row
+    weighed = weighed.select("chunk_id", "document_id", "term", (idf * weight).alias("s")).repartition("chunk_id", "document_id")
+    matched = weighed.join(wanted, "term")
+    if match_all:
+        matched = matched.join(covering(found, wanted), ["query_id", "document_id"], "left_semi")
+    scored = matched.groupBy("query_id", "chunk_id", "document_id").agg(F.round(F.sum(F.col("qtf") * F.col("s")), places).alias("score")).filter("score > 0")
     order = F.col("score").desc(), F.col("chunk_id").desc()
     return top(capped(scored, per_document, *order), k, *order)
 
 
-def fts(chunks: DataFrame, queries: DataFrame, k: int = 10, sources: list[str] | None = None, corpus: str | None = None, match_all: bool = False, per_document: int | None = None, places: int = 10) -> DataFrame:
+def fts(chunks: DataFrame | Index, queries: DataFrame, k: int = 10, sources: list[str] | None = None, corpus: str | None = None, match_all: bool = False, per_document: int | None = None, places: int = 10, in_english: bool = True) -> DataFrame:
     """(query_id, chunk_id, document_id, score, rank) by weighted occurrences of any query term.
 
     r sums 1.0 for each occurrence in the text and 0.4 for each in the title;
     the score is r / (r + 1). match_all: only documents that have all terms
     across their chunks, and the score grows by half the share of the terms
-    that the chunk itself has. Terms are compared in lower case, unstemmed.
+    that the chunk itself has. Terms are compared as English stems without
+    stop words, or as they are; an index decides by how it was built.
     """
-    scope = in_scope(chunks, sources, corpus)
-    wanted = query_terms(queries).select("query_id", "term")
-    weighed = F.concat(F.transform(T.terms(F.col("text")), lambda t: F.struct(t.alias("t"), F.lit(1.0).alias("w"))), F.transform(T.terms(F.col("title")), lambda t: F.struct(t.alias("t"), F.lit(0.4).alias("w"))))
-    words = scope.select("chunk_id", "document_id", F.explode(weighed).alias("x")).select("chunk_id", "document_id", F.col("x.t").alias("term"), F.col("x.w").alias("w"))
-    matched = words.join(wanted, "term").groupBy("query_id", "term", "chunk_id", "document_id").agg(F.sum("w").alias("w"))
+    index = _index(chunks, in_english)
+    wanted = query_terms(queries, index.english).select("query_id", "term")
+    found = _postings_of(index, wanted, sources, corpus)
+    matched = found.select("chunk_id", "document_id", "term", "w").repartition("chunk_id", "document_id").join(wanted, "term")
+    if match_all:
+        matched = matched.join(covering(found, wanted), ["query_id", "document_id"], "left_semi")
     total = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    kept = matched.join(covering(matched, wanted), ["query_id", "document_id"], "left_semi") if match_all else matched
-    r = kept.groupBy("query_id", "chunk_id", "document_id").agg(F.sum("w").alias("r"), F.count(F.lit(1)).alias("term_count")).join(total, "query_id")
+    r = matched.groupBy("query_id", "chunk_id", "document_id").agg(F.sum("w").alias("r"), F.count(F.lit(1)).alias("term_count")).join(total, "query_id")
     base = F.col("r") / (F.col("r") + 1)
     score = base * (1 + 0.5 * F.col("term_count") / F.col("total")) if match_all else base
     scored = r.select("query_id", "chunk_id", "document_id", F.round(score, places).alias("score"))
@@ -117,6 +242,6 @@ def fts(chunks: DataFrame, queries: DataFrame, k: int = 10, sources: list[str] |
     return top(capped(scored, per_document, *order), k, *order)
 
 
-def search(chunks: DataFrame, queries: DataFrame, ranker: str = "fts", **options) -> DataFrame:
-    """The named ranker: `bm25` or `fts`."""
+def search(chunks: DataFrame | Index, queries: DataFrame, ranker: str = "fts", **options) -> DataFrame:
+    """The named ranker: `bm25` or `fts`. An index for `bm25` is one of terms as they are."""
     return {"bm25": bm25, "fts": fts}[ranker](chunks, queries, **options)

@@ -8,6 +8,7 @@ those of the operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from karstflow.functions import text as T
 from karstflow.operators import chunking, evaluation, fusion, graph, keyword, upsert, vector
 from karstflow.plans import graph_search
+from karstflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,6 +46,17 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return t.select(key.alias("chunk_id"), key.alias("document_id"), F.concat(F.col("source"), F.lit("/doc_"), key).alias("title"), "text", "source", F.col("lang").alias("retrieval_corpus"))
 
 
+_INDEXES: dict[tuple, keyword.Index] = {}
+
+
+def _index(spark: SparkSession, d: str, in_english: bool = False) -> keyword.Index:
+    """The stored index of documents, built by the first search of a session that asks for it."""
+    key = spark.sparkContext.applicationId, d, in_english
+    if key not in _INDEXES:
+        _INDEXES[key] = keyword.build(_chunks(spark, d), f"{shared_dir(spark)}/karstflow/index-{uuid.uuid4().hex}", in_english, 16)
+    return _INDEXES[key]
+
+
 def _ask(spark: SparkSession, *texts: str) -> DataFrame:
     return spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(texts, 1)], "query_id string, query string")
 
@@ -80,22 +93,22 @@ def _ranked(df: DataFrame) -> DataFrame:
 
 @registered("bm25_topk", _bm25_sql())
 def bm25_topk(spark, d):
-    return _ranked(keyword.bm25(_chunks(spark, d), _ask(spark, *_ASK), places=6))
+    return _ranked(keyword.bm25(_index(spark, d), _ask(spark, *_ASK), places=6))
 
 
 @registered("bm25_scoped_source", _bm25_sql("source IN ('src0', 'src1', 'src2')", 20))
 def bm25_scoped_source(spark, d):
-    return _ranked(keyword.bm25(_chunks(spark, d), _ask(spark, *_ASK), 20, sources=["src0", "src1", "src2"], places=6))
+    return _ranked(keyword.bm25(_index(spark, d), _ask(spark, *_ASK), 20, sources=["src0", "src1", "src2"], places=6))
 
 
 @registered("bm25_scoped_corpus", _bm25_sql("lang = 'es'"))
 def bm25_scoped_corpus(spark, d):
-    return _ranked(keyword.bm25(_chunks(spark, d), _ask(spark, *_ASK), corpus="es", places=6))
+    return _ranked(keyword.bm25(_index(spark, d), _ask(spark, *_ASK), corpus="es", places=6))
 
 
 @registered("bm25_match_all", _bm25_sql(match_all=True))
 def bm25_match_all(spark, d):
-    return _ranked(keyword.bm25(_chunks(spark, d), _ask(spark, *_ASK), match_all=True, places=6))
+    return _ranked(keyword.bm25(_index(spark, d), _ask(spark, *_ASK), match_all=True, places=6))
 
 
 @registered("batch_bm25_benchmark", f"""WITH {_toks()},
@@ -109,7 +122,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, chunk_id, score, "rank" FROM r WHERE "rank" <= 5""")
 def batch_bm25_benchmark(spark, d):
     q = _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return _ranked(keyword.bm25(_chunks(spark, d), q, 5, places=6))
+    return _ranked(keyword.bm25(_index(spark, d), q, 5, places=6))
 
 
 _FTS = f"""WITH {_CHUNKS}, {_terms_sql()}, tot AS (SELECT query_id, count(*) total FROM qt GROUP BY ALL),
@@ -121,12 +134,23 @@ _FTS_END = """, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id OR
 
 @registered("fts_any", _FTS + ", s AS (SELECT query_id, chunk_id, round(r / (r + 1), 6) score FROM g)" + _FTS_END)
 def fts_any(spark, d):
-    return _ranked(keyword.fts(_chunks(spark, d), _ask(spark, *_ASK), places=6))
+    return _ranked(keyword.fts(_index(spark, d), _ask(spark, *_ASK), places=6))
 
 
 @registered("fts_match_all_intersect", _FTS + ", s AS (SELECT query_id, chunk_id, round(r / (r + 1) * (1 + 0.5 * tc / total), 6) score FROM g WHERE tc = total)" + _FTS_END)
 def fts_match_all(spark, d):
-    return _ranked(keyword.fts(_chunks(spark, d), _ask(spark, *_ASK), match_all=True, places=6))
+    return _ranked(keyword.fts(_index(spark, d), _ask(spark, *_ASK), match_all=True, places=6))
+
+
+@registered("fts_english")
+def fts_english(spark, d):
+    """Stems, which DuckDB can't give offline; tests compare the rows with a brute-force search."""
+    return _ranked(keyword.fts(_index(spark, d, True), _ask(spark, "the patient rivers of the northern lands", "erased theories", "running thinned"), places=6))
+
+
+@registered("bm25_unstored", _bm25_sql("source IN ('src1', 'src4')", 5))
+def bm25_unstored(spark, d):
+    return _ranked(keyword.bm25(_chunks(spark, d), _ask(spark, *_ASK), 5, sources=["src1", "src4"], places=6))
 
 
 @registered("tokenize_stats", f"""SELECT lang, CAST(count(*) AS BIGINT) n_docs, CAST(sum(len(t)) AS BIGINT) n_terms, CAST(max(len(t)) AS BIGINT) longest FROM (SELECT lang, regexp_extract_all(text, '{_TERM}') t FROM documents) GROUP BY lang""")

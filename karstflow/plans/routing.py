@@ -6,14 +6,16 @@ import json
 import re
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
 from karstflow.operators.fusion import overfetch
 
-DISCOVERY = r"\b(which|what|list|all|every|any|find)\b.{0,40}\b(services?|repos?|repositor(?:y|ies)|systems?|apps?)\b|\bacross\b|\bwho (?:uses|calls|owns)\b"
-LOCAL = r"\b(?:in|inside|within|of|for)\s+(?:the\s+)?\S+(?:\s+(?:service|repo|repository))?|\b(?:only|specifically)\b"
+# Wording that asks for all services, and what may stand before `services` in it.
+ALL_SERVICES = ("all services", "across services")
+BEFORE_SERVICES = ("downstream", "upstream", "external", "internal", "other", "product", "source", "target", "consumer", "producer")
+DISCOVERY = rf"\b(?:which|what)\s+(?:(?:{'|'.join(BEFORE_SERVICES)})\s+){{0,3}}services?\b"
 GLOBAL, BOOST, HARD_FILTER = "GLOBAL", "BOOST", "HARD_FILTER"
 
 
@@ -55,6 +57,8 @@ def aliases(services: list[Service]) -> dict[str, frozenset[str]]:
 
 @dataclass(frozen=True)
 class Decision:
+    """services: all detected; ambiguous: aliases that several services share; matched: service -> alias."""
+
     mode: str = GLOBAL
     services: tuple[str, ...] = ()
     ambiguous: tuple[str, ...] = ()
@@ -62,44 +66,119 @@ class Decision:
     matched: dict[str, str] = field(default_factory=dict)
 
 
-def plan(query: str, services: list[Service], k: int = 5) -> Decision:
-    """GLOBAL without services or for a wide question; HARD_FILTER for one sure service asked of locally; else BOOST."""
-    unique, ambiguous, matched = set(), set(), {}
-    text = f" {re.sub(r'[^a-z0-9]+', '-', query.lower()).strip('-')} "
+def stands_in(phrase: str, text: str) -> bool:
+    """Whether a phrase stands in a text with no letter or digit beside it."""
+    return re.search(rf"(?<![a-z0-9]){re.escape(phrase)}(?![a-z0-9])", text) is not None
+
+
+def _named(phrase: str, query: str) -> bool:
+    return bool(phrase) and (stands_in(phrase, token_key(query)) or stands_in(phrase, query.lower()))
+
+
+def matches(query: str, services: list[Service]) -> tuple[dict[str, str], set[str]]:
+    """(service -> its longest alias in the query, aliases there that several services share)."""
+    sure, ambiguous = {}, set()
     for alias, sources in aliases(services).items():
-        if re.search(rf"(?<![a-z0-9]){re.escape(alias)}(?![a-z0-9])", text):
-            (unique if len(sources) == 1 else ambiguous).update(sources)
-            for s in sources:
-                matched.setdefault(s, alias)
-    all_ = tuple(sorted(unique | ambiguous))
-    base = Decision(GLOBAL, all_, tuple(sorted(ambiguous - unique)), k, matched)
-    if not all_ or re.search(DISCOVERY, query, re.I):
-        return base
-    if len(all_) == 1 and not ambiguous and re.search(LOCAL, query, re.I):
-        return replace(base, mode=HARD_FILTER)
-    return replace(base, mode=BOOST, k=overfetch(k))
+        if _named(alias, query):
+            if len(sources) == 1:
+                sure.setdefault(*sources, alias)
+            else:
+                ambiguous.add(alias)
+    return sure, ambiguous
+
+
+def asks_for_all(query: str) -> bool:
+    low = query.lower()
+    return any(x in low for x in ALL_SERVICES) or re.search(DISCOVERY, low) is not None
+
+
+def local_pattern(alias: str) -> str:
+    """What ties a question's wording to a service: in it, its own, or what it does."""
+    name = r"[\s-]+".join(re.escape(x) for x in alias.split("-") if x)
+    return rf"\b(?:in|within|inside)\s+{name}\b|\b{name}\s*'s\b|\b(?:what|which|how)\b.+\bdoes\s+{name}\b"
+
+
+def plan(query: str, services: list[Service], k: int = 5) -> Decision:
+    """GLOBAL without services or for a question about all; HARD_FILTER for one sure service that the wording is tied to; else BOOST.
+
+    Services are looked for in the expanded query, unless the query itself is
+    tied to the only one that it names.
+    """
+    sure, shared = matches(query, services)
+    tied = len(sure) == 1 and not shared and re.search(local_pattern(next(iter(sure.values()))), query.lower())
+    if not tied:
+        sure, shared = matches(expand(query, services), services)
+    found = Decision(GLOBAL, tuple(sorted(sure)), tuple(sorted(shared)), k, sure)
+    if not sure or asks_for_all(query):
+        return found
+    if len(sure) == 1 and not shared and re.search(local_pattern(next(iter(sure.values()))), query.lower()):
+        return replace(found, mode=HARD_FILTER, ambiguous=())
+    return replace(found, mode=BOOST, k=overfetch(k))
 
 
 def expand(query: str, services: list[Service]) -> str:
-    """The query with the other forms of the services that it names."""
-    text, more = query.lower(), set()
+    """The query and after it, in order, the other form and the source of every service that it names by one form."""
+    more = set()
     for s in services:
-        forms = [f for f in (s.short_form, s.long_form) if f]
-        if any(re.search(rf"(?<![a-z0-9]){re.escape(f.lower())}(?![a-z0-9])", text) for f in forms):
-            more |= {f for f in (*forms, s.source) if f and f.lower() not in text}
+        forms = (s.short_form, s.long_form)
+        for own, other in (forms, forms[::-1]):
+            if own and (stands_in(token_key(own), token_key(query)) or stands_in(own.lower(), query.lower())):
+                more |= {other, s.source} - {""}
     return " ".join([query, *sorted(more)])
 
 
-def detect(queries: DataFrame, services: DataFrame) -> DataFrame:
-    """The batch form: (query_id, mode, services) of queries (query_id, query) and aliases (alias, source).
+def strategy_of(name: str) -> tuple[str, bool]:
+    """(base strategy, whether services decide) of a strategy's name."""
+    base = name.strip().lower()
+    return base.removesuffix("-service-aware"), base.endswith("-service-aware")
 
-    The catalogue of services is what people keep by hand; it is small.
-    """
-    keys = services.select(T.token_key(F.col("alias")).alias("alias"), "source").filter("alias <> ''").distinct()
-    keys = keys.groupBy("alias").agg(F.sort_array(F.collect_set("source")).alias("sources"))
-    text = F.concat(F.lit("-"), F.regexp_replace(F.lower("query"), "[^a-z0-9]+", "-"), F.lit("-"))
-    hit = queries.join(keys, F.contains(text, F.concat(F.lit("-"), F.col("alias"), F.lit("-"))), "left")
-    per = hit.groupBy("query_id", "query").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("services"), F.max(F.size("sources")).alias("_most"))
-    wide = F.lower("query").rlike(DISCOVERY)
-    mode = F.when((F.size("services") == 0) | wide, GLOBAL).when((F.size("services") == 1) & (F.col("_most") == 1) & F.lower("query").rlike(LOCAL), HARD_FILTER).otherwise(BOOST)
-    return per.select("query_id", mode.alias("mode"), "services")
+
+# The same for tables: queries (query_id, query), services (source, short_form, long_form), kept by hand and small.
+
+
+def _stands(phrase: Column, text: Column) -> Column:
+    key = T.token_key(phrase)
+    return (key != "") & (T.has_phrase(T.token_key(text), key) | T.has_phrase(F.lower(text), F.lower(phrase)))
+
+
+def expand_all(queries: DataFrame, services: DataFrame) -> DataFrame:
+    """`expand` for a table of queries."""
+    forms = services.select("source", F.explode(F.array(F.struct(F.col("short_form").alias("own"), F.col("long_form").alias("other")), F.struct(F.col("long_form").alias("own"), F.col("short_form").alias("other")))).alias("f")).select("source", "f.*").filter("own <> ''").distinct()
+    hit = queries.join(forms, _stands(F.col("own"), F.col("query"))).select("query_id", F.explode(F.array("other", "source")).alias("x")).filter("x <> ''")
+    more = hit.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("_m"))
+    return queries.select("query_id", "query").join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query", "_m").alias("query"))
+
+
+def match_all(queries: DataFrame, services: DataFrame) -> DataFrame:
+    """(query_id, services, ambiguous, alias): `matches` for a table of queries; alias is the only service's."""
+    keys = services.filter("source <> ''").select(F.explode(F.array("source", "short_form", "long_form")).alias("_a"), "source").select(T.token_key(F.col("_a")).alias("alias"), "source").filter("alias <> ''").distinct()
+    keys = keys.groupBy("alias").agg(F.count(F.lit(1)).alias("_n"), F.min("source").alias("source"))
+    hit = queries.join(keys, _stands(F.col("alias"), F.col("query")))
+    own = hit.filter("_n = 1").groupBy("query_id", "source").agg(F.max_by("alias", F.struct(F.length("alias"), F.col("alias"))).alias("alias"))
+    sure = own.groupBy("query_id").agg(F.sort_array(F.collect_set("source")).alias("services"), F.min("alias").alias("alias"))
+    shared = hit.filter("_n > 1").groupBy("query_id").agg(F.sort_array(F.collect_set("alias")).alias("ambiguous"))
+    none = F.array().cast("array<string>")
+    both = queries.select("query_id").join(sure, "query_id", "left").join(shared, "query_id", "left")
+    return both.select("query_id", F.coalesce("services", none).alias("services"), F.coalesce("ambiguous", none).alias("ambiguous"), "alias")
+
+
+def _tied(query: Column, alias: Column) -> Column:
+    name = F.array_join(F.filter(F.split(alias, "-"), lambda x: x != ""), r"[\s-]+")
+    pattern = F.concat(F.lit(r"\b(?:in|within|inside)\s+"), name, F.lit(r"\b|\b"), name, F.lit(r"\s*'s\b|\b(?:what|which|how)\b.+\bdoes\s+"), name, F.lit(r"\b"))
+    return F.coalesce(F.regexp_like(F.lower(query), pattern), F.lit(False))
+
+
+def plan_all(queries: DataFrame, services: DataFrame) -> DataFrame:
+    """(query_id, mode, services, ambiguous): `plan` for a table of queries."""
+    rows = queries.select("query_id", "query")
+    first, wide = match_all(rows, services), match_all(expand_all(rows, services), services)
+    both = rows.join(first, "query_id").join(wide.select("query_id", *[F.col(c).alias(f"_{c}") for c in ("services", "ambiguous", "alias")]), "query_id")
+    one = (F.size("services") == 1) & (F.size("ambiguous") == 0) & _tied(F.col("query"), F.col("alias"))
+    kept = both.withColumn("_one", one).select("query_id", "query", *[F.when(F.col("_one"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("services", "ambiguous", "alias")])
+    low = F.lower("query")
+    all_ = low.rlike(DISCOVERY)
+    for x in ALL_SERVICES:
+        all_ = all_ | F.contains(low, F.lit(x))
+    local = (F.size("services") == 1) & (F.size("ambiguous") == 0) & _tied(F.col("query"), F.col("alias"))
+    mode = F.when((F.size("services") == 0) | all_, GLOBAL).when(local, HARD_FILTER).otherwise(BOOST)
+    return kept.select("query_id", mode.alias("mode"), "services", "ambiguous")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
@@ -84,14 +87,102 @@ def node_size(evidence: Column) -> Column:
     return F.round(10 + F.least(F.lit(45.0), F.sqrt(evidence) * 3.5), 2)
 
 
+#: Colours of node types, in the order of their names and then again.
+PALETTE = ("#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac")
+
+
+def drawn_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, label, node_type, evidence_count, ...) with the size and colour they are drawn in."""
+    types = nodes.select("node_type").distinct()
+    place = F.row_number().over(W.orderBy("node_type")) - 1  # a handful of types
+    colours = types.select("node_type", F.get(F.array(*map(F.lit, PALETTE)), F.pmod(place, F.lit(len(PALETTE)))).alias("color"))
+    return nodes.join(colours, "node_type").select(*nodes.columns, node_size(F.col("evidence_count")).alias("size"), "color")
+
+
+def write_graph_html(nodes: DataFrame, edges: DataFrame, folder: str, most: int = 20_000) -> None:
+    """A page that draws an exported graph. A page holds its graph whole, so more than `most` rows are an error."""
+    shown = [df.limit(most + 1).toJSON().collect() for df in (drawn_nodes(nodes), edges)]
+    if max(map(len, shown)) > most:
+        raise ValueError(f"a page holds at most {most} nodes or edges")
+    legend = "".join(f"<li style='color:{r.color}'>{html.escape(r.node_type)}</li>" for r in drawn_nodes(nodes).select("node_type", "color").distinct().orderBy("node_type").collect())
+    data = "{" + ", ".join(f'"{name}": [{", ".join(rows)}]' for name, rows in zip(("nodes", "edges"), shown, strict=True)) + "}"
+    page = f"<!DOCTYPE html><meta charset='utf-8'><title>Graph</title><ul>{legend}</ul><svg id='g' viewBox='0 0 1000 1000'></svg><script>const graph = {data.replace('</', '<' + chr(92) + '/')};\n{_DRAW}</script>"
+    nodes.sparkSession.createDataFrame([(page,)], "value string").coalesce(1).write.mode("errorifexists").text(folder)
+
+
+_DRAW = """const at = new Map(graph.nodes.map((n, i) => [n.id, [500 + 450 * Math.cos(6.2832 * i / graph.nodes.length), 500 + 450 * Math.sin(6.2832 * i / graph.nodes.length)]]));
+const draw = (tag, values) => { const e = document.createElementNS('http://www.w3.org/2000/svg', tag); for (const k in values) e.setAttribute(k, values[k]); return document.getElementById('g').appendChild(e); };
+for (const e of graph.edges) if (at.has(e.source) && at.has(e.target)) draw('line', {x1: at.get(e.source)[0], y1: at.get(e.source)[1], x2: at.get(e.target)[0], y2: at.get(e.target)[1], stroke: '#ccc'});
+for (const n of graph.nodes) draw('circle', {cx: at.get(n.id)[0], cy: at.get(n.id)[1], r: n.size / 5, fill: n.color}).appendChild(document.createElementNS('http://www.w3.org/2000/svg', 'title')).textContent = n.label;"""
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; blank lines are none, and a line that isn't JSON is an error."""
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+
+
+def existing_summaries(spark: SparkSession, path: str) -> DataFrame:
+    """The files of an earlier summaries.json; none where there is no such file or it can't be read."""
+    empty = spark.createDataFrame([], "file_path string, url string, last_modified string, source_code string, summary string")
+    try:
+        rows = spark.read.schema(SUMMARIES).option("mode", "DROPMALFORMED").json(path, multiLine=True).select(F.explode("files").alias("f")).select("f.*")
+        rows.limit(1).count()
+    except Exception:  # a missing or broken file means that everything is new
+        return empty
+    return rows.filter(F.col("file_path").isNotNull())
+
+
+def paged(spark: SparkSession, fetch, schema: str, size: int = 100) -> DataFrame:
+    """Rows of a source that gives them by pages: fetch(page, size) from page 1 until a short one.
+
+    For sources of a bounded number of pages, as the files of one change.
+    """
+    rows, page = [], 1
+    while True:
+        got = fetch(page, size)
+        rows += got
+        if len(got) < size:
+            return spark.createDataFrame(rows, schema)
+        page += 1
+
+
+def write_summaries(files: DataFrame, errors: DataFrame, folder: str) -> None:
+    """<folder>/summaries: one JSON row for each repository; <folder>/failed_files the same of errors, if there are any.
+
+    files: repository and the columns of a file; errors: repository, file_path, error.
+    """
+    own = ["file_path", "url", "last_modified", "source_code", "summary"]
+    sorted_ = files.groupBy("repository").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("files"))
+    sorted_.write.mode("overwrite").json(f"{folder}/summaries")
+    failed = errors.groupBy("repository").agg(F.sort_array(F.collect_list(F.struct("file_path", "error"))).alias("failed"))
+    if failed.isEmpty():
+        jvm = files.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/failed_files")
+        path.getFileSystem(files.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    else:
+        failed.write.mode("overwrite").json(f"{folder}/failed_files")
+
+
+def markdown(files: DataFrame) -> DataFrame:
+    """(repository, path, text): each summary as a page with its origin in a comment above it."""
+    head = F.concat(F.lit("<!-- "), "repository", F.lit("/"), "file_path", F.lit(" | "), F.coalesce("url", F.lit("")), F.lit(" -->\n\n"))
+    return files.select("repository", F.concat("file_path", F.lit(".md")).alias("path"), F.concat(head, "summary").alias("text"))
+
+
+def write_markdown(files: DataFrame, folder: str) -> None:
+    """The pages of `markdown` by repository and path; one directory for each page, as Spark's writers have it."""
+    pages = markdown(files).withColumn("page", F.concat_ws("/", "repository", "path"))
+    pages.select("page", F.col("text").alias("value")).write.mode("overwrite").partitionBy("page").option("lineSep", "\x00").text(folder)
+
+
 def write_with_manifest(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as JSON lines, and a manifest with its rows and the digest of its content in any order."""
+    """Each table as JSON lines, and a manifest with the SHA-256 of each file that was written."""
     manifest = None
     for name, df in tables.items():
         df.write.mode("errorifexists").json(f"{folder}/{name}")
-        line = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-        # Sums of digests don't depend on the order of rows, so no table is gathered.
-        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.sum(F.conv(F.left(line, F.lit(12)), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
-        manifest = row if manifest is None else manifest.unionByName(row)
+        files = df.sparkSession.read.format("binaryFile").load(f"{folder}/{name}/*.json")
+        rows = files.select(F.lit(name).alias("name"), F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+        manifest = rows if manifest is None else manifest.unionByName(rows)
     if manifest is not None:
         manifest.coalesce(1).write.mode("errorifexists").json(f"{folder}/manifest")

@@ -93,6 +93,6 @@ def test_names(spark):
 
     assert one(T.token_key, "  My_Big  Service! ") == "my-big-service"
     assert one(T.topic_name, "application/json") is None and one(T.topic_name, "a.b.c/x") == "a.b.c"
-    assert one(T.table_name, "[dbo].[Orders]") == "Orders" and one(T.table_name, "select") is None
-    assert one(T.service_bucket, "src/Shop.Orders.Api/a.cs") == "src:shop.orders" and one(T.service_bucket, "x") == "unknown"
+    assert one(T.table_name, "[dbo].[Orders]") == "Orders" and one(T.table_name, "schema") is None
+    assert one(T.service_bucket, "src/Shop.Orders.Api/a.cs") == "src:shop.orders" and one(T.service_bucket, "x/y") == "path:x/y" and one(T.service_bucket, " ") == "unknown"
     assert one(T.query_terms, "The river of 12 rivers river") == ["river", "rivers"]
