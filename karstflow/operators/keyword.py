@@ -153,9 +153,12 @@ def query_terms(queries: DataFrame, in_english: bool = False) -> DataFrame:
 
 def phrase(text: Column, words: Column) -> Column:
     """Whether a text has the terms of a phrase one after the other."""
-    own, asked = T.terms(text), T.terms(words)
-    at = F.sequence(F.lit(1), F.greatest(F.size(own) - F.size(asked) + 1, F.lit(1)))
-    return (F.size(asked) > 0) & F.exists(at, lambda i: F.slice(own, i, F.size(asked)) == asked)
+
+    def follows(x: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(x["own"]) - F.size(x["asked"]) + 1, F.lit(1)))
+        return (F.size(x["asked"]) > 0) & F.exists(at, lambda i: F.slice(x["own"], i, F.size(x["asked"])) == x["asked"])
+
+    return T.let(F.struct(T.terms(text).alias("own"), T.terms(words).alias("asked")), follows)
 
 
 def _postings_of(index: Index, wanted: DataFrame, sources: list[str] | None, corpus: str | None) -> DataFrame:

@@ -1,10 +1,25 @@
-"""Vector search by exact cosine similarity, in double precision."""
+"""Vector search by exact cosine similarity, in double precision.
+
+Queries, a stated set, are taken in blocks of bounded size; each task holds a
+block and multiplies its own items with it as matrices, a batch at a time,
+keeping the best of each query. So what is exchanged are k rows for each query
+and task, never pairs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Queries that every task holds at once.
+BLOCK = 4096
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -17,27 +32,79 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, _dot(a, b) / norm)
 
 
-def scored(items: DataFrame, queries: DataFrame, places: int = 6) -> DataFrame:
-    """Every item beside every query with its similarity.
-
-    items: item_id, embedding and others; queries: query_id, query_embedding,
-    a stated set that is small beside the items. Each task scores its own items.
-    """
-    near = items.filter(F.col("embedding").isNotNull()).join(queries)
-    return near.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), places)).drop("query_embedding", "embedding")
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors by their length; those without one become not-a-number and have no similarity."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().astype(np.float64).reshape(len(column), -1)
+
+
+def _leaders(ids: list, questions: np.ndarray, k: int, floor: float, by_label: bool, places: int):
+    """For mapInArrow over (item_id, embedding, label): the best of each query, and label, in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, tuple[np.ndarray, ...]] = {}
+        types = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            types = batch.schema
+            items, labels = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(2).to_pylist(), object)
+            scores = np.round(_unit(_matrix(batch.column(1))) @ questions.T, places)
+            groups = {x: np.flatnonzero(labels == x) for x in set(labels.tolist())} if by_label else {None: np.arange(len(items))}
+            for group, rows in groups.items():
+                for q in range(len(ids)):
+                    own = scores[rows, q]
+                    good = np.flatnonzero(own >= floor)
+                    if len(good) > k:
+                        # Equals of the last one stay, for the order by item decides among them.
+                        good = good[own[good] >= np.partition(own[good], -k)[-k]]
+                    old = best.get((q, group), (items[:0], labels[:0], own[:0]))
+                    every = [np.concatenate(x) for x in zip(old, (items[rows[good]], labels[rows[good]], own[good]), strict=True)]
+                    first = sorted(range(len(every[0])), key=lambda i: (-every[2][i], every[0][i]))[:k]
+                    best[q, group] = tuple(x[first] for x in every)
+        for (q, _), (names, groups, values) in best.items():
+            if len(names):
+                yield pa.record_batch([pa.array([ids[q]] * len(names)), pa.array(names, types.field(0).type), pa.array(groups.tolist(), types.field(2).type), pa.array(values, pa.float64())], ["query_id", "item_id", "label", "score"])
+
+    return run
+
+
+def _ranked(items: DataFrame, queries: DataFrame, k: int, floor: float, by_label: bool, places: int) -> DataFrame:
+    asked = queries.filter(F.col("query_embedding").isNotNull()).select("query_id", "query_embedding")
+    label = F.col("label") if "label" in items.columns else F.lit(None).cast("string").alias("label")
+    rows = items.filter(F.col("embedding").isNotNull()).select("item_id", "embedding", label)
+    schema = T.StructType([asked.schema["query_id"], rows.schema["item_id"], T.StructField("label", rows.schema["label"].dataType), T.StructField("score", T.DoubleType())])
+    names = [r.query_id for r in asked.select("query_id").orderBy("query_id").toLocalIterator()] if asked.limit(BLOCK + 1).count() > BLOCK else None
+    parts = [asked] if names is None else [asked.filter(F.col("query_id").between(names[a], names[min(a + BLOCK, len(names)) - 1])) for a in range(0, len(names), BLOCK)]
+    found = []
+    for part in parts:
+        block = part.toArrow()
+        if block.num_rows:
+            questions = _unit(_matrix(block["query_embedding"].combine_chunks()))
+            found.append(rows.mapInArrow(_leaders(block["query_id"].to_pylist(), questions, k, floor, by_label, places), schema))
+    if not found:
+        return items.sparkSession.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+    w = W.partitionBy("query_id", *(["label"] if by_label else [])).orderBy(F.col("score").desc(), "item_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def nearest(items: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, places: int = 6) -> DataFrame:
-    """The k most similar items of each query; ties go to the lesser item_id. Filters come first, so they lose nothing."""
-    kept = items if where is None else items.filter(where)
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return scored(kept, queries, places).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    """(query_id, item_id, label, score, rank): the k most similar items of each query; ties go to the lesser item_id.
+
+    items: item_id, embedding and, if wanted, label; queries: query_id,
+    query_embedding. Filters come first, so they lose nothing. Vectors that are
+    null or have no length are no items.
+    """
+    return _ranked(items if where is None else items.filter(where), queries, k, -np.inf, False, places)
 
 
 def nearest_by_label(items: DataFrame, queries: DataFrame, k: int = 10, floor: float = 0.11, places: int = 6) -> DataFrame:
     """The k most similar items of each label for each query, at or above a floor."""
-    w = W.partitionBy("query_id", "label").orderBy(F.col("score").desc(), "item_id")
-    return scored(items, queries, places).withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("score") >= floor))
+    return _ranked(items, queries, k, floor, True, places)
 
 
 def with_rows(ranked: DataFrame, wide: DataFrame, key: str) -> DataFrame:
@@ -55,6 +122,4 @@ def embed(rows: DataFrame, provider, column: str = "text", batch: int = 200) ->
                 vectors += provider(frame[column].iloc[at : at + batch].tolist())
             yield frame.assign(embedding=vectors)
 
-    from pyspark.sql import types as T
-
     return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))

@@ -197,11 +197,12 @@ def _vectors(spark, d):
     return _table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
-def _asked(items, *ids):
-    return items.filter(F.col("item_id").isin(*ids)).select(F.col("item_id").cast("string").alias("query_id"), F.col("embedding").alias("query_embedding"))
+def _asked(items):
+    """The stated query set: every vector whose id is divisible by 100."""
+    return items.filter(F.col("item_id") % 100 == 0).select(F.col("item_id").cast("string").alias("query_id"), F.col("embedding").alias("query_embedding"))
 
 
-_NEAR = """WITH q AS (SELECT CAST(vec_id AS VARCHAR) query_id, CAST(embedding AS DOUBLE[]) qe FROM embeddings WHERE vec_id IN (0, 1, 2)),
+_NEAR = """WITH q AS (SELECT CAST(vec_id AS VARCHAR) query_id, CAST(embedding AS DOUBLE[]) qe FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id item_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe), 6) score FROM embeddings, q WHERE {where}),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY {by} ORDER BY score DESC, item_id) AS INTEGER) "rank" FROM s)
 SELECT query_id, item_id, label, score, "rank" FROM r WHERE "rank" <= {k} {floor}"""
@@ -210,57 +211,72 @@ SELECT query_id, item_id, label, score, "rank" FROM r WHERE "rank" <= {k} {floor
 @registered("cosine_topk", _NEAR.format(where="TRUE", by="query_id", k=10, floor=""))
 def cosine_topk(spark, d):
     v = _vectors(spark, d)
-    return vector.nearest(v, _asked(v, 0, 1, 2)).select("query_id", "item_id", "label", "score", "rank")
+    return vector.nearest(v, _asked(v)).select("query_id", "item_id", "label", "score", "rank")
 
 
 @registered("cosine_filtered_label", _NEAR.format(where="label IN (1, 2)", by="query_id", k=10, floor=""))
 def cosine_filtered_label(spark, d):
     v = _vectors(spark, d)
-    return vector.nearest(v, _asked(v, 0, 1, 2), where=F.col("label").isin(1, 2)).select("query_id", "item_id", "label", "score", "rank")
+    return vector.nearest(v, _asked(v), where=F.col("label").isin(1, 2)).select("query_id", "item_id", "label", "score", "rank")
 
 
 @registered("cosine_per_label_topk_floor", _NEAR.format(where="TRUE", by="query_id, label", k=10, floor="AND score >= 0.11"))
 def cosine_per_label(spark, d):
     v = _vectors(spark, d)
-    return vector.nearest_by_label(v, _asked(v, 0, 1, 2)).select("query_id", "item_id", "label", "score", "rank")
+    return vector.nearest_by_label(v, _asked(v)).select("query_id", "item_id", "label", "score", "rank")
+
+
+@registered("nearest_with_rows", _NEAR.format(where="TRUE", by="query_id", k=3, floor="").replace("SELECT query_id, item_id, label, score, \"rank\" FROM r", "SELECT query_id, item_id, \"rank\", lang, source, md5(text) text_md5 FROM r JOIN documents ON doc_id = item_id"))
+def nearest_with_rows(spark, d):
+    v = _vectors(spark, d)
+    wide = _table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "lang", "source", F.md5("text").alias("text_md5"))
+    return vector.with_rows(vector.nearest(v, _asked(v), 3).select("query_id", "item_id", "rank"), wide, "item_id")
 
 
 # Fusion: two ranked lists of documents, one by length and one by similarity
 
-_LISTS = f"""a AS (SELECT 'q' query_id, doc_id item_id, row_number() OVER (ORDER BY len(regexp_extract_all(text, '{_TERM}')) DESC, doc_id) rk FROM documents),
-b AS (SELECT 'q' query_id, vec_id item_id, row_number() OVER (ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) DESC, vec_id) rk FROM embeddings),
+_LISTS = f"""qs AS (SELECT CAST(vec_id AS VARCHAR) query_id, vec_id, CAST(embedding AS DOUBLE[]) qe FROM embeddings WHERE vec_id % 100 = 0),
+a AS (SELECT query_id, doc_id item_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(len(regexp_extract_all(text, '{_TERM}')) - vec_id), doc_id) rk FROM documents, qs),
+b AS (SELECT query_id, e.vec_id item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qe), 6) DESC, e.vec_id) rk FROM embeddings e, qs),
 u AS (SELECT *, 0 lo FROM a WHERE rk <= 100 UNION ALL SELECT *, 1 FROM b WHERE rk <= 100),
 g AS (SELECT query_id, item_id, round(sum(1.0e0 / (60 + rk)), 10) score, min(lo * 100000 + rk) fr FROM u GROUP BY ALL)"""
 
 
 def _lists(spark, d):
+    """Of each query the documents whose length is nearest to its number, and the vectors nearest to it."""
     docs, v = _table(spark, d, "documents"), _vectors(spark, d)
-    a = docs.select(F.lit("q").alias("query_id"), F.col("doc_id").alias("item_id"), F.size(T.terms(F.col("text"))).alias("score"))
-    a = keyword.top(a, 100, F.col("score").desc(), F.col("item_id"))
-    b = vector.nearest(v, _asked(v, 0), 100).withColumn("query_id", F.lit("q"))
-    return [a, b]
+    sizes = docs.select(F.col("doc_id").alias("item_id"), F.size(T.terms(F.col("text"))).alias("n"))
+    a = sizes.join(_asked(v).select("query_id")).withColumn("score", -F.abs(F.col("n") - F.col("query_id").cast("int")))
+    return [keyword.top(a, 100, F.col("score").desc(), F.col("item_id")), vector.nearest(v, _asked(v), 100)]
 
 
-@registered("rrf_two_lists", f"WITH {_LISTS}, r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, fr) AS INTEGER) \"rank\" FROM g) SELECT query_id, item_id, score, \"rank\" FROM r WHERE \"rank\" <= 50")
+@registered("rrf_two_lists", f"WITH {_LISTS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr, item_id) AS INTEGER) \"rank\" FROM g) SELECT query_id, item_id, score, \"rank\" FROM r WHERE \"rank\" <= 50")
 def rrf_two_lists(spark, d):
     return fusion.rrf(_lists(spark, d), 50).select("query_id", "item_id", "score", "rank")
 
 
-@registered("rrf_title_dedupe", f"""WITH {_LISTS}, t AS (SELECT g.*, source title FROM g JOIN documents ON item_id = doc_id), x AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, fr) tr FROM t),
-r AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, fr) AS INTEGER) "rank" FROM x WHERE tr = 1) SELECT query_id, item_id, score, "rank" FROM r""")
+@registered("rrf_title_dedupe", f"""WITH {_LISTS}, t AS (SELECT g.*, source title FROM g JOIN documents ON item_id = doc_id), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, title ORDER BY score DESC, fr, item_id) tr FROM t),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr, item_id) AS INTEGER) "rank" FROM x WHERE tr = 1) SELECT query_id, item_id, score, "rank" FROM r""")
 def rrf_title_dedupe(spark, d):
     titles = _table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"))
     return fusion.rrf(_lists(spark, d), titles=titles).select("query_id", "item_id", "score", "rank")
 
 
-@registered("service_boost", f"""WITH {_LISTS}, r AS (SELECT g.*, source, row_number() OVER (ORDER BY score DESC, fr) rk FROM g JOIN documents ON item_id = doc_id), k AS (SELECT * FROM r WHERE rk <= {fusion.overfetch(15)}),
-bb AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN 1.0e0 / (60 + row_number() OVER (PARTITION BY source IN ('src1', 'src2') ORDER BY rk)) ELSE 0 END + 1.0e0 / (60 + rk) bs FROM k),
-n AS (SELECT item_id, source, round(bs, 10) boost_score, CAST(row_number() OVER (ORDER BY round(bs, 10) DESC, score DESC, rk) AS INTEGER) new_rank FROM bb) SELECT * FROM n WHERE new_rank <= 15""")
+@registered("service_boost", f"""WITH {_LISTS}, r AS (SELECT g.*, source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr, item_id) rk FROM g JOIN documents ON item_id = doc_id), k AS (SELECT * FROM r WHERE rk <= {fusion.overfetch(15)}),
+bb AS (SELECT *, CASE WHEN source IN ('src1', 'src2') THEN 1.0e0 / (60 + row_number() OVER (PARTITION BY query_id, source IN ('src1', 'src2') ORDER BY rk)) ELSE 0 END + 1.0e0 / (60 + rk) bs FROM k),
+n AS (SELECT query_id, item_id, source, round(bs, 10) boost_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(bs, 10) DESC, score DESC, rk) AS INTEGER) new_rank FROM bb) SELECT * FROM n WHERE new_rank <= 15""")
 def service_boost(spark, d):
     docs = _table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "source")
     ranked = fusion.rrf(_lists(spark, d)).join(docs, "item_id")
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= fusion.overfetch(15))
-    return fusion.service_boost(ranked, ["src1", "src2"], 15).select("item_id", "source", "boost_score", "new_rank")
+    return fusion.service_boost(ranked, ["SRC1", "src2"], 15).select("query_id", "item_id", "source", "boost_score", "new_rank")
+
+
+@registered("overfetched_diversity", f"""WITH {_LISTS}, r AS (SELECT g.*, source, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr, item_id) rk FROM g JOIN documents ON item_id = doc_id), c AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rk) cr FROM r)
+SELECT query_id, item_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rk) AS INTEGER) "rank" FROM c WHERE cr <= 2""")
+def overfetched_diversity(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("document_id"))
+    return fusion.diverse(fusion.rrf(_lists(spark, d)).join(docs, "item_id"), 2).select("query_id", "item_id", "rank")
 
 
 # Evaluation: a query for each source, judged by labels
@@ -287,7 +303,7 @@ def retrieval_metrics(spark, d):
     return _evaluated(spark, d)
 
 
-@registered("metrics_by_category", f"WITH {_RUN.replace(', 6)', ', 12)')}, c AS (SELECT *, right(query_id, 1) category FROM e) SELECT category, count(*) n, " + ", ".join(f'round(avg("{m}"), 6) "{m}"' for m in evaluation.METRICS) + " FROM c GROUP BY category")
+@registered("metrics_by_category", f"WITH {_RUN.replace(', 6)', ', 12)')}, c AS (SELECT *, right(query_id, 1) category FROM e) SELECT category, count(*) n, " + ", ".join(f'round(avg("{m}"), 6) "{m}"' for m in (*evaluation.METRICS, *evaluation.MORE[:2])) + " FROM c GROUP BY category")
 def metrics_by_category(spark, d):
     return evaluation.grouped(_evaluated(spark, d, 12).withColumn("category", F.right("query_id", F.lit(1))), "category")
 
@@ -346,14 +362,12 @@ def evidence_top5(spark, d):
 
 @registered("distinct_on_best_evidence", "SELECT DISTINCT ON (l_partkey) l_partkey, l_suppkey, l_orderkey, l_discount FROM lineitem ORDER BY l_partkey, l_discount, l_orderkey, l_linenumber")
 def distinct_on(spark, d):
-    t = _table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_discount", "l_linenumber")
-    best = t.groupBy("l_partkey").agg(F.min_by(F.struct("l_suppkey", "l_orderkey", "l_discount"), F.struct("l_discount", "l_orderkey", "l_linenumber")).alias("x"))
-    return best.select("l_partkey", "x.*")
+    return graph.best_of_each(_table(spark, d, "lineitem"), "l_partkey", ["l_discount", "l_orderkey", "l_linenumber"], "l_suppkey", "l_orderkey", "l_discount")
 
 
 @registered("representative_chunk_lateral", "SELECT source, lang, min(CAST(doc_id AS VARCHAR)) chunk_id FROM documents GROUP BY ALL")
 def representative(spark, d):
-    return _table(spark, d, "documents").groupBy("source", "lang").agg(F.min(F.col("doc_id").cast("string")).alias("chunk_id"))
+    return graph.representative_chunks(_table(spark, d, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("chunk_id")), "source", "lang")
 
 
 @registered("stale_keys_anti_join", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 30) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 49)")
@@ -426,7 +440,9 @@ def skip_unchanged(spark, d):
 @registered("replace_document", "SELECT doc_id, lang, 0 AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, 'new', 1 FROM labels WHERE toxic = 1")
 def replace_document(spark, d):
     old = _table(spark, d, "documents").select("doc_id", "lang", F.lit(0).alias("v"))
-    return upsert.upsert(old, _table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.lit("new").alias("lang"), F.lit(1).alias("v")), ["doc_id"])
+    new = _table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.lit("new").alias("lang"), F.lit(1).alias("v"))
+    named = lambda x: x.withColumn("document_id", F.col("doc_id")).withColumn("retrieval_corpus", F.lit("c"))
+    return upsert.replace_documents(named(old), named(new)).drop("document_id", "retrieval_corpus")
 
 
 @registered("metadata_upsert_keep_source", "SELECT coalesce(a.doc_id, b.doc_id) doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.source ELSE 'src-new' END source, coalesce(b.quality, a.q) q FROM (SELECT doc_id, source, CAST(n_chars AS INTEGER) q FROM documents) a FULL JOIN labels b ON a.doc_id = b.doc_id")
@@ -438,15 +454,12 @@ def metadata_upsert(spark, d):
 
 @registered("conversation_last6", "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) r FROM conversations) WHERE r <= 6")
 def conversation_last6(spark, d):
-    w = W.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    return _table(spark, d, "conversations").withColumn("r", F.row_number().over(w)).filter("r <= 6").drop("r")
+    return upsert.last_messages(_table(spark, d, "conversations"), 6)
 
 
 @registered("conversation_assemble", "SELECT conv_id, left(arg_min(text, turn), 80) title, count(*) n_messages, string_agg(role || ': ' || text, chr(10) ORDER BY turn) messages FROM conversations GROUP BY conv_id")
 def conversation_assemble(spark, d):
-    message = F.concat(F.col("role"), F.lit(": "), F.col("text"))
-    g = _table(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("t"), F.count(F.lit(1)).alias("n_messages"), F.sort_array(F.collect_list(F.struct("turn", message.alias("m")))).alias("x"))
-    return g.select("conv_id", F.left("t", F.lit(80)).alias("title"), "n_messages", F.array_join(F.transform("x", lambda y: y["m"]), "\n").alias("messages"))
+    return upsert.assembled(_table(spark, d, "conversations"))
 
 
 @registered("url_host_path", "SELECT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) host FROM pages")
@@ -461,7 +474,7 @@ def json_props(spark, d):
 
 @registered("label_histogram", "SELECT label, count(*) n FROM embeddings GROUP BY ALL")
 def label_histogram(spark, d):
-    return _table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return graph.label_counts(_table(spark, d, "embeddings"))
 
 
 @registered("intersect_sources", "SELECT source FROM documents WHERE lang = 'en' INTERSECT SELECT source FROM documents WHERE lang = 'fr'")

@@ -339,6 +339,48 @@ def diverse_services(ranked: DataFrame, k: int) -> DataFrame:
     return again.filter(F.col("rank") <= k).drop("_b", "_src", "_any", "_r")
 
 
+# Facts by predicate, without a walk
+
+
+def known_repositories(metadata: DataFrame) -> DataFrame:
+    """(source) of every repository that has a document."""
+    return metadata.select("source").distinct()
+
+
+def representative_documents(metadata: DataFrame, chunks: DataFrame, sources: list[str], corpus: str) -> DataFrame:
+    """(source_repo, source_path, document_id, chunk_id): of each source its first document by name that has a chunk.
+
+    Documents without a name come last. Name, title, id: the first there is.
+    """
+    own = metadata.filter((F.col("retrieval_corpus") == corpus) & F.col("source").isin(list(sources)))
+    inside = chunks.filter(F.col("retrieval_corpus") == corpus)
+    first = graph.representative_chunks(inside).join(inside.select("chunk_id", "document_title"), "chunk_id")
+    rows = own.join(first, "document_id").select("source", F.coalesce("name", "document_title", "document_id").alias("source_path"), "document_id", "chunk_id", F.col("name").isNull().alias("_last"), F.col("name").alias("_name"))
+    return graph.best_of_each(rows, "source", ["_last", "_name", "document_id"], "source_path", "document_id", "chunk_id").withColumnRenamed("source", "source_repo")
+
+
+def _facts(evidence: DataFrame, predicate: str, objects: list[str] | None, repos: list[str] | None) -> DataFrame:
+    rows = evidence.filter(F.col("predicate") == predicate)
+    rows = rows if objects is None else rows.filter(F.col("object_key").isin(list(objects)))
+    return rows if repos is None else rows.filter(F.col("source_repo").isin(list(repos)))
+
+
+def fact_pairs(evidence: DataFrame, predicate: str, objects: list[str] | None = None, repos: list[str] | None = None) -> DataFrame:
+    """(source_repo, object_key, object_name) that evidence of a predicate states; no list is no restriction."""
+    return _facts(evidence, predicate, objects, repos).select("source_repo", "object_key", "object_name").distinct()
+
+
+def fact_rows(evidence: DataFrame, chunks: DataFrame, predicate: str, corpus: str, objects: list[str] | None = None, repos: list[str] | None = None) -> DataFrame:
+    """The surest evidence of a predicate in each file, with the chunk of the corpus that it lies in, or its document's first."""
+    rows = _facts(evidence, predicate, objects, repos).withColumn("_file", F.struct("source_repo", "source_path")).withColumn("_less", -F.col("confidence"))
+    best = graph.best_of_each(rows, "_file", ["_less", "object_key", "evidence_hash"], "object_name", "confidence", "document_id", "chunk_id")
+    inside = chunks.filter(F.col("retrieval_corpus") == corpus)
+    first = graph.representative_chunks(inside).select(F.col("document_id").alias("_d"), F.col("chunk_id").alias("_first"))
+    placed = best.join(first, F.col("document_id") == F.col("_d"), "left").withColumn("resolved_chunk_id", F.coalesce("chunk_id", "_first")).drop("document_id", "chunk_id")
+    wide = inside.withColumnRenamed("chunk_id", "resolved_chunk_id")
+    return placed.join(wide, "resolved_chunk_id").select("_file.source_repo", "_file.source_path", "object_name", "confidence", "resolved_chunk_id", "document_id", "text", F.coalesce("source", F.lit("")).alias("source"))
+
+
 @dataclass(frozen=True)
 class Graph:
     """The tables of a graph and of what its evidence lies in."""

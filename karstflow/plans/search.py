@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karstflow.operators import fusion, keyword, vector
-from karstflow.plans import routing
+from karstflow.plans import graph_search, routing
 
 CORPORA = {"summary": "summaries", "summaries": "summaries", "source_code": "code", "code": "code", "all": "all", "": "summaries"}
 
@@ -22,8 +22,10 @@ def corpus_of(name: str | None) -> str:
 
 @dataclass(frozen=True)
 class SearchRequest:
+    """strategy: keyword, vector, graph or hybrid, with `-service-aware` after it or the field set."""
+
     query: str
-    strategy: str = "hybrid"  # keyword, vector, graph, hybrid
+    strategy: str = "hybrid"
     k: int = 5
     sources: tuple[str, ...] = ()
     corpus: str = "summaries"
@@ -34,36 +36,63 @@ class SearchRequest:
     embedding: tuple[float, ...] | None = None
 
 
-def search(spark: SparkSession, request: SearchRequest, chunks: DataFrame, services: list[routing.Service] = (), graph: DataFrame | None = None) -> DataFrame:
-    """(query_id, item_id, score, rank, ...) of the best chunks.
+def search(spark: SparkSession, request: SearchRequest, chunks: DataFrame, services: list[routing.Service] = (), graph: graph_search.Graph | None = None, index: keyword.Index | None = None) -> DataFrame:
+    """(query_id, item_id, score, rank, graph_error) of the best chunks.
 
     chunks: chunk_id, document_id, title, text, source, retrieval_corpus, embedding.
-    graph: a ranked list (query_id, item_id, rank) from a graph search, if any.
+    index: a stored one of the chunks, in English for `fts`. In a hybrid search
+    a graph that fails is left out and its error named; any other error is the
+    caller's.
     """
-    corpus, k, sources = corpus_of(request.corpus), request.k, list(request.sources) or None
-    decision = routing.plan(request.query, list(services), k) if request.service_aware else routing.Decision(k=k)
+    base, aware = routing.strategy_of(request.strategy)
+    corpus, sources = corpus_of(request.corpus), list(request.sources)
+    decision = routing.plan(request.query, list(services), request.k) if aware or request.service_aware else routing.Decision(k=request.k)
     if decision.mode == routing.HARD_FILTER:
         sources = list(decision.services)
     queries = spark.createDataFrame([("q", request.query)], "query_id string, query string")
-    lists = []
-    if request.strategy in ("vector", "hybrid") and request.embedding is not None:
+    lists, error = [], None
+    if base in ("vector", "hybrid") and request.embedding is not None:
         asked = spark.createDataFrame([("q", list(map(float, request.embedding)))], "query_id string, query_embedding array<float>")
-        items = keyword.in_scope(chunks, sources, corpus).withColumnRenamed("chunk_id", "item_id")
+        items = keyword.in_scope(chunks, sources, corpus).select(F.col("chunk_id").alias("item_id"), "embedding")
         lists.append(vector.nearest(items, asked, decision.k).select("query_id", "item_id", "rank", "score"))
-    if request.strategy in ("keyword", "hybrid"):
-        found = keyword.search(chunks, queries, request.ranker, k=decision.k, sources=sources, corpus=corpus, match_all=request.match_all, per_document=request.per_document)
+    if base in ("keyword", "hybrid"):
+        found = keyword.search(index or chunks, queries, request.ranker, k=decision.k, sources=sources, corpus=corpus, match_all=request.match_all, per_document=request.per_document)
         lists.append(found.withColumnRenamed("chunk_id", "item_id").select("query_id", "item_id", "rank", "score"))
-    if request.strategy in ("graph", "hybrid") and graph is not None:
-        lists.append(graph.select("query_id", "item_id", "rank"))
+    if base in ("graph", "hybrid") and graph is not None:
+        try:
+            walked = graph_search.search(queries, graph, _aliases(spark, services), decision.k, sources, corpus, request.per_document)[0]
+            lists.append(walked.select("query_id", F.col("resolved_chunk_id").alias("item_id"), "rank", "score"))
+        except Exception as e:
+            if base == "graph":
+                raise
+            error = f"{type(e).__name__}: {e}"
     if not lists:
         raise ValueError(f"nothing to search by: {request.strategy}")
-    if request.strategy == "hybrid":
-        titles = chunks.select(F.col("chunk_id").alias("item_id"), "title")
-        ranked = fusion.rrf(lists, titles=titles)
-    else:
-        ranked = lists[0]
+    ranked = fusion.rrf(lists, titles=chunks.select(F.col("chunk_id").alias("item_id"), "title")) if base == "hybrid" else lists[0]
     if decision.mode == routing.BOOST:
         where = chunks.select(F.col("chunk_id").alias("item_id"), "source")
-        boosted = fusion.service_boost(ranked.join(where, "item_id"), list(decision.services), k)
-        return boosted.select("query_id", "item_id", F.col("boost_score").alias("score"), F.col("new_rank").alias("rank"))
-    return ranked.filter(F.col("rank") <= k)
+        fetched = ranked.filter(F.col("rank") <= decision.k)
+        boosted = fusion.service_boost(fetched.join(where, "item_id"), list(decision.services), request.k)
+        ranked = boosted.select("query_id", "item_id", F.col("boost_score").alias("score"), F.col("new_rank").alias("rank"))
+    return ranked.filter(F.col("rank") <= request.k).select("query_id", "item_id", "score", "rank", F.lit(error).cast("string").alias("graph_error"))
+
+
+def _aliases(spark: SparkSession, services: list[routing.Service]) -> DataFrame | None:
+    rows = sorted({(a, s.source) for s in services for a in (s.short_form, s.long_form) if a and s.source})
+    return spark.createDataFrame(rows, "alias string, source string") if rows else None
+
+
+def evaluate(spark: SparkSession, queries: list[tuple[str, SearchRequest]], strategies: list[str], run) -> DataFrame:
+    """(strategy, query_id, item_id, rank, error) of every query by every strategy, as run(request) finds it.
+
+    A search that fails with a plain error gives one row that names it.
+    """
+    rows = []
+    for name, request in queries:
+        for strategy in strategies:
+            try:
+                found = run(replace(request, strategy=strategy)).select("item_id", "rank").collect()  # at most k
+                rows += [(strategy, name, r.item_id, r.rank, "") for r in found]
+            except (RuntimeError, ValueError) as e:
+                rows.append((strategy, name, None, None, str(e)))
+    return spark.createDataFrame(rows, "strategy string, query_id string, item_id string, rank int, error string")

@@ -173,7 +173,7 @@ def markdown(files: DataFrame) -> DataFrame:
 def write_markdown(files: DataFrame, folder: str) -> None:
     """The pages of `markdown` by repository and path; one directory for each page, as Spark's writers have it."""
     pages = markdown(files).withColumn("page", F.concat_ws("/", "repository", "path"))
-    pages.select("page", F.col("text").alias("value")).write.mode("overwrite").partitionBy("page").option("lineSep", "\x00").text(folder)
+    pages.select("page", F.col("text").alias("value")).write.mode("overwrite").partitionBy("page").text(folder)
 
 
 def write_with_manifest(tables: dict[str, DataFrame], folder: str) -> None:
