@@ -156,13 +156,6 @@ def test_page_sequence():
     assert interleave.parse("") == []
 
 
-def test_unresolved_reference(spark):
-    refs = interleave.references(spark.createDataFrame([(1, '<img src="sha256:zz" alt="lost">')], "doc_id long, html string"))
-    media = spark.createDataFrame([("yy", 5)], "digest string, n_bytes long")
-    row = interleave.resolve(refs, media).first()
-    assert (row.doc_id, row.position, row.caption, row.n_bytes) == (1, 0, "lost", None)
-
-
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
