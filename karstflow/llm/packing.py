@@ -115,7 +115,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 4096, end_id: i
     over many tasks, though a third of them may be copies.
     """
     path = path or default_vocabulary()
-    pieces = written(_pieces(docs, path, window, end_id), "pieces")
+    pieces = written(_pieces(docs, path, window, end_id).withColumn("_uid", F.monotonically_increasing_id()), "pieces")
     full, rest = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window)
     # At most window - 1 rows.
     histogram = {r[0]: r[1] for r in rest.groupBy("length").count().collect()}
@@ -135,14 +135,15 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 4096, end_id: i
             yield pa.record_batch([*batch.columns[:5], *seats], [*batch.schema.names[:5], "sequence_id", "offset"])
 
     buckets = max(16, parallelism(docs.sparkSession))
-    order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
+    order = [F.col("doc_id"), F.col("start"), F.col("_uid")]
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     schema = ", ".join(f"{c} long" for c in [*names, "sequence_id", "offset"])
-    ranked = dense_rank_in_groups(rest, ["length"], order, F.struct("doc_id", "start"), "rank", buckets)
+    ranked = dense_rank_in_groups(rest, ["length"], order, F.col("_uid"), "rank", buckets)
     seated = ranked.select(*names, "rank").mapInArrow(seat, schema)
-    whole = dense_rank_in_groups(full.withColumn("_all", F.lit(0)), ["_all"], order, F.struct("doc_id", "start"), "rank", buckets)
+    whole = dense_rank_in_groups(full.withColumn("_all", F.lit(0)), ["_all"], order, F.col("_uid"), "rank", buckets)
     return seated.unionByName(whole.select(*names, (F.col("rank") + filled).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """`pack` with the contract's vocabulary, window of 4,096 and end id 2."""
     return pack(docs)

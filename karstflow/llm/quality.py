@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import settled, texts, words_of
+from karstflow.llm.common import settled, texts, words_of, written
 
 #: Words of the windows that count as repeated.
 WINDOW = 8
@@ -44,17 +44,10 @@ def mask_of(*names: str) -> int:
     return sum(1 << r.bit for r in RULES if r.name in names)
 
 
-def repeat_words(words: Column) -> Column:
-    """Words that lie in an 8-word window found twice or more in the text.
-
-    Windows are compared by a 64-bit hash chained over their words. Most texts
-    repeat no window and stop at comparing counts; for the others the windows
-    are sorted by hash, those with an equal neighbour kept, and the words they
-    cover counted once.
-    """
+def window_hashes(words: Column) -> Column:
+    """A 64-bit hash of each 8-word window of a text, in order; null where there is none."""
     n = F.size(words)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
-    return hashes
+    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW))))
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -75,9 +68,9 @@ def ledger(docs: DataFrame) -> DataFrame:
         "n_letters",
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_w")).alias("_h"),
+        window_hashes(F.col("_w")).alias("_h"),
     )
-    # Where no hash repeats, nothing is sorted.
+    # Most texts repeat no window and stop here; of the others, windows are sorted by hash, those with an equal neighbour kept, and the words they cover counted once.
     repeats = F.size("_h") > F.size(F.array_distinct("_h"))
     sorted_ = measured.withColumn("_s", F.when(repeats, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))).drop("_h")
     last = F.size("_s") - 1
@@ -137,4 +130,20 @@ def keep_clean(docs: DataFrame, version: int = max(POLICIES)) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return verdicts(ledger(docs)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_letters", "n_lines", "fail_bits", "policy")
+    """The stored ledger under the current policy: doc_id, measurements, base_failed, kept, fail_bits, policy.
+
+    The ledger is written before a policy is applied, as other policies and
+    ablations would read it. One row for each row of `docs`; null and empty
+    texts fail too_few_words; an empty table gives no rows.
+    """
+    return verdicts(written(ledger(docs), "ledger")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_letters", "n_lines", "fail_bits", "policy")
+
+
+#: The query in SQL: every rule by its definition, windows compared word by word.
+SQL = """WITH w AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') w FROM documents),
+n AS (SELECT r, doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l FROM w),
+g AS (SELECT r, unnest(range(1, len(w) - 6)) i, w FROM w WHERE len(w) >= 8), h AS (SELECT r, i, array_to_string(w[i : i + 7], ' ') g FROM g),
+c AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) k FROM h), p AS (SELECT r, count(DISTINCT pos_) n FROM (SELECT r, unnest(range(i, i + 8)) pos_ FROM c WHERE k > 1) GROUP BY r),
+m AS (SELECT doc_id, len(w) n_words, length(array_to_string(w, '')) word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) n_symbols, length(regexp_replace(t, '[^\\p{L}\\p{M}]+', '', 'g')) n_letters, len(l) n_lines, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(p.n, 0) n_repeat_words FROM n LEFT JOIN p ON p.r = n.r),
+b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN n_words > 0 AND 2 * n_symbols > n_words * 3 THEN 4 ELSE 0 END + CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 8 ELSE 0 END + CASE WHEN n_lines > 3 AND 10 * n_dup_lines > 6 * n_lines THEN 16 ELSE 0 END + CASE WHEN n_words > 0 AND 2 * n_letters < word_chars THEN 32 ELSE 0 END fail_bits FROM m)
+SELECT *, fail_bits & 3 <> 0 base_failed, fail_bits = 0 kept, 2 policy FROM b"""

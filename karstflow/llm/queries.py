@@ -28,4 +28,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL has neither XXH64 nor CRC-32 nor the places of a pattern's matches nor a tokeniser: it can state op4 alone."""
+    return {"op4_quality_rules": quality.SQL}

@@ -444,3 +444,32 @@ def test_op10_growth_and_weights(spark):
     assert all(r.w in (r.n8, 3) for r in placed)
     share = collections.Counter(r.w for r in placed)
     assert abs(share[3] / 20_000 - 2 / 9) < 0.02 and all(abs(share[s] / 20_000 - 1 / 9) < 0.02 for s in range(8) if s != 3)
+
+
+def test_op10_subtrees(spark):
+    """Rows move only into a region that gains weight, and only out of a shard that loses it."""
+    from pyspark.sql import functions as F
+
+    def at(**options):
+        return sharding.place(F.col("id"), sharding.tree(12, **options))
+
+    rows = spark.range(8000).select(at().alias("a"), at(regions={1: 2.0}).alias("b"), at(weights={5: 0.25}).alias("c"), at(weights={5: 0.0}).alias("d")).collect()
+    assert all(r.b == r.a or (r.b.region == 1 and r.a.region != 1) for r in rows) and any(r.b != r.a for r in rows)
+    assert all(r.c == r.a or r.a.shard == 5 for r in rows) and any(r.c.shard == 5 for r in rows)
+    assert all(r.d == r.a or r.a.shard == 5 for r in rows) and not any(r.d.shard == 5 for r in rows)
+    assert len({(r.c.shard) for r in rows if r.a.shard == 5}) > 5
+    with pytest.raises(ValueError, match="no shard"):
+        sharding.place(F.col("id"), sharding.tree(2, weights={0: 0.0, 1: 0.0}))
+
+
+def test_op10_many_shards(spark):
+    """A tree of 500 shards can be planned, and rows without an id are numbered gaplessly."""
+    from pyspark.sql import functions as F
+
+    got = spark.range(3000).select(sharding.place(F.col("id"), sharding.tree(500))["shard"].alias("s")).groupBy("s").count().collect()
+    assert len(got) > 480
+    docs = spark.createDataFrame([(None, "x")] * 500 + [(7, "y")] * 300, SCHEMA).repartition(4)
+    slots = collections.defaultdict(list)
+    for r in sharding.shard_rows(docs).collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
