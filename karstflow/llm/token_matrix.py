@@ -13,6 +13,7 @@ each piece, counted on from the piece's place in its document if asked for.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm.bpe import default_vocabulary, encoded_rows, tokenizer
-from karstflow.llm.common import texts
+from karstflow.llm.common import shared_dir, texts
 
 #: Ids that a task holds before it packs them; the last group of a task is smaller.
 GROUP = 4_000_000
@@ -97,19 +98,32 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 4096, end_id: i
 
         def packed() -> pa.RecordBatch:
             nonlocal made
-            rows = best_fit_decreasing([len(x[2]) // 4 for x in pieces], window)
-            out = []
-            for row in rows:
-                own = [pieces[i] for i in row]
-                ends = np.cumsum([0] + [len(x[2]) // 4 for x in own]).astype(np.int32)
-                position = np.arange(ends[-1], dtype="<u4") - np.repeat(ends[:-1], np.diff(ends)).astype("<u4")
-                if continued:
-                    position += np.repeat(np.array([x[1] for x in own], "<u4"), np.diff(ends))
-                out.append((made, b"".join(x[2] for x in own), ends.tolist(), position.tobytes(), [x[0] for x in own], [x[1] for x in own]))
-                made += 1
+            length = np.fromiter((len(x[2]) // 4 for x in pieces), np.int64, len(pieces))
+            rows = best_fit_decreasing(length.tolist(), window)
+            own = [pieces[i] for row in rows for i in row]
+            count = np.fromiter(map(len, rows), np.int64, len(rows))
+            length = length[[i for row in rows for i in row]]
+            # Bounds of pieces among all ids, and of rows among the pieces.
+            at, first = np.concatenate(([0], np.cumsum(length))), np.concatenate(([0], np.cumsum(count)))
+            begin = np.array([x[1] for x in own], np.int64)
+            positions = np.arange(at[-1]) - np.repeat(at[:-1] - (begin if continued else 0), length)
+            # A row's cumulative lengths: 0, then the end of each piece.
+            ends = np.zeros(len(own) + len(rows), np.int32)
+            ends[np.arange(len(own)) + np.repeat(np.arange(len(rows)), count) + 1] = at[1:] - np.repeat(at[first[:-1]], count)
+            numbers = np.arange(made, made + len(rows))
+            made += len(rows)
+            lists = [pa.array(first.astype(np.int32)), pa.array((first + np.arange(len(first))).astype(np.int32))]
+            cut = pa.py_buffer((4 * at[first]).astype(np.int32).tobytes())
+
+            def binary(raw: bytes) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(rows), [None, cut, pa.py_buffer(raw)])
+
+            out = [
+                pa.array(numbers), binary(b"".join(x[2] for x in own)), pa.ListArray.from_arrays(lists[1], pa.array(ends)), binary(positions.astype("<u4").tobytes()),
+                pa.ListArray.from_arrays(lists[0], pa.array([x[0] for x in own], pa.int64())), pa.ListArray.from_arrays(lists[0], pa.array(begin)),
+            ]
             pieces.clear()
-            kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds, strict=True)], ["sequence_id", "ids", "cu_seqlens", "positions", "doc_ids", "starts"])
+            return pa.record_batch(out, ["sequence_id", "ids", "cu_seqlens", "positions", "doc_ids", "starts"])
 
         for batch in batches:
             for key, ids in encoded_rows(batch, bpe):
@@ -125,9 +139,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 4096, end_id: i
     return texts(docs).mapInArrow(run, "sequence_id long, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, starts array<long>")
 
 
-def write(packed: DataFrame, path: str) -> None:
-    """Store a packed matrix, a record for each of its rows."""
+def write(packed: DataFrame, path: str) -> DataFrame:
+    """Store a packed matrix, a record for each of its rows, and read it again."""
     packed.write.parquet(path)
+    return packed.sparkSession.read.schema(packed.schema).parquet(path)
 
 
 def unpacked(packed: DataFrame) -> DataFrame:
@@ -137,8 +152,14 @@ def unpacked(packed: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The matrix's rows with digests in place of ids and positions."""
-    return pack(docs).select(
+    """The rows of the stored matrix, read back, with digests in place of ids and positions.
+
+    sequence_id, n_tokens, n_segments, doc_ids, starts, cu_seqlens, ids_sha256,
+    positions_sha256. Null and empty texts are their end id; repeated rows are
+    packed each; an empty table gives no rows.
+    """
+    stored = write(pack(docs), f"{shared_dir(docs.sparkSession)}/karstflow/matrix-{uuid.uuid4().hex}")
+    return stored.select(
         "sequence_id",
         F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"),
         F.size("doc_ids").cast("long").alias("n_segments"),
@@ -148,4 +169,3 @@ def query(docs: DataFrame) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("positions", 256).alias("positions_sha256"),
     )
-
