@@ -24,9 +24,7 @@ block, the placed words meet their block's texts again.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +35,7 @@ from pyspark.sql import functions as F
 from karstflow.llm.common import texts, written
 
 #: The token that closes each text; words are never empty.
-END = b""
-#: Distinct words a task counts before it hands them on.
-HELD = 400_000
+END = ""
 #: Bytes of text in a block; one longer text is a block of its own.
 BLOCK = 12_000_000
 #: Rows of words handed on at once.
@@ -48,9 +44,34 @@ ROWS = 20_000
 PARTS = 20_000
 
 
-def words(text: str) -> list[bytes]:
-    """The tokens of a text: its words with A-Z lower-cased, as bytes. The end is not among them."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, ids, sizes): the distinct words of texts, the words of all texts in order as places among them, and how many each text has.
+
+    Words are runs without ASCII white space, with A-Z lower-cased. No word
+    becomes a Python object here.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    sizes = pc.list_value_length(parts).to_numpy()
+    coded = parts.flatten().dictionary_encode()
+    words, ids = coded.dictionary, coded.indices.to_numpy()
+    empty = pc.index(words, END).as_py()
+    if empty >= 0:
+        real = ids != empty
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        ids = ids[real]
+    return words, ids, sizes.astype(np.int64)
+
+
+def stream(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words of texts one after the other, with -1, for an end, before the first text and after each."""
+    out = np.full(len(ids) + len(sizes) + 1, -1, np.int64)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = ids
+    return out
+
+
+def places(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each word stands among others; their number where it doesn't."""
+    return pc.fill_null(pc.index_in(words, value_set=among), len(among)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -66,41 +87,35 @@ def vocabulary(train: DataFrame) -> DataFrame:
     """(word, c): the count of every token of the training texts, the end among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.record_batch([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-            counts.clear()
-            return out
-
+        ends = 0
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words(text.as_py()))
-                counts[END] += 1
-                if len(counts) > HELD:
-                    yield flush()
-        yield flush()
+            words, ids, sizes = tokens(batch.column(0))
+            ends += len(sizes)
+            n = np.bincount(ids, minlength=len(words))
+            some = np.flatnonzero(n)
+            yield pa.record_batch([words.take(pa.array(some)), pa.array(n[some], pa.int64())], ["word", "c"])
+        yield pa.record_batch([pa.array([END] if ends else [], pa.string()), pa.array([ends] if ends else [], pa.int64())], ["word", "c"])
 
-    return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def units_of(vocab: DataFrame, share: float) -> tuple[list[bytes], np.ndarray, int, int]:
+def units_of(vocab: DataFrame, share: float) -> tuple[list[str], np.ndarray, int, int]:
     """(units, their counts, all tokens, all words): units have at least `share` of the tokens, the most frequent first."""
     total, distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = vocab.filter(F.col("c") >= share * total).orderBy(F.col("c").desc(), "word").collect()
-    return [bytes(r.word) for r in top], np.array([r.c for r in top], np.int64), total, distinct
+    return [r.word for r in top], np.array([r.c for r in top], np.int64), total, distinct
 
 
-_BLOCKS = "kind int, block long, word binary, before array<int>, after array<int>, n long, doc_id long, held_out boolean, text string"
-_KINDS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("word", pa.binary()), ("before", pa.list_(pa.int32())), ("after", pa.list_(pa.int32())), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
+_BLOCKS = "kind int, block long, word string, before array<int>, after array<int>, n long, doc_id long, held_out boolean, text string"
+_KINDS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("word", pa.string()), ("before", pa.list_(pa.int32())), ("after", pa.list_(pa.int32())), ("n", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string())])
 _WORD, _DOC, _PAIR = 0, 1, 2
 
 
 def _batch(rows: int, /, **columns) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(columns[f.name], f.type) if isinstance(columns.get(f.name), (list, np.ndarray)) else columns.get(f.name, pa.nulls(rows, f.type)) for f in _KINDS], schema=_KINDS)
+    return pa.record_batch([pa.array(columns[f.name], f.type) if isinstance(columns.get(f.name), np.ndarray) else columns.get(f.name, pa.nulls(rows, f.type)) for f in _KINDS], schema=_KINDS)
 
 
-def blocks(docs: DataFrame, units: list[bytes]) -> DataFrame:
+def blocks(docs: DataFrame, units: list[str]) -> DataFrame:
     """Documents (doc_id, text, held_out) in blocks, in rows of three kinds.
 
     _WORD: a word of the block that is no unit, with the units before and after
@@ -113,65 +128,71 @@ def blocks(docs: DataFrame, units: list[bytes]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, rest = {w: i for i, w in enumerate(units)}, len(units)
+        known, rest, end = pa.array(units, pa.string()), len(units), units.index(END)
         block = TaskContext.get().partitionId() << 32
-        flat: list[bytes] = [END]
-        held: set[bytes] = set()
+        held: list[pa.RecordBatch] = []
         codes, counts, size = [], [], 0
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            if not codes:
-                return
-            code, at = np.unique(np.concatenate(codes), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
-            codes[:], counts[:] = [code], [n]
+        def pairs() -> None:
+            if codes:
+                code, at = np.unique(np.concatenate(codes), return_inverse=True)
+                n = np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
+                codes[:], counts[:] = [code], [n]
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal block, size
-            ids = np.fromiter(map(own.get, flat, repeat(rest)), np.int32, len(flat))
-            code, n = np.unique(ids[:-1].astype(np.int64) * (rest + 1) + ids[1:], return_counts=True)
+            words, ids, sizes = tokens(pa.concat_arrays([x.column(1) for x in held]))
+            out = np.concatenate([x.column(2).to_numpy(zero_copy_only=False) for x in held]).astype(bool)
+            unit = places(words, known)
+            word = stream(ids[~np.repeat(out, sizes)], sizes[~out])
+            own = np.where(word < 0, end, unit[word])
+            code = own[:-1] * (rest + 1) + own[1:]
+            if (rest + 1) ** 2 <= 1 << 22:
+                n = np.bincount(code)
+                code = np.flatnonzero(n)
+                n = n[code]
+            else:
+                code, n = np.unique(code, return_counts=True)
             codes.append(code)
             counts.append(n)
             if sum(map(len, codes)) > 1 << 22:
                 pairs()
-            at = np.flatnonzero(ids == rest)
-            rare = [flat[i] for i in at.tolist()]
-            names = list(dict.fromkeys(rare))
-            place = dict(zip(names, range(len(names))))
-            which = np.fromiter(map(place.__getitem__, rare), np.int32, len(rare))
+            # Every word that is no unit, also of held-out texts.
+            rare = np.flatnonzero((np.bincount(ids, minlength=len(words)) > 0) & (unit == rest))
+            at = np.flatnonzero(own == rest)
+            which = np.searchsorted(rare, word[at])
             order = np.argsort(which, kind="stable")
-            names += [w for w in held if w not in place and w not in own]
-            ends = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(names))))).astype(np.int32)
-            before, after = ids[at - 1][order], ids[(at + 1) % len(ids)][order]
-            for a in range(0, len(names), ROWS):
-                some = names[a : a + ROWS]
-                cut = ends[a : a + len(some) + 1]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(rare))))).astype(np.int32)
+            before, after = (x.astype(np.int32)[order] for x in (own[at - 1], own[(at + 1) % len(own)]))
+            names = words.take(pa.array(rare))
+            for a in range(0, len(rare), ROWS):
+                n_rows = min(ROWS, len(rare) - a)
+                cut = ends[a : a + n_rows + 1]
                 lists = [pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(x[cut[0] : cut[-1]])) for x in (before, after)]
-                yield _batch(len(some), kind=pa.array(np.full(len(some), _WORD, np.int32)), block=np.full(len(some), block), word=some, before=lists[0], after=lists[1])
-            flat[:] = [END]
+                yield _batch(n_rows, kind=np.full(n_rows, _WORD), block=np.full(n_rows, block), word=names.slice(a, n_rows), before=lists[0], after=lists[1])
+            for x in held:
+                yield _batch(x.num_rows, kind=np.full(x.num_rows, _DOC), block=np.full(x.num_rows, block), doc_id=x.column(0), text=x.column(1), held_out=x.column(2))
             held.clear()
             block, size = block + 1, 0
 
         for batch in batches:
-            first, is_held = 0, batch.column(2).to_pylist()
-            for i, text in enumerate(batch.column(1)):
-                own_words = words(text := text.as_py())
-                if size and size + len(text) > BLOCK:
-                    yield _batch(i - first, kind=np.full(i - first, _DOC, np.int32), block=np.full(i - first, block), doc_id=batch.column(0)[first:i], text=batch.column(1)[first:i], held_out=batch.column(2)[first:i])
-                    first = i
+            own = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) + 64
+            first = 0
+            while first < batch.num_rows:
+                # As many rows as the block still takes; at least one in a new block.
+                room = int(np.searchsorted(np.cumsum(own[first:]), BLOCK - size, side="right"))
+                n = max(room, 0 if held else 1)
+                if n:
+                    held.append(batch.slice(first, n))
+                    size += int(own[first : first + n].sum())
+                    first += n
+                if first < batch.num_rows:
                     yield from close()
-                size += len(text) + 64
-                if is_held[i]:
-                    held.update(own_words)
-                else:
-                    flat += own_words
-                    flat.append(END)
-            n = batch.num_rows - first
-            yield _batch(n, kind=np.full(n, _DOC, np.int32), block=np.full(n, block), doc_id=batch.column(0)[first:], text=batch.column(1)[first:], held_out=batch.column(2)[first:])
-        yield from close()
+        if held:
+            yield from close()
         pairs()
         for code, n in zip(codes, counts, strict=True):
-            yield _batch(len(code), kind=np.full(len(code), _PAIR, np.int32), block=code, n=n)
+            yield _batch(len(code), kind=np.full(len(code), _PAIR), block=code, n=n)
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, _BLOCKS)
 
@@ -300,7 +321,7 @@ def transitions(n: np.ndarray) -> np.ndarray:
 class Classes:
     """The units' classes, and the rule that places every other word."""
 
-    def __init__(self, units: list[bytes], counts: np.ndarray, pairs: Pairs, classes: int):
+    def __init__(self, units: list[str], counts: np.ndarray, pairs: Pairs, classes: int):
         self.units, self.counts, self.classes = units, counts, classes
         found = exchange(pairs, classes, fixed=1)
         #: The class of each unit; after them, that of all other tokens.
@@ -343,7 +364,7 @@ def placed(rows: DataFrame, classes: Classes) -> DataFrame:
                 cls = int(classes.place(counts[:1], counts[1:])[0])
                 for a in range(0, len(block), ROWS):
                     n = len(block[a : a + ROWS])
-                    yield out(block[a : a + n], pa.array([last] * n, pa.binary()), np.full(n, c), np.full(n, cls), np.arange(a, a + n) == 0)
+                    yield out(block[a : a + n], pa.array([last] * n, pa.string()), np.full(n, c), np.full(n, cls), np.arange(a, a + n) == 0)
 
         for batch in batches:
             if not batch.num_rows:
@@ -381,7 +402,7 @@ def placed(rows: DataFrame, classes: Classes) -> DataFrame:
         yield from close()
 
     named = rows.filter(F.col("kind") == _WORD).select("word", "block", "before", "after")
-    return named.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, word binary, c long, cls int, is_first boolean")
+    return named.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, word string, c long, cls int, is_first boolean")
 
 
 def _class_counts(rows: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -407,8 +428,10 @@ def counted(rows: DataFrame, known: DataFrame, classes: Classes, unseen: int) ->
     width = classes.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {w: i for i, w in enumerate(classes.units)}
-        block, index, new, c, cls, unit_count = None, own, [], None, None, len(own)
+        units = pa.array(classes.units, pa.string())
+        end, block = classes.units.index(END), None
+        new: list[tuple] = []
+        among = c = cls = logs = None
 
         for batch in batches:
             kind, at = batch.column(1).to_numpy(), batch.column(0).to_numpy()
@@ -417,37 +440,33 @@ def counted(rows: DataFrame, known: DataFrame, classes: Classes, unseen: int) ->
                 if a == b:
                     continue
                 if at[a] != block:
-                    block, index, new, c = int(at[a]), dict(own), [], None
+                    block, new, among = int(at[a]), [], None
                 if kind[a] == _WORD:
-                    n = len(index)
-                    index.update(zip(batch.column(2)[a:b].to_pylist(), range(n, n + b - a)))
-                    new.append((batch.column(3)[a:b].to_numpy(), batch.column(4)[a:b].to_numpy()))
+                    new.append((batch.column(2).slice(a, b - a), batch.column(3).slice(a, b - a).to_numpy(), batch.column(4).slice(a, b - a).to_numpy()))
                     continue
-                if c is None:
+                if among is None:
                     # One place more, for what training texts don't have.
-                    c = np.concatenate([classes.counts, *[x for x, _ in new], [0]])
-                    cls = np.concatenate([classes.unit[:unit_count], *[x for _, x in new], [unseen]]).astype(np.int64)
+                    among = pa.concat_arrays([units, *[x for x, _, _ in new]])
+                    c = np.concatenate([classes.counts, *[x for _, x, _ in new], [0]])
+                    cls = np.concatenate([classes.unit[: len(units)], *[x for _, _, x in new], [unseen]]).astype(np.int64)
                     logs = np.log10(c + 0.1)
-                flat, ends = [END], []
-                for text in batch.column(7)[a:b]:
-                    flat += words(text.as_py())
-                    flat.append(END)
-                    ends.append(len(flat))
-                ids = np.fromiter(map(index.get, flat, repeat(len(c) - 1)), np.int64, len(flat))
-                n_tokens = np.diff(np.concatenate(([1], ends)))
+                words, ids, sizes = tokens(batch.column(7).slice(a, b - a))
+                word = stream(ids, sizes)
+                place = np.where(word < 0, end, places(words, among)[word]) if len(words) else np.full(len(word), end)
+                n_tokens = sizes + 1
                 of = np.repeat(np.arange(b - a), n_tokens)
-                known_ = np.bincount(of, c[ids[1:]] > 0, b - a).astype(np.int64)
-                own_cls = cls[ids]
+                known_ = np.bincount(of, c[place[1:]] > 0, b - a).astype(np.int64)
+                own_cls = cls[place]
                 # The end of a text stands before the next one, as an end before each text should.
                 code, times = np.unique(of * width * width + own_cls[:-1] * width + own_cls[1:], return_counts=True)
                 cut = np.searchsorted(code, np.arange(b - a + 1) * width * width).astype(np.int32)
-                yield pa.record_batch([batch.column(5)[a:b], batch.column(6)[a:b], pa.array(n_tokens, pa.int64()), pa.array(known_), pa.array(np.bincount(of, logs[ids[1:]], b - a)),
+                yield pa.record_batch([batch.column(5).slice(a, b - a), batch.column(6).slice(a, b - a), pa.array(n_tokens, pa.int64()), pa.array(known_), pa.array(np.bincount(of, logs[place[1:]], b - a)),
                     pa.ListArray.from_arrays(pa.array(cut), pa.array((code % (width * width)).astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(times.astype(np.int32)))],
                     ["doc_id", "held_out", "n_tokens", "n_known", "logs", "pairs", "times"])
 
     null = F.lit(None)
     both = known.select(place.alias("at"), F.lit(_WORD).alias("kind"), "word", "c", "cls", null.cast("long").alias("doc_id"), null.cast("boolean").alias("held_out"), null.cast("string").alias("text")).unionByName(
-        rows.filter(F.col("kind") == _DOC).select(place.alias("at"), F.lit(_DOC).alias("kind"), null.cast("binary").alias("word"), null.cast("long").alias("c"), null.cast("int").alias("cls"), "doc_id", "held_out", "text")
+        rows.filter(F.col("kind") == _DOC).select(place.alias("at"), F.lit(_DOC).alias("kind"), null.cast("string").alias("word"), null.cast("long").alias("c"), null.cast("int").alias("cls"), "doc_id", "held_out", "text")
     )
     parts = min(PARTS, tasks * each)
     return both.repartitionById(parts, (F.col("at") % parts).cast("int")).sortWithinPartitions("at", "kind").mapInArrow(run, _COUNTED)
