@@ -34,8 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='karstflow-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='karstflow-')}")
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 

@@ -96,3 +96,49 @@ def test_names(spark):
     assert one(T.table_name, "[dbo].[Orders]") == "Orders" and one(T.table_name, "schema") is None
     assert one(T.service_bucket, "src/Shop.Orders.Api/a.cs") == "src:shop.orders" and one(T.service_bucket, "x/y") == "path:x/y" and one(T.service_bucket, " ") == "unknown"
     assert one(T.query_terms, "The river of 12 rivers river") == ["river", "rivers"]
+
+
+def test_notices(spark):
+    import hashlib
+    import hmac
+
+    good = "sha256=" + hmac.new(b"k", b"x", hashlib.sha256).hexdigest()
+    assert changes.signed(b"x", "k", good) and not changes.signed(b"y", "k", good) and not changes.signed(b"x", "", good) and not changes.signed(b"x", "k", None)
+    body = lambda **x: json.dumps({"action": "closed", "repository": {"name": "r"}, "pull_request": {"number": 4, "merged": True}, **x})
+    notices = [("pull_request", body()), ("push", body()), ("pull_request", body(action="opened")), ("pull_request", body(repository={"name": "other"})), ("pull_request", body(pull_request={"number": 5, "merged": False})), ("pull_request", "{")]
+    assert rows(changes.merged_requests(spark.createDataFrame(notices, "event string, body string"), ["r"]), "repository", "number", "base") == [("r", 4, "main")]
+    entries = [("r", "new.cs", "old.cs", "renamed", 1), ("r", "gone.cs", None, "removed", 1), ("r", "a.cs", None, "modified", 1), ("r", "", None, "added", 1)]
+    got = changes.changes_of(spark.createDataFrame(entries, "repository string, filename string, previous_filename string, status string, ts int"))
+    assert rows(got, "file_path", "deleted") == [("a.cs", False), ("gone.cs", True), ("new.cs", False), ("old.cs", True)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Without a shared folder a cluster is an error, not a driver's own disk."""
+    from karstflow import session
+
+    made = []
+    context = {"master": "spark://x:7077", "getCheckpointDir": lambda self: made[0] if made else None, "setCheckpointDir": lambda self, path: made.append(path)}
+    fake = lambda **more: type("S", (), {"conf": type("K", (), {"get": lambda self, *a: None})(), "sparkContext": type("C", (), context | more)()})()
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake())
+    assert session.shared_dir(fake(master="local[2]")) == made[0]
+    assert session.written(spark.range(3), "x").count() == 3
+
+
+def test_names_of_things(spark):
+    def one(f, *x):
+        return spark.createDataFrame([x], ", ".join(f"x{i} string" for i in range(len(x)))).select(f(*[F.col(f"x{i}") for i in range(len(x))])).first()[0]
+
+    for raw, name in (
+        ("https://shop.example.org/orders/v2", "ordersapi"), ("https://api.rates.example.org/", "ratesapi"), ("https://dps-operations-api.example.org", "dpsoperationsapi"), ("http://x.okta.com/a", "oktaapi"), ("https://h.org/v1/stockApiV2/x", "stockapiv2"),
+        ("ApiUrls__PaymentsApiBaseUrl", "paymentsapi"), ("IStockApi", "stockapi"), ("internalApi", "internalapi"), ("#{BillingApi.Url}", "billingapi"), ("HttpClientHandlerApi", None), ("just words", None), ("", None), (None, None), ("api", None),
+    ):
+        assert one(T.api_name, raw) == name, raw
+    for raw, name in (("Shop.Orders.V1", "shop.orders.v1"), ("`a b.c`", "ab.c"), ("Constants.Kafka.X", None), ("12345", None), ("status", None), ("#{my-topic}", "my-topic"), ("ab", None)):
+        assert one(T.topic_name, raw) == name, raw
+    for raw, name in (("enableTea: on", "EnableTea"), ("IFeatureFlags.EnableMilk()", "EnableMilk"), ("Use-It", "use-it"), ("sdk-key", None), ("plain", None), ("A__B", None), ("two words", None)):
+        assert one(T.flag_name, raw) == name, raw
+    assert one(T.table_variants, "order_lines") == ["orderlines", "orderlin", "orderline"] and one(T.table_variants, "Categories") == ["categories", "category", "categori", "categorie"]
+    assert one(T.clean_label, "**A**  b (L3-9)") == "A b" and one(T.clean_label, "x.;") == "x" and one(T.has_phrase, "see BS-now", "bs") is True and one(T.has_phrase, "BSX", "bs") is False
+    assert one(T.without_reasoning, "a\n## Reasoning\nx\n## B\nc") == "a\n## B\nc" and one(T.cased_terms, "A b-C d") == ["A", "b-C", "d"]
+    assert one(T.summary_fault, "## Purpose\n## Key Business Logic\n## End") == "ends with a heading"
