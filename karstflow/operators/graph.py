@@ -20,6 +20,8 @@ LOCAL_PREDICATES = ("OWNS_HANDLER", "OWNS_COMMAND", "OWNS_EVENT", "OWNS_SAGA", "
 GLOBAL_PREDICATES = ("CONTAINS_PACKAGE", "TARGETS_FRAMEWORK", "CONSUMES_TOPIC", "PRODUCES_TOPIC", "CALLS_API", "EXPOSES_API")
 #: The predicates that a walk of an intent follows; an intent that isn't listed follows all.
 PREDICATES = {"TOPOLOGY": GLOBAL_PREDICATES, "LOCAL_LOGIC": LOCAL_PREDICATES}
+#: All predicates an edge may have.
+EDGE_PREDICATES = (*LOCAL_PREDICATES, *GLOBAL_PREDICATES, "OWNS_TABLE")
 KIND_PRIORITY = ("asyncapi", "configmap", "appsettings_prod", "appsettings_base", "contract", "ingress", "ast")
 
 
@@ -40,9 +42,9 @@ def canonical(triples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, edge evidence) of triples.
 
     triples: subject, subject_label, predicate, object, object_label, repo,
-    path, kind, confidence. Unknown labels and empty names go; repeats count once.
+    path, kind, confidence. Unknown labels and predicates and empty names go; repeats count once.
     """
-    good = triples.filter(F.col("subject_label").isin(*LABELS) & F.col("object_label").isin(*LABELS) & (F.trim("subject") != "") & (F.trim("object") != "") & (F.col("confidence") > 0))
+    good = triples.filter(F.col("predicate").isin(*EDGE_PREDICATES) & F.col("subject_label").isin(*LABELS) & F.col("object_label").isin(*LABELS) & (F.trim("subject") != "") & (F.trim("object") != "") & (F.col("confidence") > 0))
     keyed = good.withColumn("subject_key", node_key(F.col("subject_label"), F.col("subject"), F.col("repo"))).withColumn("object_key", node_key(F.col("object_label"), F.col("object"), F.col("repo")))
     keyed = keyed.withColumn("edge_key", edge_key(F.col("subject_key"), F.col("predicate"), F.col("object_key")))
     ends = keyed.select(F.explode(F.array(F.struct(F.col("subject_key").alias("node_key"), F.col("subject_label").alias("label"), F.col("subject").alias("name")), F.struct(F.col("object_key").alias("node_key"), F.col("object_label").alias("label"), F.col("object").alias("name")))).alias("n")).select("n.*")

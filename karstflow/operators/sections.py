@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
 
-# Section names, table headings and confidences.
+# Section names and table headings.
 CONFIGURATION, FLAGS, CONSUMED, PRODUCED, EXTERNAL, PUBLIC = "configuration", "feature flags", "topics consumed", "topics produced", "external api calls", "public api surface"
 KNOWN = (CONFIGURATION, FLAGS, CONSUMED, PRODUCED, EXTERNAL, PUBLIC)
 TABLE_HEADINGS = ("channel", "topic", "integration", "flag key")
-TOPIC, API, FLAG, EXPOSED = 0.98, 0.95, 0.90, 0.92
 
 _TICKS = "`([^`]+)`"
 
@@ -93,10 +92,10 @@ def targets(body: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(urls(body), quoted, keyed), T.clean_label), lambda x: x != ""))
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, sure) -> DataFrame:
     """The facts that summaries (repo, path, summary) state of their repository, numbered in each file.
 
-    Objects are as written; `extract` makes them canonical.
+    Objects are as written; `extract` makes them canonical. sure: its Confidences.
     """
     from karstflow.operators.extract import source_kind
 
@@ -109,12 +108,12 @@ def facts(files: DataFrame) -> DataFrame:
         return F.transform(F.when(where, found).otherwise(none), lambda x: F.struct(F.lit(predicate).alias("predicate"), x.alias("object"), F.lit(label).alias("object_label"), F.lit(confidence).alias("confidence")))
 
     every = F.concat(
-        said((section == CONSUMED) & ~configured, topics(body), "CONSUMES_TOPIC", "KAFKA_TOPIC", TOPIC),
-        said((section == PRODUCED) & ~configured, topics(body), "PRODUCES_TOPIC", "KAFKA_TOPIC", TOPIC),
-        said((section == EXTERNAL) & ~kind.isin("asyncapi", "ingress"), values(body), "CALLS_API", "API", API),
-        said((section == CONFIGURATION) & ~kind.isin("asyncapi", "ingress"), urls(body), "CALLS_API", "API", API),
-        said((section == FLAGS), values(body), "USES_FEATURE_FLAG", "FEATURE_FLAG", FLAG),
-        said((section == PUBLIC) & (kind == "ingress"), targets(body), "EXPOSES_API", "API", EXPOSED),
+        said((section == CONSUMED) & ~configured, topics(body), "CONSUMES_TOPIC", "KAFKA_TOPIC", sure.topic),
+        said((section == PRODUCED) & ~configured, topics(body), "PRODUCES_TOPIC", "KAFKA_TOPIC", sure.topic),
+        said((section == EXTERNAL) & ~kind.isin("asyncapi", "ingress"), values(body), "CALLS_API", "API", sure.api),
+        said((section == CONFIGURATION) & ~kind.isin("asyncapi", "ingress"), urls(body), "CALLS_API", "API", sure.api),
+        said((section == FLAGS), values(body), "USES_FEATURE_FLAG", "FEATURE_FLAG", sure.config_flag),
+        said((section == PUBLIC) & (kind == "ingress"), targets(body), "EXPOSES_API", "API", sure.exposed),
     )
     out = rows.filter(kind != "csproj").select("repo", "path", "kind", "at", F.posexplode(every).alias("_i", "x"))
     return out.select("repo", "path", "kind", F.col("repo").alias("subject"), F.lit("REPO").alias("subject_label"), "x.predicate", "x.object", "x.object_label", "x.confidence", (F.lit(1_000_000) + F.col("at") * 10_000 + F.col("_i")).alias("at"))

@@ -98,6 +98,11 @@ def asked(spark, d):
     return _table(spark, d, "nation").select(F.concat(F.lit("q"), n.cast("string")).alias("query_id"), query.alias("query"), F.when(n % 3 == 0, "TOPOLOGY").when(n % 3 == 1, "GENERAL").otherwise("LOCAL_LOGIC").alias("intent"))
 
 
+@registered("nodes_by_label", f"WITH {NODES} SELECT * FROM nodes WHERE \"label\" IN ('REPO', 'API')")
+def nodes_by_label(spark, d):
+    return graph.nodes_of(nodes(spark, d), ["REPO", "API"])
+
+
 # Mentions
 
 _HINTS = ", ".join(f"('{part}', '{label}')" for part, labels in sorted(G._hints().items()) for label in labels)

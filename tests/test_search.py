@@ -192,3 +192,9 @@ def test_strategies_in_turn(spark):
 
     rows = search.evaluate(spark, [("q", search.SearchRequest("x"))], ["vector", "graph"], run).collect()
     assert collections.Counter((r.strategy, r.error) for r in rows) == {("vector", ""): 2, ("graph", "no graph"): 1}
+
+
+def test_corpora():
+    assert [search.corpus_of(x) for x in ("summary", "source_code", "ALL", None, " code ")] == ["summaries", "code", "all", "summaries", "code"]
+    with pytest.raises(ValueError, match="unknown corpus"):
+        search.corpus_of("books")
