@@ -31,6 +31,8 @@ _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u2
 _SEPARATORS = re.compile("[\\x1c-\\x1f]")
 #: Entries of a cache's young half; a full one becomes the old half, so memory stays bounded and frequent words stay.
 CACHE = 500_000
+#: Positions of a pair from which a list is long and merged as arrays, and short ones in a row that end that.
+OFTEN, SHORT_ONES = 40, 20
 #: Characters of text whose new words are merged together.
 TOGETHER = 4_000_000
 
@@ -85,6 +87,7 @@ class PairIndexBPE:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges.setdefault(self.vocab[a] << 32 | self.vocab[b], (rank, self.vocab[a + b]))
+        self._pairs = np.array(sorted(self.merges), np.int64)
         letters = _byte_letters()
         #: ids of a byte inside and at the end of a word
         self._letter = np.array([self.vocab[x] for x in letters], np.int64)
@@ -118,27 +121,29 @@ class PairIndexBPE:
         places = np.flatnonzero(rank_at >= 0)
         places = places[np.argsort(rank_at[places], kind="stable")]
         ranks = rank_at[places]
-        symbols = laid.tolist()
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        n = len(laid)
         index: dict[int, list[int]] = {}
         pair_of: dict[int, tuple[int, int, int]] = {}
         cuts = np.flatnonzero(np.diff(ranks, prepend=-1, append=-1))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             rank, at = int(ranks[a]), int(places[a])
             index[rank] = places[a:b].tolist()
-            left, right = symbols[at], symbols[at + 1]
+            left, right = int(laid[at]), int(laid[at + 1])
             pair_of[rank] = (left, right, merges[left << 32 | right][1])
-        get = merges.get
         active = list(index)
         heapq.heapify(active)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self._merge_often(index, pair_of, active, laid, after, before)
+        symbols, after, before = laid.tolist(), after.tolist(), before.tolist()
+        get = merges.get
         while active:
             rank = heapq.heappop(active)
             positions = index.pop(rank, None)
             if positions is None:
                 continue
             a, b, made = pair_of[rank]
-            positions.sort()
+            if len(positions) > 1:
+                positions.sort()
             for at in positions:
                 if symbols[at] != a:
                     continue
@@ -173,6 +178,58 @@ class PairIndexBPE:
         ends = (4 * np.cumsum(done >= 0)[close]).tolist()
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
+    def _merge_often(self, index: dict[int, list[int]], pair_of: dict[int, tuple[int, int, int]], active: list[int], symbols: np.ndarray, after: np.ndarray, before: np.ndarray) -> None:
+        """Take ranks from the heap as long as some of their lists are long, all positions of one at a time.
+
+        After SHORT_ONES short lists in a row the rest is left for the caller.
+        """
+        n, short = len(symbols), 0
+        while active and short < SHORT_ONES:
+            rank = heapq.heappop(active)
+            positions = index.pop(rank, None)
+            if positions is None:
+                continue
+            short = short + 1 if len(positions) < OFTEN else 0
+            a, b, made = pair_of[rank]
+            at = np.unique(np.array(positions))
+            at = at[symbols[at] == a]
+            nxt = after[at]
+            good = symbols[nxt] == b
+            at, nxt = at[good], nxt[good]
+            if a == b and len(at):
+                # In a run of equals every other place is merged, from the left.
+                begins = np.concatenate(([True], at[1:] != nxt[:-1]))
+                place = np.arange(len(at))
+                even = (place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0
+                at, nxt = at[even], nxt[even]
+            symbols[at], symbols[nxt] = made, -2
+            nxt = after[nxt]
+            after[at] = nxt
+            inside = nxt < n
+            before[nxt[inside]] = at[inside]
+            prev = before[at]
+            prev = prev[prev >= 0]
+            # A new pair is named by its left place.
+            left = np.unique(np.concatenate([at[inside], prev]))
+            pairs = symbols[left] << 32 | symbols[after[left]]
+            left, pairs = (x[(symbols[left] >= 0) & (symbols[after[left]] >= 0)] for x in (left, pairs))
+            found = np.searchsorted(self._pairs, pairs)
+            found[found == len(self._pairs)] = 0
+            known = self._pairs[found] == pairs
+            left, found = left[known], found[known]
+            order = np.argsort(found, kind="stable")
+            left, found = left[order], found[order]
+            cuts = np.flatnonzero(np.diff(found, prepend=-1, append=-1)).tolist()
+            for x, y in zip(cuts, cuts[1:]):
+                pair = int(self._pairs[found[x]])
+                new, whole = self.merges[pair]
+                if new in index:
+                    index[new] += left[x:y].tolist()
+                else:
+                    index[new] = left[x:y].tolist()
+                    pair_of[new] = (pair >> 32, pair & 0xFFFFFFFF, whole)
+                    heapq.heappush(active, new)
+
     def _learn(self, runs: list[str]) -> None:
         """Put the ids of runs without white space into the cache.
 

@@ -43,3 +43,18 @@ def test_encode_and_decode(spark, library):  # noqa: F811
     assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, (_, t) in enumerate(ROWS)}
     back = {r.doc_id: r.text for r in bpe.decode(coded, path).collect()}
     assert back == {i: library.decode(ids, skip_special_tokens=False) for i, ids in got.items()}
+
+
+def test_lists_as_arrays(library, monkeypatch):  # noqa: F811
+    """Every list merged as an array, none of them, and the usual way give the library's ids."""
+    import random
+
+    rng = random.Random(8)
+    letters = "aaaabbcdeelnnoorsstt éüßñ漢😀'12#"
+    batch = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["a" * n for n in range(40)] + ["abab" * 9 + "a", "eeee" * 50 + " " + "ssss" * 33]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in batch]
+    for often, short in ((1, 1 << 30), (1 << 30, 1), (3, 4), (40, 20)):
+        monkeypatch.setattr(bpe, "OFTEN", often)
+        monkeypatch.setattr(bpe, "SHORT_ONES", short)
+        own = bpe.PairIndexBPE(bpe.default_vocabulary())
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(batch)] == expected
