@@ -127,7 +127,6 @@ TOPIC_NOISE = (
     "status", "result", "results", "performed", "notperformed", "orderheld", "application/json", "type", "subscribe", "commonheaders", "context", "eventid", "guid", "post", "get", "vendor", "productcode",
 )
 MEDIA_TYPES = ("application/json", "text/plain", "application/xml")
-FLAG_NOISE = ("true", "false", "development", "project", "featureflags", "launchdarkly", "nuvoair", "testvendor", "heartbeathealth")
 FLAG_NOISE_PARTS = (
     "config", "launchdarkly", "licensekey", "securityprotocol", "supportedvendors", "sectionname", "descriptor", "continueondeserializationerrors", "continueonfailure", "usepostgrespersistence",
     "authsettings", "new_relic", "aspnetcore_environment", "sasl_ssl", "automapperlicensekey", "ildclient", "ilaunchdarklyservice", "sdk-", "permit__", "productconfiguration__", "kafkaconfig.",
@@ -243,7 +242,7 @@ def flag_name(value: Column) -> Column:
 
     def named(x: Column) -> Column:
         low = F.lower(x)
-        bad = low.startswith("ifeatureflags") | F.contains(x, F.lit("__")) | ~x.rlike("^[A-Za-z0-9._-]+$") | low.isin(*FLAG_NOISE) | _any_part(low, FLAG_NOISE_PARTS)
+        bad = low.startswith("ifeatureflags") | F.contains(x, F.lit("__")) | ~x.rlike("^[A-Za-z0-9._-]+$") | _any_part(low, FLAG_NOISE_PARTS)
         return F.when(bad, F.lit(None)).when(low.rlike("^enable.+"), F.concat(F.lit("Enable"), F.substring(x, 7, 500))).when(x.rlike("[-_]"), low)
 
     raw = let(F.replace(_raw_name(value), F.lit("`"), F.lit("")), _unwrapped)
