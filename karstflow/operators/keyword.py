@@ -23,6 +23,8 @@ from karstflow.functions.stemming import lexeme
 
 #: Weights of an occurrence in the text and in the title.
 IN_TEXT, IN_TITLE = 1.0, 0.4
+#: Chunks whose postings of a bucket are one file.
+SLICE = 200_000
 #: Terms of a batch of queries up to which the postings are read for them alone.
 FEW = 2_000
 
@@ -117,7 +119,8 @@ def build(chunks: DataFrame, folder: str | None = None, in_english: bool = False
     """The index of chunks; stored in `folder` if one is given, to be opened again with `open_index`.
 
     in_english: terms become stems and stop words go. An existing folder is an
-    error: a new state of the chunks gets a new folder.
+    error: a new state of the chunks gets a new folder. A bucket has a file for
+    every SLICE chunks, so that a term of most chunks isn't one task's.
     """
     counted = _counted(chunks)
     lengths = counted.select(*_KEYS, "dl")
@@ -128,8 +131,9 @@ def build(chunks: DataFrame, folder: str | None = None, in_english: bool = False
         rows = stems
     if folder is None:
         return Index(rows, lengths, in_english)
+    slices = -(-max(1, chunks.count()) // SLICE)
     dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-    dealt.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     lengths.write.parquet(f"{folder}/lengths")
     return open_index(chunks.sparkSession, folder, in_english, buckets)
 
