@@ -7,7 +7,10 @@ documents of the term and of the entity. The posterior n(t, e) / (n(t) + 1) says
 of the term thinks of the entity, and its ratio to the entity's share of all
 documents, in bits, how much the term tells. A term beyond both thresholds is
 removed if the posterior is near certainty and else generalised, wherever it
-stands in any document; one document alone never brings a term there. DataFrame functions only.
+stands in any document; one document alone never brings a term there. It is
+generalised to its longest beginning that some other, more frequent term has
+too, so that a reader of the beginning can't think of the entity as surely; a
+term without one becomes <term>. DataFrame functions only.
 
 The patterns are those of the contract in forms that scan a text once:
 possessive where nothing after could need less, and starting only where an
@@ -86,7 +89,7 @@ def _terms(text: Column) -> Column:
 
 
 def disclosures(rows: DataFrame) -> DataFrame:
-    """(entity, term, posterior, bits) of the terms beyond the thresholds.
+    """(entity, term, n_e, posterior, bits) of the terms beyond the thresholds.
 
     Every count is over all documents, whole. Each is combined in the task that
     makes it before anything is exchanged. Pairs that can't pass are left out
@@ -100,17 +103,38 @@ def disclosures(rows: DataFrame) -> DataFrame:
     beside = rows.filter(F.size("entities") > 0).select("uid", F.explode(_terms(F.coalesce("_clear", "_text"))).alias("term"))
     beside = beside.join(term_docs.filter((F.col("n_t") > 1) & (F.log2(total / F.col("n_t")) >= BITS)), "term")
     pairs = beside.join(own.join(entities, "entity"), "uid").filter(F.col("n_e") > POSTERIOR * (F.col("n_t") + 1))
+    # What remains of a pair is its counts.
     known = pairs.groupBy("entity", "term", "n_t", "n_e").agg(F.count(F.lit(1)).alias("n_te")).filter("n_te > 1")
     posterior = F.col("n_te") / (F.col("n_t") + 1)
     bits = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
-    return known.select("entity", "term", posterior.alias("posterior"), bits.alias("bits")).filter((F.col("posterior") > POSTERIOR) & (F.col("bits") >= BITS))
+    return known.select("entity", "term", "n_e", posterior.alias("posterior"), bits.alias("bits")).filter((F.col("posterior") > POSTERIOR) & (F.col("bits") >= BITS))
 
 
-def scan(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, `keep`, the spans of each of KINDS as struct(start, end), and of terms also whether to remove.
+def _beginnings(term: Column) -> Column:
+    """The beginnings of a term, of two characters and more, without itself."""
+    return F.when(F.length(term) > 2, F.transform(F.sequence(F.lit(2), F.length(term) - 1), lambda n: F.left(term, n))).otherwise(F.array().cast("array<string>"))
 
-    A null or empty text has no spans. Rows are told apart by a number given
-    when the patterns' finds are written, so ids may be null or repeated;
+
+def general_forms(rows: DataFrame, strong: DataFrame) -> DataFrame:
+    """(term, form) of strong terms (term, n_e) that have a general form: a beginning and an ellipsis.
+
+    A beginning will do if some term that has it stands in so many documents
+    that even all of the entity's leave the posterior at the threshold or below.
+    """
+    own = strong.select("term", "n_e", F.explode(_beginnings(F.col("term"))).alias("p"))
+    vocabulary = rows.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    every = vocabulary.select("n_t", F.explode(F.concat(_beginnings(F.col("term")), F.array("term"))).alias("p"))
+    most = every.join(own.select("p").distinct(), "p", "left_semi").groupBy("p").agg(F.max("n_t").alias("most"))
+    good = own.join(most, "p").filter(F.col("n_e") <= POSTERIOR * (F.col("most") + 1))
+    return good.groupBy("term").agg(F.concat(F.max_by("p", F.length("p")), F.lit("…")).alias("form"))
+
+
+def scan(docs: DataFrame, *keep: str, forms: bool = False) -> DataFrame:
+    """doc_id, `keep`, the spans of each of KINDS as struct(start, end), and of terms also the mask: nothing where they are to be removed.
+
+    forms: whether masks are general forms where there are some; else all are
+    <term>. A null or empty text has no spans. Rows are told apart by a number
+    given when the patterns' finds are written, so ids may be null or repeated;
     repeated rows count each as a document.
     """
     first = found(docs.withColumn("_text", F.col("text")), "_text", *keep)
@@ -119,13 +143,18 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
     # The text without its entities, every other character in its place.
     first = add_union(first, [(F.col(k), "") for k in BASE], "_u").withColumn("_clear", F.when(F.size("_u") > 0, replaced(F.col("_text"), "_u", like=True))).drop("_u")
     rows = written(first.withColumn("uid", F.monotonically_increasing_id()), "entities")
-    strong = written(disclosures(rows).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("remove")), "terms")
+    strong = written(disclosures(rows).groupBy("term").agg((F.max("posterior") >= REMOVE).alias("remove"), F.max("n_e").alias("n_e")), "terms")
+    form = F.lit("<term>")
+    if forms:
+        strong = written(strong.join(general_forms(rows, strong.filter("NOT remove")), "term", "left"), "forms")
+        form = F.coalesce("form", form)
+    strong = strong.select("term", F.when(F.col("remove"), "").otherwise(form).alias("mask"))
     told = rows.select("uid", F.explode(_terms(F.coalesce("_clear", "_text"))).alias("term")).join(strong, "term")
-    marks = written(told.groupBy("uid").agg(F.collect_list(F.struct("term", "remove")).alias("told")), "marks")
+    marks = written(told.groupBy("uid").agg(F.collect_list(F.struct("term", "mask")).alias("told")), "marks")
     marked = rows.drop("entities").join(marks, "uid", "left").withColumn("told", F.map_from_entries("told")).withColumn("_text", F.coalesce("_clear", "_text")).drop("_clear")
     marked = add_spans(marked, "_text", "_t", TERM, F.col("told").isNotNull())
-    spans = F.filter(F.transform("_t", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at("told", F.lower(x["match"])).alias("remove"))), lambda x: x["remove"].isNotNull())
-    empty = F.array().cast("array<struct<start:int,end:int,remove:boolean>>")
+    spans = F.filter(F.transform("_t", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at("told", F.lower(x["match"])).alias("mask"))), lambda x: x["mask"].isNotNull())
+    empty = F.array().cast("array<struct<start:int,end:int,mask:string>>")
     return marked.withColumn("term", F.when(F.size("_t") > 0, spans).otherwise(empty)).drop("uid", "_text", "told", "_t")
 
 
@@ -146,12 +175,12 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): entities become <kind>, disclosing terms <term> or nothing.
+    """(doc_id, text): entities become <kind>, disclosing terms their general form, <term> or nothing.
 
     Spans that overlap are replaced as one, by the mask of the one that begins
     first, then of the kind listed first. A null text is an empty one.
     """
-    marked = scan(texts(docs), "text")
+    marked = scan(texts(docs), "text", forms=True)
     masks = [(F.col(k), f"<{k}>") for k in BASE]
-    masks.append((F.col("term"), lambda x: F.when(x["remove"], F.lit("")).otherwise(F.lit("<term>"))))
+    masks.append((F.col("term"), lambda x: x["mask"]))
     return add_union(marked, masks, "_spans").select("doc_id", replaced(F.col("text"), "_spans").alias("text"))

@@ -73,3 +73,14 @@ def test_op6_overlaps_and_many(spark):
     began = time.time()
     got = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "call +<card> now", 2: "<email> " * 50_000, 3: ""} and time.time() - began < 90
+
+
+def test_op6_general_forms(spark):
+    """The longest beginning that a frequent term shares; <term> without one; nothing near certainty."""
+    rows = [(i, f"met Zebedee and Quorvex by zq@clinic.example.org {'at home' if i % 2 else 'here'}") for i in range(4)]
+    rows += [(10 + i, f"a zebra and zebu {i}") for i in range(20)] + [(100 + i, "and by the way home here at a time") for i in range(300)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[0] == "<term> zeb… and <term> by <email> here" and clean[10] == rows[4][1]
+    many = [(i, f"met Zebedee by zq@clinic.example.org {i}") for i in range(12)] + [(100 + i, "and by the way") for i in range(600)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(many, "doc_id long, text string")).collect()}
+    assert clean[3] == "  by <email> 3"
