@@ -46,13 +46,18 @@ def written(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     rereads files and doesn't recompute what made them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/karstflow/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """What this application writes to in the shared folder."""
+    return f"{shared_dir(spark)}/karstflow/{spark.sparkContext.applicationId}"
+
+
 def drop_written(spark: SparkSession) -> None:
-    """Delete everything `written` has left in the shared folder; call it when no result is read any more."""
+    """Delete everything `written` has left for this application; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/karstflow")
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -122,7 +122,8 @@ def test_shared_folder(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(fake())
     assert session.shared_dir(fake(master="local[2]")) == made[0]
-    assert session.written(spark.range(3), "x").count() == 3
+    kept = session.written(spark.range(3), "x")
+    assert kept.count() == 3 and spark.sparkContext.applicationId in kept.inputFiles()[0]
 
 
 def test_names_of_things(spark):
@@ -142,3 +143,19 @@ def test_names_of_things(spark):
     assert one(T.clean_label, "**A**  b (L3-9)") == "A b" and one(T.clean_label, "x.;") == "x" and one(T.has_phrase, "see BS-now", "bs") is True and one(T.has_phrase, "BSX", "bs") is False
     assert one(T.without_reasoning, "a\n## Reasoning\nx\n## B\nc") == "a\n## B\nc" and one(T.cased_terms, "A b-C d") == ["A", "b-C", "d"]
     assert one(T.summary_fault, "## Purpose\n## Key Business Logic\n## End") == "ends with a heading"
+
+
+def test_drop_written(tmp_path):
+    """Only what the application itself has written goes."""
+    import subprocess
+    import sys
+
+    code = f"""
+from karstflow import session
+spark = session.session("drop", spark__master="local[1]", spark__ui__enabled="false", spark__checkpoint__dir="file://{tmp_path}")
+session.written(spark.range(2), "x").count()
+spark.range(1).write.parquet("file://{tmp_path}/karstflow/other/y")
+session.drop_written(spark)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=120)
+    assert [p.name for p in (tmp_path / "karstflow").iterdir()] == ["other"]
