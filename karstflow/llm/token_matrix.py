@@ -13,7 +13,6 @@ each piece, counted on from the piece's place in its document if asked for.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm.bpe import default_vocabulary, encoded_rows, tokenizer
-from karstflow.llm.common import shared_dir, texts
+from karstflow.llm.common import texts, written
 
 #: Ids that a task holds before it packs them; the last group of a task is smaller.
 GROUP = 4_000_000
@@ -158,8 +157,7 @@ def query(docs: DataFrame) -> DataFrame:
     positions_sha256. Null and empty texts are their end id; repeated rows are
     packed each; an empty table gives no rows.
     """
-    stored = write(pack(docs), f"{shared_dir(docs.sparkSession)}/karstflow/matrix-{uuid.uuid4().hex}")
-    return stored.select(
+    return written(pack(docs), "matrix").select(
         "sequence_id",
         F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"),
         F.size("doc_ids").cast("long").alias("n_segments"),
