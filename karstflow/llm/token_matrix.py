@@ -24,7 +24,7 @@ from karstflow.llm.bpe import default_vocabulary, encoded_rows, tokenizer
 from karstflow.llm.common import texts, written
 
 #: Ids that a task holds before it packs them; the last group of a task is smaller.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 
 class FreeSpace:
