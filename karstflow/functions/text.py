@@ -71,7 +71,7 @@ def summary_references(text: Column) -> Column:
 
 def summary_fault(text: Column, migrations: bool = False) -> Column:
     """Why a summary isn't complete, or null: its sections, or the overview of migrations, and an end that is no heading."""
-    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: x != "")
     wanted = ("## Schema Overview",) if migrations else ("## Purpose", "## Key Business Logic")
     missing = F.array_compact(F.array(*[F.when(~F.contains(text, F.lit(h)), F.lit(h)) for h in wanted]))
     return (

@@ -96,7 +96,7 @@ def dropped(golden: DataFrame) -> DataFrame:
 
 def frozen_queries(golden: DataFrame) -> DataFrame:
     """query_id, query_text, category, difficulty, wording_type, services of the golden queries that have qrels, by query_id."""
-    services = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("services", F.lit("")), ";"), F.trim), lambda s: s != "")))
+    services = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("services", F.lit("")), ";"), lambda x: F.trim(x)), lambda s: s != "")))
     rows = golden.join(qrels_of(golden).select("query_id").distinct(), "query_id", "left_semi").filter(F.trim(F.coalesce("query", F.lit(""))) != "")
     number = F.coalesce(F.try_to_number(F.trim(F.col("difficulty").cast("string")), F.lit("999999999")).cast("int"), F.lit(0))
     return rows.select("query_id", F.trim("query").alias("query_text"), F.coalesce("category", F.lit("")).alias("category"), number.alias("difficulty"), F.coalesce("wording_type", F.lit("")).alias("wording_type"), services.alias("services")).orderBy("query_id")
@@ -109,7 +109,7 @@ def qrels_of(golden: DataFrame) -> DataFrame:
     (line ends or `;` between two, `service::path` or a path of the only
     service). Paths are made canonical, repeats dropped.
     """
-    services = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("services", F.lit("")), ";"), F.trim), lambda s: s != "")))
+    services = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("services", F.lit("")), ";"), lambda x: F.trim(x)), lambda s: s != "")))
     rows = golden.filter(F.lower(F.trim("answerable")) == "true").select("query_id", services.alias("_s"), F.explode(F.split("gold_source_files", r"[\n;]")).alias("_f"))
     rows = rows.filter(F.trim("_f") != "")
     named = F.contains("_f", F.lit("::"))

@@ -47,7 +47,7 @@ def _heading(head: Column) -> tuple[Column, Column]:
 
 
 def _lines(body: Column) -> Column:
-    return F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _first_cells(lines: Column) -> Column:
@@ -80,7 +80,7 @@ def targets(body: Column) -> Column:
     """Public addresses that a text states: URLs, and every host with every path, or alone."""
 
     def all_of(pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), F.trim)
+        return F.transform(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda x: F.trim(x))
 
     def product(hosts: Column, paths: Column) -> Column:
         good = F.transform(F.filter(hosts, lambda h: F.contains(h, F.lit("."))), lambda h: F.rtrim(h, F.lit("/")))

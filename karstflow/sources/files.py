@@ -13,9 +13,9 @@ from karstflow.functions import text as T
 SUMMARIES = "repository string, files array<struct<file_path:string,url:string,last_modified:string,source_code:string,summary:string>>"
 
 
-def read_summaries(spark: SparkSession, folder: str, services: list[str] | None = None) -> DataFrame:
-    """One row for each file of `<folder>/*/summaries.json`; a blank repository is an error."""
-    raw = spark.read.schema(SUMMARIES).json(f"{folder}/*/summaries.json", multiLine=True)
+def read_summaries(spark: SparkSession, folder: str, services: list[str] | None = None, name: str = "summaries.json") -> DataFrame:
+    """One row for each file of `<folder>/*/<name>`; a blank repository is an error."""
+    raw = spark.read.schema(SUMMARIES).json(f"{folder}/*/{name}", multiLine=True)
     named = F.when(F.length(F.trim(F.coalesce("repository", F.lit("")))) > 0, F.trim("repository")).otherwise(F.raise_error(F.lit("a summary file without a repository")))
     rows = raw.select(named.alias("repository"), F.explode("files").alias("f")).select("repository", "f.*")
     return rows.filter(F.col("repository").isin(services)) if services else rows
@@ -46,7 +46,7 @@ def wanted_files(files: DataFrame, extensions: list[str], exclude_files: list[st
     out = F.lit(False)
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     for d in exclude_dirs:
-        hit = path.startswith(d.rstrip("/") + "/") if "/" in d.rstrip("/") else _any_folder(folders, T.glob_regex(d))
+        hit = path.startswith(d.rstrip("/*") + "/") if "/" in d else _any_folder(folders, T.glob_regex(d))
         out = out | hit
     return files.filter(keep & (inside | ~out))
 

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from karstflow.plans import catalog, graph_catalog, more_catalog  # noqa: F401
+from karstflow.plans import catalog, fact_catalog, graph_catalog, more_catalog  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
