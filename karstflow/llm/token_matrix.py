@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.llm.bpe import default_vocabulary, encoded_rows, tokenizer
-from karstflow.llm.common import texts, written
+from karstflow.llm.common import texts
 
 #: Ids that a task holds before it packs them; the last group of a task is smaller.
 GROUP = 1_000_000
@@ -151,13 +151,13 @@ def unpacked(packed: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    """The rows of the stored matrix, read back, with digests in place of ids and positions.
+    """The matrix's rows with digests in place of ids and positions; `write` would store them.
 
     sequence_id, n_tokens, n_segments, doc_ids, starts, cu_seqlens, ids_sha256,
     positions_sha256. Null and empty texts are their end id; repeated rows are
     packed each; an empty table gives no rows.
     """
-    return written(pack(docs), "matrix").select(
+    return pack(docs).select(
         "sequence_id",
         F.element_at("cu_seqlens", -1).cast("long").alias("n_tokens"),
         F.size("doc_ids").cast("long").alias("n_segments"),
