@@ -12,10 +12,14 @@ The vocabulary file is a parameter and never part of this repository.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import heapq
 import json
 import re
+import threading
 import unicodedata
 from collections.abc import Iterator
 
@@ -99,6 +103,12 @@ class PairIndexBPE:
                 if m := self.merges.get(left << 32 | right):
                     self._first_rank[a, b] = m[0]
         self._known = Halves()
+        #: Held while texts are encoded; how often texts have come.
+        self.lock, self.used = threading.Lock(), 0
+
+    def forget(self) -> None:
+        """Empty the cache."""
+        self._known = Halves()
 
     def merge(self, pretokens: list[str]) -> list[bytes]:
         """The ids of each pretoken (none of them empty)."""
@@ -258,6 +268,11 @@ class PairIndexBPE:
 
         Special tokens in a text are recognised as the library does.
         """
+        with self.lock:
+            self.used += 1
+            return self._encoded(batch)
+
+    def _encoded(self, batch: list[str]) -> list[bytes]:
         cut = [[self._runs_of(p) if k % 2 == 0 else self.special[p] for k, p in enumerate(self._cut_special.split(t))] if self._cut_special and "<|" in t else [self._runs_of(t)] for t in batch]
         self._known.age()
         seen: set[str] = set()
@@ -274,6 +289,8 @@ class PairIndexBPE:
         return b" ".join(map(self._utf8.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: Seconds without text after which a worker lets go of the words it has learned, so that other work has the memory.
+IDLE = 8.0
 _LOADED: dict[str, PairIndexBPE] = {}
 
 
@@ -284,6 +301,24 @@ def tokenizer(path: str) -> PairIndexBPE:
     return _LOADED[path]
 
 
+def _rest(bpe: PairIndexBPE) -> None:
+    """Let go of what `bpe` has learned unless it gets text within IDLE seconds."""
+    used = bpe.used = bpe.used + 1
+
+    def let_go() -> None:
+        with bpe.lock:
+            if bpe.used != used:
+                return
+            bpe.forget()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)  # gives the pages back, where the C library can
+
+    timer = threading.Timer(IDLE, let_go)
+    timer.daemon = True
+    timer.start()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -301,6 +336,7 @@ def encoded_rows(batch: pa.RecordBatch, bpe: PairIndexBPE) -> Iterator[tuple[int
             yield from zip(keys, bpe.encode_batch(held), strict=True)
             keys, held, size = [], [], 0
     yield from zip(keys, bpe.encode_batch(held), strict=True)
+    _rest(bpe)
 
 
 def encode(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:

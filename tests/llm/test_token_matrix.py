@@ -58,3 +58,17 @@ def test_lists_as_arrays(library, monkeypatch):  # noqa: F811
         monkeypatch.setattr(bpe, "SHORT_ONES", short)
         own = bpe.PairIndexBPE(bpe.default_vocabulary())
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_batch(batch)] == expected
+
+
+def test_idle_worker_forgets(monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "IDLE", 0.2)
+    own = bpe.PairIndexBPE(bpe.default_vocabulary())
+    batch = pa.record_batch([pa.array([1, 2], pa.int64()), pa.array(["some words", "some more"])], ["doc_id", "text"])
+    first = list(bpe.encoded_rows(batch, own))
+    assert own._known.young
+    time.sleep(0.6)
+    assert not own._known.young and list(bpe.encoded_rows(batch, own)) == first
