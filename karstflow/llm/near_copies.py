@@ -1,15 +1,21 @@
-"""Near copies by word shingles: an index on byte positions with a count filter, verified by exact Jaccard similarity.
+"""Near copies by SimHash fingerprints of word shingles: an index on byte positions with a count filter, verified by exact Jaccard similarity.
 
 A text is the set of its distinct five-word shingles, and texts of equal sets
 are one node. Two nodes are linked if their sets' Jaccard similarity is at
-least 0.8. Such sets differ in 13 and more of 64 SimHash bits, which may leave
-no byte equal; so the fingerprint has 120 bytes, each the low byte of a minimum
-hash of the set, of which similar sets share as many as they are similar.
-Postings are kept for 24 sets of five byte positions: a pair of similarity s
-meets with probability 1 - (1 - s^5)^24, which is 0.99992 at 0.8 and more above.
-Of fingerprints that meet, the shared positional bytes are tallied, and pairs
-with fewer than the minimum are dropped: a pair at 0.8 shares fewer than 78 of
-120 once in 60,000 times. Only the others are verified.
+least 0.8. By 64 SimHash bits such sets differ in up to 13 and more, which may
+leave no byte equal, so the fingerprint is wider: 272 bytes at 272 positions.
+A bit of sets of similarity 0.8 differs with probability 0.1515 at most (the
+angle at cosine 8/9), so they share each positional byte with 0.27 and about 73
+of all. Postings are kept for 128 disjoint pairs of positions: at 0.8 a pair
+meets in none once in 14,000 times. Sets of a few shingles differ in more bits;
+they are also listed by those of their least shingles of which a partner must
+have one.
+
+A list of two bytes has a 65,536th of unrelated fingerprints, so every posting
+carries 16 more bytes, and only members with a partner in their list that
+differs from them in few of those bits go on. Of fingerprints that then meet,
+the shared positional bytes are tallied, and pairs with fewer than the minimum
+are dropped. Only the others are verified.
 
 No list emits all of its pairs. Members are first compared with the least of
 their list; what then lies in several components is compared in blocks of
@@ -25,28 +31,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import let_workers_import, written
+from karstflow.llm.common import let_workers_import, tidy, written
 from karstflow.llm.components import components
 from karstflow.llm.simhash import shingle_hashes
 
 WORDS = 5
 #: Least similarity as a fraction: comparisons are of whole numbers.
 LEAST = (4, 5)
-BANDS, MINIMA = 24, 5
-#: Positional bytes that a linked pair shares at least.
-SHARED = 78
+#: Lists of a fingerprint, and the positions of each; after them, positions of the bytes that a posting carries.
+BANDS, WIDTH, CARRIED = 128, 2, 16
+POSITIONS = BANDS * WIDTH + CARRIED
+#: Positional bytes that a linked pair shares at least, and the bits carried in which it differs at most.
+SHARED, APART = 24, 40
+#: Sets of at most so many shingles are listed by shingles too.
+SMALL = 8
+#: Members of a list that are compared with each other before they go on; all members of longer lists do.
+SHORT = 4096
+#: Rows whose postings of one pair of positions are sorted in one task, and bytes of postings handed on at once.
+SLICE, AT_ONCE = 1 << 17, 1 << 20
 #: Members of a list on one side of a block, and their shingles.
 SIDE, SHINGLES = 512, 1 << 20
-#: Shingles whose minima are sought at once.
-_AT_ONCE = 4096
 
-_rng = np.random.default_rng(20)
-_TIMES = _rng.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _rng.integers(0, 1 << 63, BANDS * MINIMA, dtype=np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_SEEDS = np.random.default_rng(20).integers(0, 1 << 63, (POSITIONS // 8, 1), dtype=np.uint64)
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
+_BIT, _ONES = np.arange(8, dtype=np.uint64)[:, None, None], np.uint64(0x0101010101010101)
+_POSTING = np.dtype([("key", "<u2"), ("node", "<i8"), ("carried", "<u8", (CARRIED // 8,))])
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -54,41 +67,121 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(text, WORDS))
 
 
+def bits_of(own: np.ndarray) -> np.ndarray:
+    """The hashes of a set as wide as a fingerprint: words of 64 bits by their place, a column for each shingle."""
+    x = (own[None, :] ^ _SEEDS) * _MIX[0]
+    x ^= x >> _HALF
+    x *= _MIX[1]
+    x ^= x >> _HALF
+    return x
+
+
 def fingerprint(own: np.ndarray) -> bytes:
-    """The low bytes of a set's minimum hashes; empty for the empty set."""
+    """The SimHash of a set, a bit being 1 if set in over half of the hashes; empty for the empty set."""
     if not len(own):
         return b""
-    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(own), _AT_ONCE):
-        np.minimum(least, (own[at : at + _AT_ONCE, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    # Minima are small numbers; a product makes their bytes uniform.
-    return (least * _MIX >> np.uint64(32)).astype(np.uint8).tobytes()
+    counts = np.zeros((8, POSITIONS), np.int64)
+    # Eight counts stand in the bytes of a word, so 255 hashes are added at once.
+    for at in range(0, len(own), 255):
+        counts += ((bits_of(own[at : at + 255])[None] >> _BIT) & _ONES).sum(axis=2).view(np.uint8)
+    return np.packbits(2 * counts > len(own), axis=0, bitorder="little").tobytes()
+
+
+def heads(own: np.ndarray) -> bytes:
+    """The low two bytes of the shingles of a small set of which every similar set has one among its own."""
+    least, of = LEAST
+    n = len(own)
+    return own[: n + 1 + -n * least // of].astype("<u2").tobytes() if n <= SMALL else b""
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(row, node, n, bytes): of each row the number of its set, the set's size and its fingerprint."""
+    """(row, node, n, bytes, heads): of each row the number of its set, the set's size, its fingerprint and, of a small one, its heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, n, prints = [], [], []
+            node, n, prints, first = [], [], [], []
             for x in batch.column(1):
                 own = shingle_set(x.as_py())
                 node.append(xxhash.xxh64_intdigest(own.tobytes(), 7))
                 n.append(len(own))
                 prints.append(fingerprint(own))
-            yield pa.record_batch([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(prints, pa.binary())], ["row", "node", "n", "bytes"])
+                first.append(heads(own))
+            yield pa.record_batch([batch.column(0), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(prints, pa.binary()), pa.array(first, pa.binary())], ["row", "node", "n", "bytes", "heads"])
+
+    return docs.select("row", "text").mapInArrow(tidy(run), "row long, node long, n int, bytes binary, heads binary")
 
-    return docs.select("row", "text").mapInArrow(run, "row long, node long, n int, bytes binary")
 
+def _postings(rows: DataFrame, slices: int) -> DataFrame:
+    """(part, data): packed postings of the nodes of `rows`. A part is a slice, by key, of the lists of one pair of positions, or after them of those by heads."""
 
-def _lists() -> Column:
-    """A fingerprint's lists: the number of a set of positions above the bytes there."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def close() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([p for p, _ in held], pa.int32()), pa.array([x for _, x in held], pa.binary())], ["part", "data"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Of copies in a batch one is enough here; the others are found with their lists.
+            node, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            prints = _bytes(batch.column(1))[at]
+            first = [np.frombuffer(batch.column(2)[i].as_py(), "<u2") for i in at.tolist()]
+            out = np.empty(len(node), _POSTING)
+            out["node"], out["carried"] = node, np.ascontiguousarray(prints[:, BANDS * WIDTH :]).view("<u8")
+            for band in range(BANDS + 1):
+                if band < BANDS:
+                    out["key"] = np.ascontiguousarray(prints[:, band * WIDTH : (band + 1) * WIDTH]).view("<u2")[:, 0]
+                else:
+                    out = np.repeat(out, [len(x) for x in first])
+                    out["key"] = np.concatenate(first)
+                for k in range(slices):
+                    some = out[out["key"] % slices == k] if slices > 1 else out
+                    if len(some):
+                        held.append((band * slices + k, some.tobytes()))
+                        size += some.nbytes
+                if size >= AT_ONCE:
+                    yield close()
+                    held, size = [], 0
+        if held:
+            yield close()
+
+    return rows.filter("n > 0").select("node", "bytes", "heads").mapInArrow(tidy(run), "part int, data binary")
+
+
+def with_partner(key: np.ndarray, carried: np.ndarray) -> np.ndarray:
+    """Which members of lists, sorted by list, have one in theirs that differs in few of the bits carried; of a long list all."""
+    n = len(key)
+    cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [n]))
+    marked = np.repeat(np.diff(cut) > SHORT, np.diff(cut))
+    at, step = np.flatnonzero(~marked), 1
+    while True:
+        at = at[at + step < n]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            return marked
+        near = at[np.bitwise_count(carried[at] ^ carried[at + step]).sum(axis=1) <= APART]
+        marked[near] = marked[near + step] = True
+        step += 1
+
+
+def _met(slices: int):
+    """For mapInArrow over whole parts: (list, node) of the members that have a partner."""
 
-    def key(band: int) -> Column:
-        raw = F.substring("bytes", band * MINIMA + 1, MINIMA)
-        return F.lit(band << 40).bitwiseOR(F.conv(F.hex(raw), 16, 10).cast("long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held.setdefault(part, []).append(data)
+        for part in sorted(held):
+            own = np.frombuffer(b"".join(held.pop(part)), _POSTING)
+            own = own[np.lexsort((own["node"], own["key"]))]
+            own = own[np.concatenate(([True], (own["key"][1:] != own["key"][:-1]) | (own["node"][1:] != own["node"][:-1])))]
+            own = own[with_partner(own["key"], own["carried"])]
+            lists = (part // slices << 8 * WIDTH) + own["key"].astype(np.int64)
+            yield pa.record_batch([pa.array(lists), pa.array(np.ascontiguousarray(own["node"]))], ["list", "node"])
 
-    return F.array(*map(key, range(BANDS)))
+    return run
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -99,7 +192,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             sets = [shingle_set(x.as_py()).tobytes() for x in batch.column(3)]
             yield pa.record_batch([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "n", "bytes", "shingles"])
 
-    return texts.select("node", "n", "bytes", "text").mapInArrow(run, "node long, n int, bytes binary, shingles binary")
+    return texts.select("node", "n", "bytes", "text").mapInArrow(tidy(run), "node long, n int, bytes binary, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -196,8 +289,11 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _linked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the nodes that have a link; root names their component."""
     least, of = LEAST
-    every = rows.filter("n > 0").select("node", "n", F.explode(_lists()).alias("list")).distinct()
-    lists = every.groupBy("list").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).filter("size > 1")
+    slices = 1 + rows.count() // SLICE
+    dealt = _postings(rows, slices).repartitionById((BANDS + 1) * slices, "part")
+    found = written(dealt.mapInArrow(tidy(_met(slices)), "list long, node long"), "lists")
+    every = found.join(rows.join(found.select("node").distinct(), "node", "left_semi").select("node", "n").distinct(), "node")
+    lists = every.groupBy("list").agg(F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     met = written(every.join(lists, "list"), "postings")
     # One row of each node first: a text of many copies is one row in the join.
     needed = rows.groupBy("node").agg(F.min("row").alias("row")).join(met.select("node").distinct(), "node", "left_semi")
@@ -209,8 +305,8 @@ def _linked(rows: DataFrame, docs: DataFrame) -> DataFrame:
         u, v = (sets.select(F.col("node").alias(x), F.col(column).alias(f"{x}_of")) for x in "uv")
         return pairs.join(u, "u").join(v, "v").select("u", "v", "u_of", "v_of")
 
-    counted = written(beside(pairs, "bytes").mapInArrow(_counted, "u long, v long"), "pairs")
-    first = written(components(beside(counted, "shingles").mapInArrow(_verified, "u long, v long")), "components")
+    counted = written(beside(pairs, "bytes").mapInArrow(tidy(_counted), "u long, v long"), "pairs")
+    first = written(components(beside(counted, "shingles").mapInArrow(tidy(_verified), "u long, v long")), "components")
     found = first.select("node", "root")
     labelled = met.join(found, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     mixed = labelled.groupBy("list").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("list")
@@ -225,8 +321,8 @@ def _linked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     def blocks(rows: DataFrame, *columns: str) -> DataFrame:
         return rows.join(sets.select("node", *columns), "node").select(*key, "node", "label", "is_left", "n", *columns).repartition(*key).sortWithinPartitions(*key)
 
-    marked = written(blocks(dealt, "bytes").mapInArrow(_with_partners, "list long, i long, j long, node long"), "partners")
-    more = blocks(dealt.join(marked, [*key, "node"], "left_semi"), "bytes", "shingles").mapInArrow(_across, "u long, v long")
+    marked = written(blocks(dealt, "bytes").mapInArrow(tidy(_with_partners), "list long, i long, j long, node long"), "partners")
+    more = blocks(dealt.join(marked, [*key, "node"], "left_semi"), "bytes", "shingles").mapInArrow(tidy(_across), "u long, v long")
     tree = first.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     return components(tree.unionByName(more)).select("node", "root")
 

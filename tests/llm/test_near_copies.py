@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from karstflow.llm import near_copies
 from test_contracts import LOWER, words
 
@@ -51,3 +54,54 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, text()), (None, text()), (7, text()), (7, text()), (None, copied), (3, copied), (5, copied), (None, unnamed), (None, unnamed)]
     got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == sorted((rows[i][0] or 0, rows[i][1]) for i in survivors(rows)) and len(got) == 6
+
+
+def test_fingerprints_are_simhash():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 254, 255, 256, 700):
+        own = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        hashes = [int.from_bytes(x.tobytes(), "little") for x in np.ascontiguousarray(near_copies.bits_of(own).T)]
+        bits = sum(1 << k for k in range(8 * near_copies.POSITIONS) if 2 * sum(h >> k & 1 for h in hashes) > len(own))
+        assert near_copies.fingerprint(own) == bits.to_bytes(near_copies.POSITIONS, "little")
+    # Bits at random would share two bytes in 512; sets of similarity 0.8 share about 73 of 272.
+    shared = []
+    for _ in range(200):
+        x = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        a, b = (np.frombuffer(near_copies.fingerprint(np.sort(s)), np.uint8) for s in (x[:90], x[10:]))
+        shared.append(int((a == b).sum()))
+    assert 70 < np.mean(shared) < 79 and min(shared) >= near_copies.SHARED
+
+
+def _met(spark, rows, slices):
+    docs = spark.createDataFrame(rows, "row long, text string")
+    sketches = near_copies._sketches(docs).cache()
+    parts = near_copies._postings(sketches, slices).repartitionById((near_copies.BANDS + 1) * slices, "part")
+    lists = {}
+    for r in parts.mapInArrow(near_copies._met(slices), "list long, node long").collect():
+        lists.setdefault(r.list, set()).add(r.node)
+    return {r.row: r.node for r in sketches.collect()}, lists
+
+
+@pytest.mark.parametrize("short", [4096, 0])
+def test_every_similar_pair_meets(spark, monkeypatch, short):
+    """Also sets of one to eight shingles, whatever the number of slices."""
+    monkeypatch.setattr(near_copies, "SHORT", short)
+    rng = random.Random(9)
+    rows = _copies()
+    for n in range(1, 13):
+        for _ in range(5):
+            t = [f"x{rng.randrange(10**6)}" for _ in range(n)]
+            rows += [(len(rows), " ".join(t)), (len(rows) + 1, " ".join([*t, "more"]))]
+    sets = [shingled(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] != sets[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(pairs) > 60
+    nodes, lists = _met(spark, rows, 1)
+    assert all(any({nodes[i], nodes[j]} <= x for x in lists.values()) for i, j in pairs)
+    assert _met(spark, rows, 3)[1] == lists
+
+
+def test_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SLICE", 40)
+    rows = _copies()
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == survivors(rows)
