@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.common import texts, written
+from karstflow.llm.common import texts, tidy, written
 
 #: The token that closes each text; words are never empty.
 END = ""
@@ -96,7 +96,7 @@ def vocabulary(train: DataFrame) -> DataFrame:
             yield pa.record_batch([words.take(pa.array(some)), pa.array(n[some], pa.int64())], ["word", "c"])
         yield pa.record_batch([pa.array([END] if ends else [], pa.string()), pa.array([ends] if ends else [], pa.int64())], ["word", "c"])
 
-    return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return train.select("text").mapInArrow(tidy(run), "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def units_of(vocab: DataFrame, share: float) -> tuple[list[str], np.ndarray, int, int]:
@@ -165,6 +165,8 @@ def blocks(docs: DataFrame, units: list[str]) -> DataFrame:
             ends = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(rare))))).astype(np.int32)
             before, after = (x.astype(np.int32)[order] for x in (own[at - 1], own[(at + 1) % len(own)]))
             names = words.take(pa.array(rare))
+            # Only the rows to hand on stay.
+            del words, ids, unit, word, own, at, which, order
             for a in range(0, len(rare), ROWS):
                 n_rows = min(ROWS, len(rare) - a)
                 cut = ends[a : a + n_rows + 1]
@@ -194,7 +196,7 @@ def blocks(docs: DataFrame, units: list[str]) -> DataFrame:
         for code, n in zip(codes, counts, strict=True):
             yield _batch(len(code), kind=np.full(len(code), _PAIR), block=code, n=n)
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(run, _BLOCKS)
+    return docs.select("doc_id", "text", "held_out").mapInArrow(tidy(run), _BLOCKS)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -402,7 +404,7 @@ def placed(rows: DataFrame, classes: Classes) -> DataFrame:
         yield from close()
 
     named = rows.filter(F.col("kind") == _WORD).select("word", "block", "before", "after")
-    return named.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, word string, c long, cls int, is_first boolean")
+    return named.repartition("word").sortWithinPartitions("word").mapInArrow(tidy(run), "block long, word string, c long, cls int, is_first boolean")
 
 
 def _class_counts(rows: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -469,7 +471,7 @@ def counted(rows: DataFrame, known: DataFrame, classes: Classes, unseen: int) ->
         rows.filter(F.col("kind") == _DOC).select(place.alias("at"), F.lit(_DOC).alias("kind"), null.cast("string").alias("word"), null.cast("long").alias("c"), null.cast("int").alias("cls"), "doc_id", "held_out", "text")
     )
     parts = min(PARTS, tasks * each)
-    return both.repartitionById(parts, (F.col("at") % parts).cast("int")).sortWithinPartitions("at", "kind").mapInArrow(run, _COUNTED)
+    return both.repartitionById(parts, (F.col("at") % parts).cast("int")).sortWithinPartitions("at", "kind").mapInArrow(tidy(run), _COUNTED)
 
 
 def class_bigrams(docs: DataFrame, classes: int) -> np.ndarray:
@@ -483,7 +485,7 @@ def class_bigrams(docs: DataFrame, classes: int) -> np.ndarray:
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["code", "n"])
 
     out = np.zeros(classes * classes, np.int64)
-    for r in docs.filter("NOT held_out").select("pairs", "times").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
+    for r in docs.filter("NOT held_out").select("pairs", "times").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect():
         out[r.code] = r.n
     return out.reshape(classes, classes)
 
@@ -503,7 +505,7 @@ def scored(docs: DataFrame, n: np.ndarray, tokens: np.ndarray, types: np.ndarray
             yield pa.record_batch([x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], pa.array(np.full(batch.num_rows, total, np.int64)), pa.array(emitted - n_tokens * base), pa.array(emitted + own)],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def score(docs: DataFrame, share: float = 1e-4, classes: int = 32) -> DataFrame:

@@ -112,3 +112,50 @@ def test_without_training_texts(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 10 == 0)
     got = class_lm.query(spark.createDataFrame([(held, "a b"), (held, None)], SCHEMA)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens) for r in got) == [(1, 0, 0), (3, 0, 0)] and all(r.score < 0 for r in got)
+
+
+_IDLE = """
+import re, sys, types
+import numpy as np, pyarrow as pa, pyspark
+from karstflow.llm import class_lm
+
+pyspark.TaskContext = types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0))
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+class Rows:
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+def batches(n):
+    rng = np.random.default_rng(n)
+    for _ in range(3):
+        texts = [" ".join(map(str, rng.integers(0, 400_000, 400).tolist())) for _ in range(4000)]
+        yield pa.record_batch([pa.array(range(4000), pa.int64()), pa.array(texts), pa.array([False] * 4000)], ["doc_id", "text", "held_out"])
+
+run = class_lm.blocks(Rows(), [class_lm.END, "7"])
+for n in (1, 2):
+    for _ in run(batches(n)):
+        pass
+    # What the first task leaves behind is the libraries' own.
+    sys.stdout.write(f"{held()} ")
+import gc, ctypes
+gc.collect()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(held())
+"""
+
+
+def test_idle_workers_hold_little():
+    """After a task a worker holds no more than it does once all that it doesn't use is given back."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", _IDLE], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, timeout=120, check=True).stdout
+    first, second, least = map(float, out.split())
+    assert max(first, second) < least + 40, out
