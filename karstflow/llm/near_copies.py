@@ -17,8 +17,8 @@ differs from them in few of those bits go on. Of fingerprints that then meet,
 the shared positional bytes are tallied, and pairs with fewer than the minimum
 are dropped. Only the others are verified.
 
-No list emits all of its pairs. Members are first compared with the least of
-their list; what then lies in several components is compared in blocks of
+No list emits all of its pairs. Members are first compared with a few that are
+the least of a list of theirs; what then lies in several components is compared in blocks of
 bounded size, and only across components, by fingerprints alone; sets are
 fetched for members that have a partner there. The result is the same as from
 all pairs of the lists that pass the count.
@@ -52,6 +52,8 @@ SMALL = 8
 SHORT = 4096
 #: Rows whose postings of one pair of positions are sorted in one task, and bytes of postings handed on at once.
 SLICE, AT_ONCE = 1 << 17, 1 << 20
+#: Least members of its lists that a node is first compared with.
+HUBS = 4
 #: Members of a list on one side of a block, and their shingles.
 SIDE, SHINGLES = 512, 1 << 20
 
@@ -299,7 +301,9 @@ def _linked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     needed = rows.groupBy("node").agg(F.min("row").alias("row")).join(met.select("node").distinct(), "node", "left_semi")
     sets = written(_sets(docs.join(rows.join(needed.select("row"), "row", "left_semi"), "row")), "shingles")
     sized = of * F.least("n", "hub_n") >= least * F.greatest("n", "hub_n")
-    pairs = met.filter("node <> hub").filter(sized).select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
+    # The first few of a node's hubs join most groups; lists that then hold several components are compared as a whole below.
+    hubs = met.filter("node <> hub").filter(sized).groupBy("node").agg(F.slice(F.array_sort(F.collect_set("hub")), 1, HUBS).alias("hubs"))
+    pairs = hubs.select(F.col("node").alias("u"), F.explode("hubs").alias("v"))
 
     def beside(pairs: DataFrame, column: str) -> DataFrame:
         u, v = (sets.select(F.col("node").alias(x), F.col(column).alias(f"{x}_of")) for x in "uv")

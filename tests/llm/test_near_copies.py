@@ -105,3 +105,20 @@ def test_many_slices(spark, monkeypatch):
     rows = _copies()
     got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id for r in got} == survivors(rows)
+
+
+def test_few_hubs(spark, monkeypatch):
+    """A large group of near copies gives a bounded number of pairs a node."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(i, " ".join(w if k != i else "new" for k, w in enumerate(base))) for i in range(150)]
+    sizes, written = {}, near_copies.written
+
+    def counting(rows, name, *more):
+        out = written(rows, name, *more)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counting)
+    assert [r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+    assert sizes["pairs"] <= 4 * len(rows)
