@@ -37,6 +37,8 @@ _SEPARATORS = re.compile("[\\x1c-\\x1f]")
 CACHE = 500_000
 #: Positions of a pair from which a list is long and merged as arrays, and short ones in a row that end that.
 OFTEN, SHORT_ONES = 40, 20
+#: Bytes of a pretoken up to which rounds merge it.
+LONG = 48
 #: Characters of text whose new words are merged together.
 TOGETHER = 4_000_000
 
@@ -289,16 +291,98 @@ class PairIndexBPE:
         return b" ".join(map(self._utf8.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class RoundsBPE(PairIndexBPE):
+    """The same encoder for the operators that only need the ids: short pretokens are merged in rounds.
+
+    In a round every pretoken has its lowest rank merged wherever it stands,
+    all pretokens at once. A pretoken of n bytes takes less than n rounds, so
+    those over LONG bytes are left to the index, as is a file in which two
+    merges make the same symbol: there a lower rank may appear late.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        by_rank = dict(self.merges.values())
+        self._made = np.zeros(1 + max(by_rank, default=0), np.int64)
+        self._made[list(by_rank)] = list(by_rank.values())
+        self._late = len(set(by_rank.values())) < len(self.merges)
+        #: rank of each of _pairs
+        self._rank = np.array([self.merges[p][0] for p in self._pairs.tolist()], np.int64)
+
+    def merge(self, pretokens: list[str]) -> list[bytes]:
+        if self._late:
+            return super().merge(pretokens)
+        raw = [w.encode("utf-8", "surrogatepass") for w in pretokens]
+        short = [w for w in raw if len(w) <= LONG]
+        merged = iter(self._rounds(short) if short else [])
+        indexed = iter(super().merge([w for w, r in zip(pretokens, raw, strict=True) if len(r) > LONG]))
+        return [next(merged) if len(r) <= LONG else next(indexed) for r in raw]
+
+    def _rounds(self, raw: list[bytes]) -> list[bytes]:
+        none = np.int64(1 << 40)
+        words, size = np.arange(len(raw)), np.fromiter(map(len, raw), np.int64, len(raw))
+        text = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        ends = np.cumsum(size) - 1
+        symbols = self._letter[text]
+        symbols[ends] = self._last_letter[text[ends]]
+        second = text.copy()
+        second[ends] += 256
+        rank = np.full(len(text), none)
+        rank[:-1] = self._first_rank[text[:-1], second[1:]]
+        rank[rank < 0] = none
+        rank[ends] = none
+        last = np.zeros(len(text), bool)
+        last[ends] = True
+        # What is done: pretokens, how many symbols they have, and the symbols.
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(words):
+            least = np.minimum.reduceat(rank, np.cumsum(size) - size)
+            active = least < none
+            if not active.all():
+                inside = np.repeat(active, size)
+                done.append((words[~active], size[~active], symbols[~inside]))
+                words, size, least = words[active], size[active], least[active]
+                symbols, rank, last = symbols[inside], rank[inside], last[inside]
+                if not len(words):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            # In a run of equals every other place is merged, from the left.
+            begins = np.concatenate(([True], at[1:] != at[:-1] + 1))
+            if not begins.all():
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(begins, place, 0))) % 2 == 0]
+            symbols[at] = self._made[rank[at]]
+            last[at] = last[at + 1]
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            size = np.add.reduceat(keep, np.cumsum(size) - size, dtype=np.int64)
+            symbols, rank, last = symbols[keep], rank[keep], last[keep]
+            at -= np.arange(len(at))
+            rank[at] = none
+            before = at[at > 0] - 1
+            left = np.concatenate([at[~last[at]], before[~last[before]]])
+            pairs = symbols[left] << 32 | symbols[left + 1]
+            found = np.searchsorted(self._pairs, pairs)
+            found[found == len(self._pairs)] = 0
+            rank[left] = np.where(self._pairs[found] == pairs, self._rank[found], none)
+        out = [b""] * len(raw)
+        for which, count, own in done:
+            ids, stop = own.astype("<u4").tobytes(), (4 * np.cumsum(count)).tolist()
+            for w, a, b in zip(which.tolist(), [0, *stop[:-1]], stop, strict=True):
+                out[w] = ids[a:b]
+        return out
+
+
 #: Seconds without text after which a worker lets go of the words it has learned, so that other work has the memory.
 IDLE = 8.0
-_LOADED: dict[str, PairIndexBPE] = {}
+_LOADED: dict[tuple[type[PairIndexBPE], str], PairIndexBPE] = {}
 
 
-def tokenizer(path: str) -> PairIndexBPE:
-    """One a worker process and file."""
-    if path not in _LOADED:
-        _LOADED[path] = PairIndexBPE(path)
-    return _LOADED[path]
+def tokenizer(path: str, kind: type[PairIndexBPE] = PairIndexBPE) -> PairIndexBPE:
+    """One a worker process, kind and file."""
+    if (kind, path) not in _LOADED:
+        _LOADED[kind, path] = kind(path)
+    return _LOADED[kind, path]
 
 
 def _rest(bpe: PairIndexBPE) -> None:

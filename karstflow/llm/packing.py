@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.bpe import default_vocabulary, encoded_rows, tokenizer
+from karstflow.llm.bpe import RoundsBPE, default_vocabulary, encoded_rows, tokenizer
 from karstflow.llm.common import dense_rank_in_groups, parallelism, texts, written
 
 
@@ -92,7 +92,7 @@ def _pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens), one row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, tail = tokenizer(path), end_id.to_bytes(4, "little")
+        bpe, tail = tokenizer(path, RoundsBPE), end_id.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
             for key, ids in encoded_rows(batch, bpe):
