@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from karstflow.llm.bpe import default_vocabulary, encoded_rows, tokenizer
+from karstflow.llm.bpe import RoundsBPE, default_vocabulary, encoded_rows, tokenizer
 from karstflow.llm.common import texts
 
 #: Ids that a task holds before it packs them; the last group of a task is smaller.
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = 4096, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, tail = tokenizer(path), b"" if end_id is None else end_id.to_bytes(4, "little")
+        bpe, tail = tokenizer(path, RoundsBPE), b"" if end_id is None else end_id.to_bytes(4, "little")
         made = TaskContext.get().partitionId() << 32
         pieces: list[tuple[int | None, int, bytes]] = []
         held = 0

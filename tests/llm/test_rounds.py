@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 
-from karstflow.llm import bpe, packing
+from karstflow.llm import bpe, packing, token_matrix
 from test_contracts import ROWS, library  # noqa: F401  a fixture
 
 ODD = ["a" * 47, "a" * 48, "a" * 49, "ab" * 24 + "c", "é" * 24, "é" * 25, "'s'LL", "日本語日本語", "x<|endoftext|>y", "a\x1cb ΑΣ Σ", "😀😀😀 \U0010ffff", "1234 --- ...!!", "z"]
@@ -50,4 +50,4 @@ def test_less_work():
 
 
 def test_operators_use_it():
-    assert packing.RoundsBPE is bpe.RoundsBPE
+    assert packing.RoundsBPE is token_matrix.RoundsBPE is bpe.RoundsBPE
