@@ -12,8 +12,6 @@ The vocabulary file is a parameter and never part of this repository.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import hashlib
 import heapq
@@ -28,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from karstflow.llm.common import texts
+from karstflow.llm.common import give_back, texts
 
 #: Space as the file's normaliser sees it: str.split() also takes U+001C to U+001F.
 _SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -373,30 +371,34 @@ class RoundsBPE(PairIndexBPE):
         return out
 
 
-#: Seconds without text after which a worker lets go of the words it has learned, so that other work has the memory.
+#: Seconds without text after which a worker lets go of its vocabulary and the words it has learned, so that other work has the memory.
 IDLE = 8.0
 _LOADED: dict[tuple[type[PairIndexBPE], str], PairIndexBPE] = {}
 
 
 def tokenizer(path: str, kind: type[PairIndexBPE] = PairIndexBPE) -> PairIndexBPE:
     """One a worker process, kind and file."""
-    if (kind, path) not in _LOADED:
-        _LOADED[kind, path] = kind(path)
-    return _LOADED[kind, path]
+    own = _LOADED.get((kind, path))
+    if own is None:
+        own = _LOADED[kind, path] = kind(path)
+    return own
 
 
 def _rest(bpe: PairIndexBPE) -> None:
-    """Let go of what `bpe` has learned unless it gets text within IDLE seconds."""
+    """Let go of `bpe` and what it has learned unless it gets text within IDLE seconds."""
     used = bpe.used = bpe.used + 1
 
     def let_go() -> None:
+        nonlocal bpe
         with bpe.lock:
             if bpe.used != used:
                 return
             bpe.forget()
+            for key in [k for k, x in list(_LOADED.items()) if x is bpe]:
+                _LOADED.pop(key, None)
+        bpe = None
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)  # gives the pages back, where the C library can
+        give_back()
 
     timer = threading.Timer(IDLE, let_go)
     timer.daemon = True

@@ -190,11 +190,13 @@ def _level(part: Column, encoding: str) -> Column:
     return _let(part if encoding == "base64" else F.lower(part), lambda t: _let(F.struct(t.alias("text"), _evidence(t, encoding).alias("log")), judged))
 
 
-def found(docs: DataFrame, *keep: str) -> DataFrame:
+def found(docs: DataFrame, *keep: str, rest: bool = False) -> DataFrame:
     """doc_id, the base spans by kind and the candidates with band and level.
 
-    Candidates are sought in what the base spans leave.
+    Candidates are sought in what the base spans leave. rest: that too, as
+    `text`, with spaces in place of the spans.
     """
+    left = ["text"] * rest
     t = docs.select("doc_id", "text", *keep)
     t = add_spans(t, "text", "assign", ASSIGN, F.col("text").rlike("[:=]"))
     # The pattern's own second group, for its length.
@@ -217,9 +219,9 @@ def found(docs: DataFrame, *keep: str) -> DataFrame:
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), part.alias("part"), encoding_of(part).alias("encoding"))
 
     plain = [F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in BASE]
-    t = settled(t.select("doc_id", *keep, *plain, F.when(F.size("_c") > 0, F.filter(F.transform("_c", with_part), lambda x: x["encoding"].isNotNull())).alias("_c")))
+    t = settled(t.select("doc_id", *left, *keep, *plain, F.when(F.size("_c") > 0, F.filter(F.transform("_c", with_part), lambda x: x["encoding"].isNotNull())).alias("_c")))
     none = F.array().cast("array<struct<start:int,end:int,band:string,level:int>>")
-    return t.select("doc_id", *keep, *BASE, F.when(F.size("_c") > 0, F.transform("_c", lambda x: judged(x, x["part"], x["encoding"]))).otherwise(none).alias("candidates"))
+    return t.select("doc_id", *left, *keep, *BASE, F.when(F.size("_c") > 0, F.transform("_c", lambda x: judged(x, x["part"], x["encoding"]))).otherwise(none).alias("candidates"))
 
 
 def thresholds(rows: DataFrame) -> dict[str, int]:
@@ -243,14 +245,14 @@ def thresholds(rows: DataFrame) -> dict[str, int]:
     return out
 
 
-def scan(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, `keep`, and an array of struct(start, end) for each of KINDS.
+def scan(docs: DataFrame, *keep: str, rest: bool = False) -> DataFrame:
+    """doc_id, `keep`, and an array of struct(start, end) for each of KINDS; rest: as for `found`.
 
     A null or empty text has no spans. Repeated rows count each in the bands.
     The patterns' work on a text is written to the shared folder once, so that
     the second look at the candidates reads no text.
     """
-    rows = written(found(docs, *keep), "secrets")
+    rows = written(found(docs, *keep, rest=rest), "secrets")
     limits = thresholds(rows)
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]) if limits else F.lit(None).cast("map<string,int>")
     secret = F.transform(F.filter("candidates", lambda x: x["level"] >= F.element_at(limit, x["band"])), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
@@ -279,7 +281,9 @@ def redact(docs: DataFrame, mask: str = "<secret>") -> DataFrame:
     A null text stays null. Spans that overlap are replaced as one.
     """
     names = docs.columns
-    boxed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    clean = add_union(scan(boxed).select("doc_id", *KINDS), [(F.col(k), mask) for k in KINDS], "_spans")
-    clean = clean.select("doc_id", F.when(F.col("doc_id.text").isNotNull(), replaced(F.col("doc_id.text"), "_spans")).alias("_text"))
-    return clean.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc_id.`{c}`").alias(c) for c in names])
+    others = [F.col(f"`{c}`") for c in names if c != "text"]
+    # A row has its text once: what lies outside all spans is the same in what the base spans leave.
+    boxed = docs.select(F.struct(F.col("text").isNull().alias("none"), *[F.struct(*others).alias("all")] * bool(others)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    clean = add_union(scan(boxed, rest=True).select("doc_id", "text", *KINDS), [(F.col(k), mask) for k in KINDS], "_spans")
+    clean = clean.select("doc_id", F.when(~F.col("doc_id.none"), replaced(F.col("text"), "_spans")).alias("_text"))
+    return clean.select(*[F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc_id.all.`{c}`").alias(c) for c in names])
