@@ -19,9 +19,12 @@ are dropped. Only the others are verified.
 
 No list emits all of its pairs. Members are first compared with a few that are
 the least of a list of theirs; what then lies in several components is compared in blocks of
-bounded size, and only across components, by fingerprints alone; sets are
-fetched for members that have a partner there. The result is the same as from
-all pairs of the lists that pass the count.
+bounded size, and only across components, by fingerprints and slots, which
+bound what two sets share from above. A pair is compared in the first of its
+lists only. Sets are fetched for members that have a partner there, so what a
+dense group of texts that are not quite similar hands on doesn't grow with the
+number of its lists. The result is the same as from all pairs of the lists that
+pass the count.
 """
 
 from __future__ import annotations
@@ -54,6 +57,8 @@ SHORT = 4096
 SLICE, AT_ONCE = 1 << 17, 1 << 20
 #: Least members of its lists that a node is first compared with.
 HUBS = 4
+#: Bits of a set's slots, of which its shingles fill one each.
+SLOTS = 4096
 #: Members of a list on one side of a block, and their shingles.
 SIDE, SHINGLES = 512, 1 << 20
 
@@ -186,15 +191,26 @@ def _met(slices: int):
     return run
 
 
+def slots(own: np.ndarray) -> bytes:
+    """Which slots the shingles of a set fill.
+
+    Two sets share at most as many shingles as they share slots, and beyond
+    those as many as the one with fewer has more shingles than slots.
+    """
+    filled = np.zeros(SLOTS, bool)
+    filled[own % SLOTS] = True
+    return np.packbits(filled).tobytes()
+
+
 def _sets(texts: DataFrame) -> DataFrame:
-    """(node, n, bytes, shingles) of (node, n, bytes, text)."""
+    """(node, n, bytes, slots, shingles) of (node, n, bytes, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py()).tobytes() for x in batch.column(3)]
-            yield pa.record_batch([*batch.columns[:3], pa.array(sets, pa.binary())], ["node", "n", "bytes", "shingles"])
+            sets = [shingle_set(x.as_py()) for x in batch.column(3)]
+            yield pa.record_batch([*batch.columns[:3], pa.array([slots(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "bytes", "slots", "shingles"])
 
-    return texts.select("node", "n", "bytes", "text").mapInArrow(tidy(run), "node long, n int, bytes binary, shingles binary")
+    return texts.select("node", "n", "bytes", "text").mapInArrow(tidy(run), "node long, n int, bytes binary, slots binary, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -245,46 +261,60 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[pa.
         yield key, held
 
 
-def _sides(held: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
-    """(node, label, left, n, fingerprints, places of the right side) of a block's columns list, i, j, node, label, is_left, n, bytes."""
-    node, label, left, n = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in range(3, 7))
-    right = np.flatnonzero(~left) if not left.all() else np.arange(len(node))
-    return node, label, left, n, np.concatenate([_bytes(x.column(7)) for x in held]), right
-
-
-def _partners(i: int, label: np.ndarray, n: np.ndarray, prints: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Places on the right of other components that `i` shares enough bytes with."""
-    least, of = LEAST
-    # No two sets whose sizes differ by more can be that similar.
-    others = right[(label[right] != label[i]) & (of * np.minimum(n[right], n[i]) >= least * np.maximum(n[right], n[i]))]
-    return others[(prints[others] == prints[i]).sum(axis=1) >= SHARED]
+class _Sides:
+    """A block's columns list, i, j, node, label, is_left, n, bytes, slots; `right` has the places of its right side."""
+
+    def __init__(self, band: int, held: list[pa.RecordBatch]):
+        self.band = band
+        self.node, self.label, self.left, self.n = (np.concatenate([x.column(i).to_numpy(zero_copy_only=False) for x in held]) for i in range(3, 7))
+        self.right = np.flatnonzero(~self.left) if not self.left.all() else np.arange(len(self.node))
+        self.prints = np.concatenate([_bytes(x.column(7)) for x in held])
+        self.slots = np.concatenate([_bytes(x.column(8)) for x in held]).view(np.uint64)
+        self.over = self.n - np.bitwise_count(self.slots).sum(axis=1, dtype=np.int64)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Places on the right of other components that `i` shares enough bytes with, and may share enough shingles, if no list before this one has the pair."""
+        least, of = LEAST
+        n, right = self.n, self.right
+        # No two sets whose sizes differ by more can be that similar.
+        others = right[(self.label[right] != self.label[i]) & (of * np.minimum(n[right], n[i]) >= least * np.maximum(n[right], n[i]))]
+        most = np.bitwise_count(self.slots[others] & self.slots[i]).sum(axis=1, dtype=np.int64) + np.minimum(self.over[others], self.over[i])
+        others = others[(of + least) * most >= least * (n[others] + n[i])]
+        if not len(others):
+            return others
+        same = self.prints[others] == self.prints[i]
+        listed = same[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH).all(axis=2)[:, : self.band].any(axis=1)
+        # Both are members of each list that has them if they differ in few of the bits carried; others may be missing in some.
+        kept = np.bitwise_count(self.prints[others, BANDS * WIDTH :] ^ self.prints[i, BANDS * WIDTH :]).sum(axis=1, dtype=np.int64) <= APART
+        return others[(same.sum(axis=1) >= SHARED) & ~(listed & kept)]
 
 
 def _with_partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list, i, j, node) of the members that have a partner in their block."""
+    """(list, i, j, node, label, is_left, n) of the members that have a partner in their block."""
     for key, held in _blocks(batches):
-        node, label, left, n, prints, right = _sides(held)
-        marked = np.zeros(len(node), bool)
-        for i in np.flatnonzero(left).tolist():
-            others = _partners(i, label, n, prints, right)
+        block = _Sides(key[0] >> 8 * WIDTH, held)
+        marked = np.zeros(len(block.node), bool)
+        for i in np.flatnonzero(block.left).tolist():
+            others = block.partners(i)
             if len(others):
                 marked[i] = True
                 marked[others] = True
-        some = node[marked]
-        yield pa.record_batch([*[pa.array(np.full(len(some), k, np.int64)) for k in key], pa.array(some)], ["list", "i", "j", "node"])
+        if marked.any():
+            some = [pa.array(x[marked]) for x in (block.node, block.label, block.left, block.n)]
+            yield pa.record_batch([*[pa.array(np.full(len(some[0]), k, np.int64)) for k in key], *some], ["list", "i", "j", "node", "label", "is_left", "n"])
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links across components of blocks that arrive sorted: a forest of each."""
-    for _, held in _blocks(batches):
-        node, label, left, n, prints, right = _sides(held)
-        sets = [_set(s) for x in held for s in x.column(8)]
+    for key, held in _blocks(batches):
+        block = _Sides(key[0] >> 8 * WIDTH, held)
+        sets = [_set(s) for x in held for s in x.column(9)]
         links = []
-        for i in np.flatnonzero(left).tolist():
-            for k in _partners(i, label, n, prints, right).tolist():
-                if label[k] != label[i] and similar(sets[i], sets[k]):
-                    label = np.where(label == label[k], label[i], label)
-                    links.append((node[i], node[k]))
+        for i in np.flatnonzero(block.left).tolist():
+            for k in block.partners(i).tolist():
+                if block.label[k] != block.label[i] and similar(sets[i], sets[k]):
+                    block.label = np.where(block.label == block.label[k], block.label[i], block.label)
+                    links.append((block.node[i], block.node[k]))
         yield pa.record_batch([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
 
 
@@ -325,8 +355,8 @@ def _linked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     def blocks(rows: DataFrame, *columns: str) -> DataFrame:
         return rows.join(sets.select("node", *columns), "node").select(*key, "node", "label", "is_left", "n", *columns).repartition(*key).sortWithinPartitions(*key)
 
-    marked = written(blocks(dealt, "bytes").mapInArrow(tidy(_with_partners), "list long, i long, j long, node long"), "partners")
-    more = blocks(dealt.join(marked, [*key, "node"], "left_semi"), "bytes", "shingles").mapInArrow(tidy(_across), "u long, v long")
+    marked = written(blocks(dealt, "bytes", "slots").mapInArrow(tidy(_with_partners), "list long, i long, j long, node long, label long, is_left boolean, n int"), "partners")
+    more = blocks(marked, "bytes", "slots", "shingles").mapInArrow(tidy(_across), "u long, v long")
     tree = first.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     return components(tree.unionByName(more)).select("node", "root")
 

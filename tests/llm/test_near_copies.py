@@ -122,3 +122,62 @@ def test_few_hubs(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "written", counting)
     assert [r.doc_id for r in near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
     assert sizes["pairs"] <= 4 * len(rows)
+
+
+def test_dense_group(spark, monkeypatch):
+    """Texts that share much, but few of which are similar enough: a node isn't handed on with each of its lists."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        t = list(base)
+        for k in rng.sample(range(30), rng.randint(4, 5)):
+            t[5 * k] = f"new{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    sizes, written = {}, near_copies.written
+
+    def counting(rows, name, *more):
+        out = written(rows, name, *more)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_copies, "written", counting)
+    got = near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == survivors(rows) and len(got) > 60
+    assert sizes["postings"] > 20 * len(rows) and sizes["partners"] <= 4 * len(rows)
+
+
+def _block(prints, own, band):
+    sides = near_copies._Sides.__new__(near_copies._Sides)
+    n = len(own)
+    sides.band, sides.node, sides.label, sides.right = band, np.arange(n), np.arange(n), np.arange(n)
+    sides.n = np.array([len(x) for x in own])
+    sides.prints = prints
+    sides.slots = np.stack([np.frombuffer(near_copies.slots(x), np.uint64) for x in own])
+    sides.over = sides.n - np.bitwise_count(sides.slots).sum(axis=1, dtype=np.int64)
+    return sides
+
+
+@pytest.mark.parametrize("size", [3, 100, 3000, 20000])
+def test_slots_lose_no_pair(size):
+    """Also of sets with more shingles than there are slots."""
+    rng = np.random.default_rng(size)
+    pool = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+    own = [np.unique(pool[rng.integers(0, size // 4 + 1) :][:size]) for _ in range(12)]
+    prints = np.zeros((len(own), near_copies.POSITIONS), np.uint8)
+    sides = _block(prints, own, 0)
+    for i, a in enumerate(own):
+        assert {k for k, b in enumerate(own) if k != i and near_copies.similar(a, b)} <= set(sides.partners(i).tolist())
+
+
+def test_a_pair_is_compared_in_its_first_list():
+    rng = np.random.default_rng(2)
+    own = [np.arange(50, dtype=np.uint64)] * 2
+    prints = rng.integers(0, 256, (2, near_copies.POSITIONS)).astype(np.uint8)
+    prints[1, : near_copies.BANDS] = prints[0, : near_copies.BANDS]
+    prints[1, :8] ^= 1
+    prints[1, -near_copies.CARRIED :] = prints[0, -near_copies.CARRIED :]
+    assert [b for b in range(near_copies.BANDS + 1) if len(_block(prints, own, b).partners(0))] == [0, 1, 2, 3, 4]
+    # Far apart in the bits carried, they may be missing in the first: all lists count.
+    prints[1, -near_copies.CARRIED :] ^= 255
+    assert all(len(_block(prints, own, b).partners(0)) for b in range(near_copies.BANDS + 1))
