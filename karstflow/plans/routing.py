@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
+from karstflow.operators import phrases
 from karstflow.operators.fusion import overfetch
+from karstflow.session import written
 
 # Wording that asks for all services, and what may stand before `services` in it.
 ALL_SERVICES = ("all services", "across services")
@@ -133,33 +135,67 @@ def strategy_of(name: str) -> tuple[str, bool]:
     return base.removesuffix("-service-aware"), base.endswith("-service-aware")
 
 
-# The same for tables: queries (query_id, query), services (source, short_form, long_form), kept by hand and small.
+# The same for tables: queries (query_id, query), services (source, short_form, long_form). Names are found by equality
+# (`phrases`), and what a set of names adds to a query is put together once for all queries that name it.
 
+#: Parts that the queries of a set of names are dealt to when they meet what it adds, so that a name of many queries isn't one task's.
+PARTS = 64
 
-def _stands(phrase: Column, text: Column) -> Column:
-    key = T.token_key(phrase)
-    return (key != "") & (T.has_phrase(T.token_key(text), key) | T.has_phrase(F.lower(text), F.lower(phrase)))
+
+def _expansions(queries: DataFrame, services: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((query_id, query, _set) with the set of forms that a query names, or null; (_set, _m) with what that adds)."""
+    forms = services.select("source", F.explode(F.array(F.struct(F.col("short_form").alias("own"), F.col("long_form").alias("other")), F.struct(F.col("long_form").alias("own"), F.col("short_form").alias("other")))).alias("f")).select("source", "f.*").filter("own <> ''").distinct()
+    rows = queries.select("query_id", "query")
+    hit = phrases.named(_texts(rows), forms.select(F.col("own").alias("phrase")))
+    of = written(hit.groupBy(F.col("id").alias("query_id")).agg(F.sort_array(F.collect_set("phrase")).alias("_own")).withColumn("_set", F.to_json("_own")), "forms")
+    named = of.select("_set", "_own").distinct().select("_set", F.explode("_own").alias("own")).join(forms, "own")
+    more = named.select("_set", F.explode(F.array("other", "source")).alias("x")).filter("x <> ''").groupBy("_set").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("_m"))
+    return rows.join(of.select("query_id", "_set"), "query_id", "left"), more
+
+
+def _texts(queries: DataFrame) -> DataFrame:
+    return queries.select(F.col("query_id").alias("id"), F.col("query").alias("text"))
+
+
+def _dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with `_set` beside the columns of their set, if it has any."""
+    parts = rows.withColumn("_p", F.pmod(F.xxhash64("query_id"), F.lit(PARTS)).cast("int")).repartition(PARTS, "_set", "_p")
+    return parts.join(sets.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["_set", "_p"], "left").drop("_p")
 
 
 def expand_all(queries: DataFrame, services: DataFrame) -> DataFrame:
     """`expand` for a table of queries."""
-    forms = services.select("source", F.explode(F.array(F.struct(F.col("short_form").alias("own"), F.col("long_form").alias("other")), F.struct(F.col("long_form").alias("own"), F.col("short_form").alias("other")))).alias("f")).select("source", "f.*").filter("own <> ''").distinct()
-    hit = queries.join(forms, _stands(F.col("own"), F.col("query"))).select("query_id", F.explode(F.array("other", "source")).alias("x")).filter("x <> ''")
-    more = hit.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("x")), " ").alias("_m"))
-    return queries.select("query_id", "query").join(more, "query_id", "left").select("query_id", F.concat_ws(" ", "query", "_m").alias("query"))
+    rows, more = _expansions(queries, services)
+    return _dealt(rows, more).select("query_id", F.concat_ws(" ", "query", "_m").alias("query"))
 
 
-def match_all(queries: DataFrame, services: DataFrame) -> DataFrame:
-    """(query_id, services, ambiguous, alias): `matches` for a table of queries; alias is the only service's."""
+def _aliases(services: DataFrame) -> DataFrame:
+    """(alias, _n, source): how many services have an alias, and one of them."""
     keys = services.filter("source <> ''").select(F.explode(F.array("source", "short_form", "long_form")).alias("_a"), "source").select(T.token_key(F.col("_a")).alias("alias"), "source").filter("alias <> ''").distinct()
-    keys = keys.groupBy("alias").agg(F.count(F.lit(1)).alias("_n"), F.min("source").alias("source"))
-    hit = queries.join(keys, _stands(F.col("alias"), F.col("query")))
-    own = hit.filter("_n = 1").groupBy("query_id", "source").agg(F.max_by("alias", F.struct(F.length("alias"), F.col("alias"))).alias("alias"))
-    sure = own.groupBy("query_id").agg(F.sort_array(F.collect_set("source")).alias("services"), F.min("alias").alias("alias"))
-    shared = hit.filter("_n > 1").groupBy("query_id").agg(F.sort_array(F.collect_set("alias")).alias("ambiguous"))
+    return keys.groupBy("alias").agg(F.count(F.lit(1)).alias("_n"), F.min("source").alias("source"))
+
+
+def _hits(found: DataFrame, keys: DataFrame) -> DataFrame:
+    """(id, services, ambiguous, alias) of found phrases (id, phrase) that are aliases; alias is the longest of the only service."""
+    hit = found.withColumnRenamed("phrase", "alias").join(keys, "alias")
+    own = hit.filter("_n = 1").groupBy("id", "source").agg(F.max(F.struct(F.length("alias").alias("n"), "alias")).alias("_b"))
+    sure = own.groupBy("id").agg(F.sort_array(F.collect_list("source")).alias("services"), F.max("_b").alias("_b"))
+    shared = hit.filter("_n > 1").groupBy("id").agg(F.sort_array(F.collect_list("alias")).alias("ambiguous"))
+    none = F.array().cast("array<string>")
+    return sure.join(shared, "id", "full_outer").select("id", F.coalesce("services", none).alias("services"), F.coalesce("ambiguous", none).alias("ambiguous"), "_b")
+
+
+def _beside(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """Rows with query_id beside their hits, empty where there are none."""
     none = F.array().cast("array<string>")
-    both = queries.select("query_id").join(sure, "query_id", "left").join(shared, "query_id", "left")
-    return both.select("query_id", F.coalesce("services", none).alias("services"), F.coalesce("ambiguous", none).alias("ambiguous"), "alias")
+    return rows.join(hits.withColumnRenamed("id", "query_id"), "query_id", "left").withColumns({c: F.coalesce(c, none) for c in ("services", "ambiguous")})
+
+
+def match_all(queries: DataFrame, services: DataFrame) -> DataFrame:
+    """(query_id, services, ambiguous, alias): `matches` for a table of queries; alias is the only service's."""
+    keys = written(_aliases(services), "aliases")
+    found = phrases.named(_texts(queries), keys.select(F.col("alias").alias("phrase")))
+    return _beside(queries.select("query_id"), written(_hits(found, keys), "hits")).select("query_id", "services", "ambiguous", F.col("_b.alias").alias("alias"))
 
 
 def _tied(query: Column, alias: Column) -> Column:
@@ -169,16 +205,45 @@ def _tied(query: Column, alias: Column) -> Column:
 
 
 def plan_all(queries: DataFrame, services: DataFrame) -> DataFrame:
-    """(query_id, mode, services, ambiguous): `plan` for a table of queries."""
-    rows = queries.select("query_id", "query")
-    first, wide = match_all(rows, services), match_all(expand_all(rows, services), services)
-    both = rows.join(first, "query_id").join(wide.select("query_id", *[F.col(c).alias(f"_{c}") for c in ("services", "ambiguous", "alias")]), "query_id")
-    one = (F.size("services") == 1) & (F.size("ambiguous") == 0) & _tied(F.col("query"), F.col("alias"))
-    kept = both.withColumn("_one", one).select("query_id", "query", *[F.when(F.col("_one"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in ("services", "ambiguous", "alias")])
+    """(query_id, mode, services, ambiguous): `plan` for a table of queries.
+
+    No expanded query is searched whole. What a set of names adds is searched
+    once, and each query with the head of what it gets: an alias has letters or
+    digits at both ends, so one that begins in the query ends there or within
+    as many characters after it as the longest alias has.
+    """
+    rows, more = _expansions(queries, services)
+    keys, more = written(_aliases(services), "aliases"), written(more, "expansions")
+    known = keys.select(F.col("alias").alias("phrase"))
+    most = (keys.agg(F.max(F.length("alias"))).first()[0] or 0) + 1
+    head = lambda m: F.regexp_extract(m, rf"^(?s:.{{0,{most}}})[a-z0-9]*", 0)  # noqa: E731  to where a phrase may end
+    heads = more.select("_set", head(F.lower("_m")).alias("_h"), head(T.token_key(F.col("_m"))).alias("_k"))
+    met = rows.filter("_set IS NOT NULL").join(heads, "_set", "left")
+    key = T.token_key(F.col("query"))
+    met = met.select(F.col("query_id").alias("id"), F.explode(F.array(F.concat_ws(" ", F.lower("query"), "_h"), F.concat_ws("-", F.nullif(key, F.lit("")), F.nullif("_k", F.lit(""))))).alias("text"))
+    own = written(_hits(phrases.named(_texts(rows), known), keys), "hits")
+    both = written(_hits(phrases.standing(met, known), keys), "hits")
+    added = written(_hits(phrases.named(more.select(F.col("_set").alias("id"), F.col("_m").alias("text")), known), keys), "hits")
+
+    first = _beside(rows, own)
+    one = (F.size("services") == 1) & (F.size("ambiguous") == 0) & _tied(F.col("query"), F.col("_b.alias"))
+    first = first.withColumn("_set", F.when(~one, F.col("_set")))
+    names = ("services", "ambiguous", "_b")
+    wide = first.join(both.select(F.col("id").alias("query_id"), *[F.col(c).alias(f"_x{c}") for c in names]), "query_id", "left")
+    # A query with a set has its own hits among those with the head.
+    small = wide.select("query_id", "query", "_set", *[F.when(F.col("_set").isNotNull(), F.col(f"_x{c}")).otherwise(F.col(c)).alias(c) for c in names])
+    all_ = _dealt(small, added.select(F.col("id").alias("_set"), *[F.col(c).alias(f"_x{c}") for c in names]))
+
+    def joined(c: str) -> Column:
+        mine, more = F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"_x{c}", F.array().cast("array<string>"))
+        fresh = F.filter(mine, lambda x: ~F.array_contains(more, x))
+        return F.when(F.size(fresh) == 0, more).otherwise(F.sort_array(F.concat(more, fresh)))
+
+    kept = all_.select("query_id", "query", joined("services").alias("services"), joined("ambiguous").alias("ambiguous"), F.greatest("_b", "_x_b")["alias"].alias("alias"))
     low = F.lower("query")
-    all_ = low.rlike(DISCOVERY)
+    wanted = low.rlike(DISCOVERY)
     for x in ALL_SERVICES:
-        all_ = all_ | F.contains(low, F.lit(x))
+        wanted = wanted | F.contains(low, F.lit(x))
     local = (F.size("services") == 1) & (F.size("ambiguous") == 0) & _tied(F.col("query"), F.col("alias"))
-    mode = F.when((F.size("services") == 0) | all_, GLOBAL).when(local, HARD_FILTER).otherwise(BOOST)
+    mode = F.when((F.size("services") == 0) | wanted, GLOBAL).when(local, HARD_FILTER).otherwise(BOOST)
     return kept.select("query_id", mode.alias("mode"), "services", "ambiguous")
