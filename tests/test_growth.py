@@ -24,3 +24,15 @@ def test_names_are_expanded_without_trying_every_pair(spark):
     assert not re.search("NestedLoop|Cartesian", plan_of(found))
     own = [s for s in services if routing.token_key(s.short_form) or routing.token_key(s.long_form)]
     assert {r.query_id: r.query for r in found.collect()} == {f"q{i}": routing.expand(t, own) for i, t in enumerate(texts)}
+
+
+def test_plans_of_many_queries_are_those_of_each(spark):
+    services, table, texts, queries = services_and_queries(spark)
+    found = routing.plan_all(queries, table)
+    assert not re.search("NestedLoop|Cartesian", plan_of(found)) and not re.search("NestedLoop|Cartesian", plan_of(routing.match_all(queries, table)))
+    for r in found.collect():
+        one = routing.plan(texts[int(r.query_id[1:])], services)
+        assert (r.mode, tuple(r.services), tuple(r.ambiguous) if one.mode != routing.HARD_FILTER else ()) == (one.mode, one.services, one.ambiguous), texts[int(r.query_id[1:])]
+    for r in routing.match_all(queries, table).collect():
+        sure, shared = routing.matches(texts[int(r.query_id[1:])], services)
+        assert (set(r.services), set(r.ambiguous)) == (set(sure), shared) and (len(sure) != 1 or len(r.alias) == len(next(iter(sure.values()))))
