@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
-from karstflow.operators import graph
+from karstflow.operators import graph, phrases
 from karstflow.session import written
 
 # Labels, words and confidences.
@@ -44,12 +44,21 @@ def _hint_map() -> Column:
     return F.create_map(*[x for part, labels in sorted(_hints().items()) for x in (F.lit(part), F.array(*map(F.lit, labels)))])
 
 
+def _named_sources(queries: DataFrame, services: DataFrame) -> DataFrame:
+    """(query_id, query, _s): the queries with blanks closed up, and the sources of aliases that they name, or null."""
+    plain = queries.select("query_id", F.trim(F.regexp_replace("query", r"\s+", " ")).alias("query"))
+    named = phrases.named(plain.select(F.col("query_id").alias("id"), F.col("query").alias("text")), services.select(F.col("alias").alias("phrase")))
+    found = named.join(services.filter("source <> ''"), F.col("phrase") == F.col("alias")).groupBy(F.col("id").alias("query_id")).agg(F.sort_array(F.collect_set("source")).alias("_s"))
+    return plain.join(found, "query_id", "left")
+
+
 def with_sources(queries: DataFrame, services: DataFrame) -> DataFrame:
     """The queries with blanks closed up and, after them, the sources of aliases that they name."""
-    plain = queries.select("query_id", F.trim(F.regexp_replace("query", r"\s+", " ")).alias("query"))
-    named = T.has_phrase(T.token_key(F.col("query")), T.token_key(F.col("alias"))) | T.has_phrase(F.col("query"), F.col("alias"))
-    found = plain.join(services.filter("source <> ''"), named & (T.token_key(F.col("alias")) != "")).groupBy("query_id").agg(F.sort_array(F.collect_set("source")).alias("_s"))
-    return plain.join(found, "query_id", "left").select("query_id", F.concat_ws(" ", "query", F.array_join("_s", " ")).alias("_q"), "_s", "query").select("query_id", F.when(F.col("_s").isNull(), F.col("query")).otherwise(F.col("_q")).alias("query"))
+    return _with_sources(_named_sources(queries, services))
+
+
+def _with_sources(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", F.concat_ws(" ", "query", F.array_join("_s", " ")).alias("query"))
 
 
 def mentions(queries: DataFrame, services: DataFrame | None = None) -> DataFrame:
@@ -60,7 +69,8 @@ def mentions(queries: DataFrame, services: DataFrame | None = None) -> DataFrame
     and an alias inside the query ask for the REPO of that name. Of repeats
     the surest stays. A query has at most 12 words.
     """
-    asked = with_sources(queries, services) if services is not None else queries
+    named = written(_named_sources(queries, services), "named") if services is not None else None
+    asked = queries if named is None else _with_sources(named)
     hints = _hint_map()
     forms = F.flatten(F.transform(F.regexp_extract_all("query", F.lit(_WORD), F.lit(0)), lambda t: _forms(T.token_key(t), hints)))
     telling = F.filter(forms, lambda n: (F.length(n) > 2) & ~n.isin(*T.STOPWORDS) & ~n.rlike("^[0-9]+$"))
@@ -75,7 +85,11 @@ def mentions(queries: DataFrame, services: DataFrame | None = None) -> DataFrame
         keys = services.filter("source <> ''").select(F.explode(F.array(T.token_key(F.col("alias")), T.token_key(F.col("source")))).alias("_k"), "source").filter("_k <> ''")
         one = keys.groupBy("_k").agg(F.max("source").alias("source"))
         exact = out.join(one, F.col("normalized") == F.col("_k")).select("query_id", "source", F.greatest("confidence", F.lit(ALIAS)).alias("confidence"))
-        inside = asked.join(keys, F.contains(T.token_key(F.col("query")), F.col("_k"))).select("query_id", "source", F.lit(SUBSTRING).alias("confidence"))
+        # The key of the whole is those of its parts, joined.
+        parts = F.transform(F.concat(F.array("query"), F.coalesce("_s", F.array().cast("array<string>"))), T.token_key)
+        texts = named.select(F.col("query_id").alias("id"), F.filter(parts, lambda x: x != "").alias("parts"))
+        held = phrases.inside(texts, keys.select(F.col("_k").alias("string")))
+        inside = held.join(keys, F.col("string") == F.col("_k")).select(F.col("id").alias("query_id"), "source", F.lit(SUBSTRING).alias("confidence"))
         repos = exact.unionByName(inside)
         out = out.unionByName(repos.select("query_id", F.trim("source").alias("text"), T.token_key(F.col("source")).alias("normalized"), F.lit("REPO").alias("label"), "confidence"))
     best = out.filter("normalized <> ''").groupBy("query_id", "normalized", "label").agg(F.max("confidence").alias("confidence"), F.max_by("text", F.struct("confidence", "text")).alias("text"))

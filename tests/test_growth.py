@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from karstflow.plans import routing
+from karstflow.operators import responses
+from karstflow.plans import graph_search, routing
+from karstflow.sources import files
 
 
 def plan_of(df) -> str:
@@ -36,3 +38,18 @@ def test_plans_of_many_queries_are_those_of_each(spark):
     for r in routing.match_all(queries, table).collect():
         sure, shared = routing.matches(texts[int(r.query_id[1:])], services)
         assert (set(r.services), set(r.ambiguous)) == (set(sure), shared) and (len(sure) != 1 or len(r.alias) == len(next(iter(sure.values()))))
+
+
+def test_aliases_are_mentioned_without_trying_every_pair(spark):
+    queries = [("a", "Which topics of  nation_3 does it read?"), ("b", "orders of repo-11x and xrepo-2"), ("c", "nothing"), ("d", "???")]
+    services = [("topics", f"Repo #{i}") for i in range(30)] + [("NATION 3", "Repo 7"), ("rep", "lone repo"), ("", "repo-11"), ("north", ""), ("nation", "read-nothing")]
+    found = graph_search.mentions(spark.createDataFrame(queries, "query_id string, query string"), spark.createDataFrame(services, "alias string, source string"))
+    assert not re.search("NestedLoop|Cartesian", plan_of(found))
+    expected = set()
+    for key, query in queries:
+        plain = re.sub(r"\s+", " ", query).strip()
+        own = sorted({s for a, s in services if s and routing.token_key(a) and (routing.stands_in(routing.token_key(a), routing.token_key(plain)) or routing.stands_in(a.lower(), plain.lower()))})
+        whole = routing.token_key(" ".join([plain, *own]))
+        expected |= {(key, routing.token_key(s)) for a, s in services if s for k in (routing.token_key(a), routing.token_key(s)) if k and k in whole}
+    rows = found.collect()
+    assert {(r.query_id, r.normalized) for r in rows if r.confidence == graph_search.SUBSTRING} == expected and len(rows) == len({(r.query_id, r.normalized, r.label) for r in rows})
