@@ -62,11 +62,19 @@ def graph_metadata(chunks: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return with_metadata(chunks.join(walks, "query_id", "left"), graph_score_debug=debug, graph_traversal_meta=F.col("_walk")).drop("_walk")
 
 
-def citations(chunks: DataFrame) -> DataFrame:
-    """(query_id, citations): each query's chunks in rank order as what an answer cites."""
-    one = F.struct("rank", F.coalesce("document_title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("text", F.lit("")).alias("chunk_text"), F.coalesce("source_code", F.lit("")).alias("source_code"), "metadata")
-    rows = chunks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id"))).alias("_o"), F.map_from_entries(F.collect_list(F.struct("chunk_id", one))).alias("_m"))
-    return rows.select("query_id", F.transform("_o", lambda o: F.element_at("_m", o["chunk_id"]).dropFields("rank")).alias("citations"))
+#: What a citation has.
+CITED = ("title", "url", "score", "chunk_text", "source_code", "metadata")
+
+
+def citations(chunks: DataFrame, fields: tuple[str, ...] = CITED) -> DataFrame:
+    """(query_id, citations): each query's chunks in rank order as what an answer cites; only the fields asked for are gathered."""
+    of = {
+        "title": F.coalesce("document_title", F.lit("")), "url": F.coalesce("url", F.lit("")), "score": F.coalesce("score", F.lit(0.0)), "chunk_text": F.coalesce("text", F.lit("")),
+        "source_code": F.coalesce("source_code", F.lit("")), "metadata": F.map_entries("metadata"),  # a map can't be sorted by
+    }
+    rows = chunks.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_id", *[of[f].alias(f) for f in fields]))).alias("_c"))
+    one = lambda c: F.struct(*[(F.map_from_entries(c[f]) if f == "metadata" else c[f]).alias(f) for f in fields])
+    return rows.select("query_id", F.transform("_c", one).alias("citations"))
 
 
 def flatten(responses: DataFrame) -> DataFrame:

@@ -261,4 +261,4 @@ def cited_chunks(spark, d):
     t = _table(spark, d, "documents").withColumn("n", F.col("doc_id").cast("string"))
     rows = t.select(F.col("source").alias("query_id"), F.col("n").alias("chunk_id"), F.when(F.col("doc_id") % 2 > 0, F.concat(F.lit("t"), "n")).alias("document_title"), F.lit(None).cast("string").alias("url"), F.col("n_chars").alias("score"), "text", F.lit(None).cast("string").alias("source_code"), F.create_map(F.lit("a"), F.lit("b")).alias("metadata"), "doc_id")
     ranked = top(rows, 1 << 30, F.col("score").desc(), F.col("doc_id"))
-    return responses.citations(ranked).select("query_id", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["title"], c["score"].cast("long").cast("string"))), ",").alias("cited"))
+    return responses.citations(ranked, ("title", "score")).select("query_id", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["title"], c["score"].cast("long").cast("string"))), ",").alias("cited"))

@@ -53,3 +53,15 @@ def test_aliases_are_mentioned_without_trying_every_pair(spark):
         expected |= {(key, routing.token_key(s)) for a, s in services if s for k in (routing.token_key(a), routing.token_key(s)) if k and k in whole}
     rows = found.collect()
     assert {(r.query_id, r.normalized) for r in rows if r.confidence == graph_search.SUBSTRING} == expected and len(rows) == len({(r.query_id, r.normalized, r.label) for r in rows})
+
+
+def test_citations_are_put_in_order_by_one_sort(spark):
+    n = 3000
+    chunks = spark.range(n).selectExpr("'q' query_id", f"cast({n} - id as int) rank", "cast(id as string) chunk_id", "if(id % 2 = 0, null, concat('t', id)) document_title", "cast(null as string) url", "cast(id as double) score", "concat('x', id) text", "cast(null as string) source_code", "map('a', cast(id as string)) metadata")
+    found = responses.citations(chunks)
+    assert "element_at" not in plan_of(found)
+    cited = found.first().citations
+    assert [int(c.metadata["a"]) for c in cited] == list(range(n))[::-1]
+    assert cited[0].asDict() == {"title": f"t{n - 1}", "url": "", "score": n - 1.0, "chunk_text": f"x{n - 1}", "source_code": "", "metadata": {"a": str(n - 1)}}
+    some = responses.citations(chunks, ("title", "score"))
+    assert [tuple(c) for c in some.first().citations] == [(c.title, c.score) for c in cited] and "concat(x" not in plan_of(some)
