@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from karstflow.functions import text as T
+from karstflow.session import written
 
 SUMMARIES = "repository string, files array<struct<file_path:string,url:string,last_modified:string,source_code:string,summary:string>>"
 
@@ -147,14 +148,27 @@ def paged(spark: SparkSession, fetch, schema: str, size: int = 100) -> DataFrame
         page += 1
 
 
+#: Characters of the files that one row of summaries holds, about.
+PART = 8_000_000
+
+
 def write_summaries(files: DataFrame, errors: DataFrame, folder: str) -> None:
-    """<folder>/summaries: one JSON row for each repository; <folder>/failed_files the same of errors, if there are any.
+    """<folder>/summaries: JSON rows of repositories, each a file of its own; <folder>/failed_files the same of errors, if there are any.
 
+    A repository has one row, or if its files are more than PART characters one
+    for every so many, so that no task holds a large repository whole.
     files: repository and the columns of a file; errors: repository, file_path, error.
     """
     own = ["file_path", "url", "last_modified", "source_code", "summary"]
-    sorted_ = files.groupBy("repository").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("files"))
-    sorted_.write.mode("overwrite").json(f"{folder}/summaries")
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in own), F.lit(0)).cast("long")
+    sizes = written(files.groupBy("repository").agg(F.sum(size).alias("_size")), "sizes")
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    large = sizes.filter(F.col("_size") > PART).select("repository", F.ceil(F.col("_size") / PART).alias("_parts"))  # at most total / PART rows
+    part = F.struct("repository", F.pmod(F.xxhash64("file_path"), F.coalesce("_parts", F.lit(1))).alias("part")).alias("_part")
+    dealt = files.join(F.broadcast(large), "repository", "left").select(part, *own).repartition(-(-total // PART) or 1, "_part")
+    rows = dealt.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct(*own))).alias("files"))
+    # What is read as JSON over many lines has one value in a file.
+    rows.select("_part.repository", "files").write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{folder}/summaries")
     failed = errors.groupBy("repository").agg(F.sort_array(F.collect_list(F.struct("file_path", "error"))).alias("failed"))
     if failed.isEmpty():
         jvm = files.sparkSession._jvm

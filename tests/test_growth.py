@@ -65,3 +65,13 @@ def test_citations_are_put_in_order_by_one_sort(spark):
     assert cited[0].asDict() == {"title": f"t{n - 1}", "url": "", "score": n - 1.0, "chunk_text": f"x{n - 1}", "source_code": "", "metadata": {"a": str(n - 1)}}
     some = responses.citations(chunks, ("title", "score"))
     assert [tuple(c) for c in some.first().citations] == [(c.title, c.score) for c in cited] and "concat(x" not in plan_of(some)
+
+
+def test_a_large_repository_is_written_in_parts_and_every_one_is_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PART", 2000, raising=False)
+    rows = spark.createDataFrame([("shop", f"f{i}", "u", "2024-01-01", "", f"{i} " + "x" * 100) for i in range(200)] + [(f"small{i}", "f", None, None, None, "s") for i in range(9)], "repository string, file_path string, url string, last_modified string, source_code string, summary string")
+    files.write_summaries(rows.coalesce(1), spark.createDataFrame([], "repository string, file_path string, error string"), f"{tmp_path}/all")
+    written = spark.read.json(f"{tmp_path}/all/summaries")
+    assert written.selectExpr("max(size(files))").first()[0] <= 60 and written.filter("repository LIKE 'small%'").count() == 9
+    read = files.read_summaries(spark, str(tmp_path), name="summaries")
+    assert sorted(map(tuple, read.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
