@@ -20,6 +20,8 @@ from pyspark.sql import types as T
 
 #: Queries that every task holds at once.
 BLOCK = 4096
+#: Scores that a task holds at once.
+SCORES = 1 << 19
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -43,32 +45,56 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _leaders(ids: list, questions: np.ndarray, k: int, floor: float, by_label: bool, places: int):
-    """For mapInArrow over (item_id, embedding, label): the best of each query, and label, in the task."""
+    """For mapInArrow over (item_id, embedding, label): the best of each query, and label, in the task.
+
+    A list of a query, or of a query and label, is a cell. What reaches the
+    score of a cell's last so far is gathered and cut to k a cell again when it
+    has become as much as was kept, so nothing is done by query and item but a
+    product and a comparison, and memory is bounded by SCORES and k.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, tuple[np.ndarray, ...]] = {}
-        types = None
+        n, types, known, own = len(ids), None, {}, []
+        least = np.full((1, n), floor)
+        step, slack, most, new = max(1, SCORES // n), 10.0**-places, SCORES, 0
+
+        def cut(rows: list[tuple[np.ndarray, ...]]) -> list[tuple[np.ndarray, ...]]:
+            cells, values, names, groups = (np.concatenate(x) for x in zip(*rows, strict=True))
+            order = np.lexsort((names, -values, cells))
+            cells, values = cells[order], values[order]
+            place = np.arange(len(cells)) - np.searchsorted(cells, cells)
+            last = place == k - 1
+            least.reshape(-1)[cells[last]] = values[last]
+            first = place < k
+            return [(cells[first], values[first], names[order][first], groups[order][first])]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             types = batch.schema
             items, labels = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(2).to_pylist(), object)
-            scores = np.round(_unit(_matrix(batch.column(1))) @ questions.T, places)
-            groups = {x: np.flatnonzero(labels == x) for x in set(labels.tolist())} if by_label else {None: np.arange(len(items))}
-            for group, rows in groups.items():
-                for q in range(len(ids)):
-                    own = scores[rows, q]
-                    good = np.flatnonzero(own >= floor)
-                    if len(good) > k:
-                        # Equals of the last one stay, for the order by item decides among them.
-                        good = good[own[good] >= np.partition(own[good], -k)[-k]]
-                    old = best.get((q, group), (items[:0], labels[:0], own[:0]))
-                    every = [np.concatenate(x) for x in zip(old, (items[rows[good]], labels[rows[good]], own[good]), strict=True)]
-                    first = sorted(range(len(every[0])), key=lambda i: (-every[2][i], every[0][i]))[:k]
-                    best[q, group] = tuple(x[first] for x in every)
-        for (q, _), (names, groups, values) in best.items():
-            if len(names):
-                yield pa.record_batch([pa.array([ids[q]] * len(names)), pa.array(names, types.field(0).type), pa.array(groups.tolist(), types.field(2).type), pa.array(values, pa.float64())], ["query_id", "item_id", "label", "score"])
+            items = np.array(items.tolist()) if items.dtype == object else items
+            codes = np.array([known.setdefault(x, len(known)) for x in labels.tolist()]) if by_label else np.zeros(len(items), int)
+            if len(known) > len(least):
+                least = np.concatenate([least, np.full((len(known) - len(least), n), floor)])
+            vectors = _unit(_matrix(batch.column(1)))
+            for at in range(0, len(items), step):
+                scores = vectors[at : at + step] @ questions.T
+                code = codes[at : at + step]
+                rows, q = np.nonzero(scores >= (least[code] if by_label else least) - slack)
+                values = np.round(scores[rows, q], places)
+                good = values >= least[code[rows], q]
+                rows, q, values = rows[good], q[good], values[good]
+                own.append((code[rows] * n + q, values, items[at + rows], labels[at + rows]))
+                new += len(rows)
+                if new >= most:
+                    own, new = cut(own), 0
+                    most = max(SCORES, len(own[0][0]))
+        if own:
+            cells, values, names, groups = cut(own)[0]
+            for at in range(0, len(cells), SCORES):
+                some = slice(at, at + SCORES)
+                yield pa.record_batch([pa.array([ids[q] for q in cells[some] % n]), pa.array(names[some], types.field(0).type), pa.array(groups[some].tolist(), types.field(2).type), pa.array(values[some], pa.float64())], ["query_id", "item_id", "label", "score"])
 
     return run
 

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
-from karstflow.operators import responses
+import numpy as np
+import pyarrow as pa
+
+from karstflow.operators import responses, vector
 from karstflow.plans import graph_search, routing
 from karstflow.sources import files
 
@@ -75,3 +79,27 @@ def test_a_large_repository_is_written_in_parts_and_every_one_is_read(spark, tmp
     assert written.selectExpr("max(size(files))").first()[0] <= 60 and written.filter("repository LIKE 'small%'").count() == 9
     read = files.read_summaries(spark, str(tmp_path), name="summaries")
     assert sorted(map(tuple, read.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_a_task_of_vector_search_holds_few_scores(monkeypatch):
+    rng = np.random.default_rng(7)
+    items = np.round(rng.normal(size=(4000, 8)), 1)
+    items[::400] = 0
+    questions = vector._unit(np.round(rng.normal(size=(300, 8)), 1))
+    labels = (np.arange(4000) % 3).tolist()
+    batches = [pa.record_batch([pa.array(range(4000 - a - 500, 4000 - a)), pa.array(items[4000 - a - 500 : 4000 - a].tolist(), pa.list_(pa.float32())), pa.array(labels[4000 - a - 500 : 4000 - a])], ["item_id", "embedding", "label"]) for a in range(0, 4000, 500)]
+    with np.errstate(invalid="ignore"):
+        scores = np.round(vector._unit(items.astype(np.float32).astype(float)) @ questions.T, 3)
+    monkeypatch.setattr(vector, "SCORES", 5000, raising=False)
+    for by_label, floor in ((False, -np.inf), (True, 0.11)):
+        expected = set()
+        for q in range(300):
+            for group in (0, 1, 2) if by_label else (None,):
+                rows = [i for i in range(4000) if scores[i, q] >= floor and group in (None, labels[i])]
+                expected |= {(q, i) for i in sorted(rows, key=lambda i: (-scores[i, q], i))[:5]}
+        tracemalloc.start()
+        out = list(vector._leaders(list(range(300)), questions, 5, floor, by_label, 3)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert {(q, i) for b in out for q, i in zip(b["query_id"].to_pylist(), b["item_id"].to_pylist(), strict=True)} == expected
+        assert peak < 1_500_000, peak
