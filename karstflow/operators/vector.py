@@ -18,8 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from karstflow.session import written
+
 #: Queries that every task holds at once.
 BLOCK = 4096
+#: Stands for the number of an item without one: farther than any.
+NO_NUMBER = 1 << 40
 #: Scores that a task holds at once.
 SCORES = 1 << 19
 
@@ -133,6 +137,31 @@ def nearest_by_label(items: DataFrame, queries: DataFrame, k: int = 10, floor: f
     return _ranked(items, queries, k, floor, True, places)
 
 
+def nearest_numbers(items: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items whose number is nearest to the query's; ties go to the lesser item_id.
+
+    items: item_id, n; queries: query_id, at. Items without a number come last.
+    Items are put in order once, with places: those wanted are among the k
+    before and the k after a query's own place, which are in four parts of k
+    places, so a query meets these parts and not every item. Of equal numbers
+    the first k can be wanted.
+    """
+    known = items.select("item_id", F.coalesce(F.col("n").cast("long"), F.lit(NO_NUMBER)).alias("n"))
+    kept = written(known.withColumn("_r", F.row_number().over(W.partitionBy("n").orderBy("item_id"))).filter(F.col("_r") <= k), "numbers")
+    sizes = kept.groupBy("n").agg(F.count(F.lit(1)).alias("_c")).select("n", "_c", F.lit(0).alias("_q"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"))
+    asked = queries.select(F.col("at").cast("long").alias("n"), F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_q"), "query_id")
+    # One row for each number that there is and each query, in one order.
+    places = written(sizes.unionByName(asked).withColumn("_so", F.sum("_c").over(W.orderBy("n", "_q").rowsBetween(W.unboundedPreceding, 0))), "places")
+    placed = kept.join(places.filter("_q = 0").select("n", "_c", (F.col("_so") - F.col("_c")).alias("_before")), "n")
+    sides = F.array(F.struct(F.lit(0).alias("_side"), (F.col("_before") + F.col("_c") - F.col("_r")).alias("_at")), F.struct(F.lit(1).alias("_side"), (F.col("_before") + F.col("_r") - 1).alias("_at")))
+    placed = placed.select("item_id", "n", F.explode(sides).alias("x")).select("item_id", "n", "x.*", F.floor(F.col("x._at") / k).alias("_part"))
+    ends = F.array(*[F.struct(F.lit(side).alias("_side"), F.lit(side * k).cast("long").alias("_to"), (F.floor((F.col("_so") - 1 + side) / k) + more).alias("_part")) for side, more in ((0, 0), (0, -1), (1, 0), (1, 1))])
+    wanted = places.filter("_q = 1").select("query_id", F.col("n").alias("at"), "_so", F.explode(ends).alias("x")).select("query_id", "at", "_so", "x.*")
+    near = placed.join(wanted, ["_side", "_part"]).filter((F.col("_at") < F.col("_so") + F.col("_to")) & (F.col("_at") >= F.col("_so") + F.col("_to") - k))
+    near = near.select("query_id", "item_id", (-F.abs(F.col("n") - F.col("at"))).alias("score"))
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id"))).filter(F.col("rank") <= k)
+
+
 def with_rows(ranked: DataFrame, wide: DataFrame, key: str) -> DataFrame:
     """Late materialisation: the ranked few beside their wide rows."""
     return ranked.join(wide, key)

@@ -245,9 +245,9 @@ g AS (SELECT query_id, item_id, round(sum(1.0e0 / (60 + rk)), 10) score, min(lo
 def _lists(spark, d):
     """Of each query the documents whose length is nearest to its number, and the vectors nearest to it."""
     docs, v = _table(spark, d, "documents"), _vectors(spark, d)
-    sizes = docs.select(F.col("doc_id").alias("item_id"), F.size(T.terms(F.col("text"))).alias("n"))
-    a = sizes.join(_asked(v).select("query_id")).withColumn("score", -F.abs(F.col("n") - F.col("query_id").cast("int")))
-    return [keyword.top(a, 100, F.col("score").desc(), F.col("item_id")), vector.nearest(v, _asked(v), 100)]
+    sizes = docs.select(F.col("doc_id").alias("item_id"), F.regexp_count("text", F.lit(T.TERM)).alias("n"))
+    asked = _asked(v).select("query_id", F.col("query_id").cast("long").alias("at"))
+    return [vector.nearest_numbers(sizes, asked, 100), vector.nearest(v, _asked(v), 100)]
 
 
 @registered("rrf_two_lists", f"WITH {_LISTS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fr, item_id) AS INTEGER) \"rank\" FROM g) SELECT query_id, item_id, score, \"rank\" FROM r WHERE \"rank\" <= 50")

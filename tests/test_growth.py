@@ -81,6 +81,20 @@ def test_a_large_repository_is_written_in_parts_and_every_one_is_read(spark, tmp
     assert sorted(map(tuple, read.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
 
 
+def test_nearest_numbers_are_found_without_trying_every_pair(spark):
+    numbers = [(i * 7919 % 1000, (i * i) % 97 if i % 50 else None) for i in range(1000)]
+    items = spark.createDataFrame(numbers, "item_id long, n int")
+    queries = [("a", 0), ("b", 50), ("c", 51), ("d", 96), ("e", 5000), ("f", -3), ("g", 13)]
+    for k in (1, 7, 100):
+        found = vector.nearest_numbers(items, spark.createDataFrame(queries, "query_id string, at long"), k)
+        assert not re.search("NestedLoop|Cartesian", plan_of(found))
+        got = {(r.query_id, r["rank"]): r.item_id for r in found.collect()}
+        far = lambda n, at: 1 << 50 if n is None else abs(n - at)
+        assert got == {(q, r + 1): x for q, at in queries for r, (x, _) in enumerate(sorted(numbers, key=lambda y: (far(y[1], at), y[0]))[:k])}
+    few = vector.nearest_numbers(items.filter("item_id < 30"), spark.createDataFrame(queries, "query_id string, at long"), 100)
+    assert few.count() == 30 * len(queries)
+
+
 def test_a_task_of_vector_search_holds_few_scores(monkeypatch):
     rng = np.random.default_rng(7)
     items = np.round(rng.normal(size=(4000, 8)), 1)
