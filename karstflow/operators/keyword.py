@@ -1,9 +1,9 @@
 """Keyword search: a stored index, BM25 and weighted any-term or all-terms matching.
 
 Chunks have chunk_id, document_id, title, text, source and retrieval_corpus.
-`build` tokenises them once and, given a folder, stores the postings by bucket
-and term, so that a search reads the buckets of its own terms; given chunks in
-place of an index, a search tokenises them. Statistics are those of the scope
+`build` tokenises them once and, given a folder, stores the postings in the
+order of their terms' hashes, so that a search reads the pages of its own terms;
+given chunks in place of an index, a search tokenises them. Statistics are those of the scope
 that a search names: scope first, then count. Queries are tables (query_id,
 query), so a batch is one plan; a single query is a batch of one.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,20 +24,24 @@ from karstflow.functions.stemming import lexeme
 
 #: Weights of an occurrence in the text and in the title.
 IN_TEXT, IN_TITLE = 1.0, 0.4
-#: Chunks whose postings of a bucket are one file.
-SLICE = 200_000
-#: Terms of a batch of queries up to which the postings are read for them alone.
-FEW = 2_000
+#: Chunks whose postings are put in order by one task and are one file.
+SLICE = 6_000
+#: Terms of a batch of queries up to which the postings are read for them alone, and up to which they are named to the reader one by one.
+FEW, NAMED = 2_000, 50
+#: Terms of queries that are sent to every task when their postings are read alone; of more, Spark chooses.
+SENT = 100_000
+#: Terms whose stems a worker remembers, and chunks whose terms it holds.
+KNOWN, PYTHON = 200_000, 200
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings: term, chunk_id, document_id, source, retrieval_corpus, tf, w, dl (and bucket, if stored); lengths: a row for each chunk."""
+    """postings: term, chunk_id, document_id, source, retrieval_corpus, tf, w, dl (and key, the term's hash, if stored); lengths: a row for each chunk."""
 
     postings: DataFrame
     lengths: DataFrame
     english: bool = False
-    buckets: int = 0
+    stored: bool = False
 
 
 def in_scope(chunks: DataFrame, sources: list[str] | None = None, corpus: str | None = None) -> DataFrame:
@@ -111,36 +116,52 @@ def english(rows: DataFrame) -> DataFrame:
     return found.filter("lexeme <> ''")
 
 
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def build(chunks: DataFrame, folder: str | None = None, in_english: bool = False, buckets: int = 64) -> Index:
+def _stemmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks with their counted terms (the last column) put together by stem; stop words go."""
+    stem = lru_cache(KNOWN)(lexeme)
+    for batch in (b.slice(at, PYTHON) for b in batches for at in range(0, b.num_rows, PYTHON)):
+        column, kind = batch.columns[-1], batch.schema.field(batch.num_columns - 1).type
+        names, tf, in_title = (column.flatten().field(x).to_pylist() for x in ("term", "tf", "in_title"))
+        ends, out = column.offsets.to_pylist(), []
+        ends = [x - ends[0] for x in ends]
+        for first, after in zip(ends, ends[1:]):
+            found: dict[str, list[int]] = {}
+            for i in range(first, after):
+                if x := stem(names[i]):
+                    sums = found.setdefault(x, [0, 0])
+                    sums[0] += tf[i]
+                    sums[1] += in_title[i]
+            out.append([{"term": x, "tf": a, "in_title": b} for x, (a, b) in found.items()])
+        yield pa.record_batch([*batch.columns[:-1], pa.array(out, kind)], schema=batch.schema)
+
+
+def build(chunks: DataFrame, folder: str | None = None, in_english: bool = False, size: int = SLICE) -> Index:
     """The index of chunks; stored in `folder` if one is given, to be opened again with `open_index`.
 
     in_english: terms become stems and stop words go. An existing folder is an
-    error: a new state of the chunks gets a new folder. A bucket has a file for
-    every SLICE chunks, so that a term of most chunks isn't one task's.
+    error: a new state of the chunks gets a new folder. Chunks are dealt to
+    slices of about `size` before they become postings, so postings are never
+    exchanged, and a term of most chunks isn't one task's.
     """
-    counted = _counted(chunks)
-    lengths = counted.select(*_KEYS, "dl")
+    dealt = chunks.repartition(-(-max(1, chunks.count()) // size), "chunk_id") if folder else chunks
+    counted = _counted(dealt)
+    if in_english:
+        counted = counted.mapInArrow(_stemmed, counted.schema)
+    n = lambda c: F.coalesce(F.regexp_count(c, F.lit(T.TERM)), F.lit(0))
+    lengths = chunks.select(*_KEYS, (n("text") + n("title")).alias("dl"))
     w = (F.col("tf") - F.col("in_title")) * IN_TEXT + F.col("in_title") * IN_TITLE
     rows = counted.select(*_KEYS, "dl", F.explode("terms").alias("x")).select("x.term", *_KEYS, F.col("x.tf").alias("tf"), F.col("x.in_title").alias("in_title"), "dl").withColumn("w", w).drop("in_title")
-    if in_english:
-        stems = rows.join(english(rows), "term").groupBy(F.col("lexeme").alias("term"), *_KEYS, "dl").agg(F.sum("tf").alias("tf"), F.sum("w").alias("w"))
-        rows = stems
     if folder is None:
         return Index(rows, lengths, in_english)
-    slices = -(-max(1, chunks.count()) // SLICE)
-    dealt = rows.withColumn("bucket", _bucket(F.col("term"), buckets))
-    dealt.repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(slices))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    # One number to sort by: equal terms lie together, and pages tell by it what they hold.
+    rows.withColumn("key", F.xxhash64("term")).sortWithinPartitions("key").write.parquet(f"{folder}/postings")
     lengths.write.parquet(f"{folder}/lengths")
-    return open_index(chunks.sparkSession, folder, in_english, buckets)
+    return open_index(chunks.sparkSession, folder, in_english)
 
 
-def open_index(spark: SparkSession, folder: str, in_english: bool = False, buckets: int = 64) -> Index:
-    """An index that `build` stored, with the same settings."""
-    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), in_english, buckets)
+def open_index(spark: SparkSession, folder: str, in_english: bool = False) -> Index:
+    """An index that `build` stored, with the same setting."""
+    return Index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), in_english, True)
 
 
 def _index(chunks: DataFrame | Index, in_english: bool = False) -> Index:
@@ -165,18 +186,23 @@ def phrase(text: Column, words: Column) -> Column:
     return T.let(F.struct(T.terms(text).alias("own"), T.terms(words).alias("asked")), follows)
 
 
-def _postings_of(index: Index, wanted: DataFrame, sources: list[str] | None, corpus: str | None) -> DataFrame:
-    """The postings of the queries' terms inside the scope."""
+def _postings_of(index: Index, wanted: DataFrame, sources: list[str] | None, corpus: str | None) -> tuple[DataFrame, bool]:
+    """The postings of the queries' terms inside the scope, and whether the terms are few."""
     scoped = in_scope(index.postings, sources, corpus)
     terms = wanted.select("term").distinct()
-    if index.buckets:
-        # Few terms: read their buckets alone, and in those the row groups that have them.
-        few = [r.term for r in terms.limit(FEW + 1).collect()]
+    if index.stored:
+        # Few terms: read the pages that have them alone.
+        few = terms.select("term", F.xxhash64("term").alias("key")).limit(FEW + 1).collect()
         if len(few) <= FEW:
-            spark = terms.sparkSession
-            named = spark.createDataFrame([(x,) for x in few], "term string").select(_bucket(F.col("term"), index.buckets).alias("b")).distinct()
-            return scoped.filter(F.col("bucket").isin([r.b for r in named.collect()])).filter(F.col("term").isin(few)).drop("bucket")
-    return scoped.join(terms, "term", "left_semi")
+            keys = [F.col("key") == r.key for r in few] if len(few) <= NAMED else [F.col("key").isin([r.key for r in few])]
+            return scoped.filter(reduce(Column.__or__, keys, F.lit(False))).filter(F.col("term").isin([r.term for r in few])).drop("key"), True
+        scoped = scoped.drop("key")
+    return scoped.join(terms, "term", "left_semi"), False
+
+
+def _sent(wanted: DataFrame, few: bool) -> DataFrame:
+    """Few terms as they are sent to the tasks that have their postings."""
+    return F.broadcast(wanted) if few and wanted.limit(SENT + 1).count() <= SENT else wanted
 
 
 def capped(ranked: DataFrame, most: int | None, *order: Column) -> DataFrame:
@@ -210,8 +236,10 @@ def bm25(chunks: DataFrame | Index, queries: DataFrame, k: int = 10, sources: li
     """
     index = _index(chunks)
     wanted = query_terms(queries)
-    found = _postings_of(index, wanted, sources, corpus)
+    found, few = _postings_of(index, wanted, sources, corpus)
+    wanted = _sent(wanted, few)
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.broadcast(df) if few else df
     stats = in_scope(index.lengths, sources, corpus).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -236,7 +264,8 @@ def fts(chunks: DataFrame | Index, queries: DataFrame, k: int = 10, sources: lis
     """
     index = _index(chunks, in_english)
     wanted = query_terms(queries, index.english).select("query_id", "term")
-    found = _postings_of(index, wanted, sources, corpus)
+    found, few = _postings_of(index, wanted, sources, corpus)
+    wanted = _sent(wanted, few)
     matched = found.select("chunk_id", "document_id", "term", "w").repartition("chunk_id", "document_id").join(wanted, "term")
     if match_all:
         matched = matched.join(covering(found, wanted), ["query_id", "document_id"], "left_semi")

@@ -53,7 +53,7 @@ def _index(spark: SparkSession, d: str, in_english: bool = False) -> keyword.Ind
     """The stored index of documents, built by the first search of a session that asks for it."""
     key = spark.sparkContext.applicationId, d, in_english
     if key not in _INDEXES:
-        _INDEXES[key] = keyword.build(_chunks(spark, d), f"{shared_dir(spark)}/karstflow-indexes/{uuid.uuid4().hex}", in_english, 16)
+        _INDEXES[key] = keyword.build(_chunks(spark, d), f"{shared_dir(spark)}/karstflow-indexes/{uuid.uuid4().hex}", in_english)
     return _INDEXES[key]
 
 

@@ -7,8 +7,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 
-from karstflow.operators import responses, vector
+from karstflow.operators import keyword, responses, vector
 from karstflow.plans import graph_search, routing
 from karstflow.sources import files
 
@@ -117,3 +118,21 @@ def test_a_task_of_vector_search_holds_few_scores(monkeypatch):
         tracemalloc.stop()
         assert {(q, i) for b in out for q, i in zip(b["query_id"].to_pylist(), b["item_id"].to_pylist(), strict=True)} == expected
         assert peak < 1_500_000, peak
+
+
+def test_a_stored_index_is_made_without_exchanging_postings(spark, tmp_path):
+    rows = [(f"c{i}", f"d{i // 3}", f"Title {i % 5}", " ".join(f"w{(i * j) % 23}" for j in range(i % 40)) + " running the runs", f"s{i % 2}", "x") for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_id string, title string, text string, source string, retrieval_corpus string")
+    asked = spark.createDataFrame([("a", "w1 w2 title"), ("b", "runs w5"), ("c", " ".join(f"w{i}" for i in range(60)))], "query_id string, query string")
+    for english in (False, True):
+        index = keyword.build(chunks, str(tmp_path / f"index-{english}"), english, 1000 if english else 100)
+        stored = [pq.read_table(f) for f in sorted((tmp_path / f"index-{english}" / "postings").glob("*.parquet"))]
+        assert len(stored) <= 3 and all(t["key"].to_pylist() == sorted(t["key"].to_pylist()) for t in stored)
+        for match_all in (False, True):
+            searches = [lambda x, all_=match_all: keyword.fts(x, asked, match_all=all_, in_english=english)] + ([] if english else [lambda x, all_=match_all: keyword.bm25(x, asked, match_all=all_)])
+            for search in searches:
+                found = search(index)
+                assert "SortMergeJoin" not in plan_of(found) or match_all or english
+                assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search(chunks).collect()))
+        lengths = {r.chunk_id: r.dl for r in index.lengths.collect()}
+        assert lengths == {r[0]: len((r[3] + " " + r[2]).split()) for r in rows}
