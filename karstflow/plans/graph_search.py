@@ -127,19 +127,19 @@ def seed_matches(nodes: DataFrame, found: DataFrame, most: int = LOOKUP) -> Data
     asked = found.select("text", "normalized", "label").distinct()
     for label, words in GENERIC.items():
         asked = asked.filter(~((F.coalesce("label", F.lit("")) == label) & F.col("normalized").isin(*words)))
-    asked = asked.withColumn("_any", ~F.coalesce(F.col("label").isin(*SEEDABLE), F.lit(False)))
-    if asked.limit(FEW + 1).count() <= FEW:
-        asked = F.broadcast(asked)
 
     def flat(x: Column) -> Column:
-        return F.regexp_replace(F.translate(F.lower(x), "_", "-"), r"\.", "")
+        return F.translate(F.lower(x), "_.", "-")
 
+    asked = asked.withColumns({"_any": ~F.coalesce(F.col("label").isin(*SEEDABLE), F.lit(False)), "_w": flat(F.col("text"))})
+    if asked.limit(FEW + 1).count() <= FEW:
+        # Made once, so that no pair of a node and a mention does it again.
+        asked = F.broadcast(written(asked, "asked"))
     named = nodes.withColumnRenamed("label", "node_label").withColumn("_n", flat(F.col("name"))).withColumn("_k", flat(F.col("node_key")))
-    wanted = flat(F.col("text"))
-    hit = named.join(asked, (F.col("_any") & (F.contains("_n", wanted) | F.contains("_k", wanted))) | (~F.col("_any") & (F.col("node_label") == F.col("label")) & F.contains("_n", wanted)))
+    hit = named.join(asked, (F.col("_any") & (F.contains("_n", "_w") | F.contains("_k", "_w"))) | (~F.col("_any") & (F.col("node_label") == F.col("label")) & F.contains("_n", "_w")))
     direct = hit.withColumn("reason", F.when(F.col("_any"), "ANY-label lookup").otherwise(F.concat("label", F.lit("-direct"))))
     key = ["text", "normalized", "label"]
-    missed = asked.filter(~F.col("_any")).join(hit.select("text", "label").distinct(), ["text", "label"], "left_anti")
+    missed = asked.filter(~F.col("_any")).join(hit.filter(~F.col("_any")).select("text", "label").distinct(), ["text", "label"], "left_anti")
     scanned = named.join(missed, F.col("node_label") == F.col("label")).withColumn("reason", F.concat("label", F.lit("-label-scan")))
     w = W.partitionBy(*key).orderBy(F.col("confidence").desc(), F.col("evidence_count").desc(), "node_key")
     every = direct.unionByName(scanned.select(direct.columns)).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most)
@@ -419,7 +419,7 @@ def search(queries: DataFrame, tables: Graph, services: DataFrame | None = None,
     labels = seeds.groupBy("query_id").agg(F.collect_set("node_label").alias("_l"))
     wanted = intents(queries, found).join(labels, "query_id", "left")
     wanted = written(wanted.select("query_id", intent_of(F.coalesce("_l", F.array().cast("array<string>")), F.col("intent")).alias("intent")), "intents")
-    edges = graph.with_stats(tables.edges, tables.edge_evidence)
+    edges = written(graph.with_stats(tables.edges, tables.edge_evidence), "edges")  # read by every hop from both ends
     kept = written(prune(expand(edges, seeds, wanted), seeds, wanted), "paths")
     keys = written(candidate_keys(seeds, kept, wanted), "keys")
     resolved = resolve_evidence(keys, tables.node_evidence, tables.chunks, tables.metadata, corpus)

@@ -136,3 +136,14 @@ def test_a_stored_index_is_made_without_exchanging_postings(spark, tmp_path):
                 assert sorted(map(tuple, found.collect())) == sorted(map(tuple, search(chunks).collect()))
         lengths = {r.chunk_id: r.dl for r in index.lengths.collect()}
         assert lengths == {r[0]: len((r[3] + " " + r[2]).split()) for r in rows}
+
+
+def test_mentions_are_spelt_once_and_not_for_every_node(spark):
+    nodes = spark.createDataFrame([(f"API::{i}", "API", f"My_Api.{i}", 1.0, i) for i in range(40)] + [("REPO::x", "REPO", "My_repo.", 0.5, 1)], "node_key string, label string, name string, confidence double, evidence_count int")
+    found = spark.createDataFrame([("q", "my_api", "my-api", None, 0.58), ("q", "M.Y_repo", "my-repo", "REPO", 0.86), ("q", "none", "none", "API", 0.86)], "query_id string, text string, normalized string, label string, confidence double")
+    matches = graph_search.seed_matches(nodes, found)
+    pairs = [x for x in plan_of(matches).splitlines() if "NestedLoopJoin" in x]
+    assert pairs and not any(re.search("translate|regexp_replace|lower", x) for x in pairs)
+    rows = [(r.text, r.node_key, r.reason) for r in matches.collect()]
+    assert sorted(r for r in rows if r[0] != "none")[:2] == [("M.Y_repo", "REPO::x", "REPO-direct"), ("my_api", "API::25", "ANY-label lookup")]
+    assert len([r for r in rows if r[0] == "my_api"]) == 15 and {r[2] for r in rows if r[0] == "none"} == {"API-label-scan"}
